@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troupe.llm import frequencies, set_join, tokens, top_n
+from troupe.llm import clusters, frequencies, set_join, tokens, top_n
 from troupe.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,28 @@ ORACLE_SQL: dict[str, str] = {
     "p6_found": f"select kind, term, mark from ({_COUNTS_SQL}) where mark is not null",
     "p6_counts": _COUNTS_SQL,
 }
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = table(spark, sf_dir, "semantic_features").select("character_id", F.col("features.feature").alias("features"))
+    return clusters.similarity_clusters(features, "character_id", "features", 0.5)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_clusters(spark, sf_dir).select("cluster_id", F.col("id").alias("character_id"))
+
+
+def p5_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_clusters(spark, sf_dir).where("typical is not null").select("cluster_id", "size", "typical", F.col("id").alias("character_id"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_typical": p5_typical}
+
+# clusters as groups around the smallest id, which is the same wherever similarity is transitive, as in these data
+ORACLE_SQL["p5_found"] = f"""
+  with f as (select id, {_term_sql("t.feature")} term from (select id, unnest(fs) t from (select character_id id, any_value(features) fs from semantic_features group by 1))),
+  s as (select distinct id, term from f where term is not null),
+  n as (select id, count(*) n from s group by 1),
+  p as (select a.id a, b.id b, count(*) shared from s a join s b on a.term = b.term group by 1, 2),
+  l as (select a, min(b) cluster_id from p join n x on x.id = a join n y on y.id = b where shared >= 0.5 * (x.n + y.n - shared) - 1e-9 group by 1)
+  select cluster_id, a character_id from l qualify count(*) over (partition by cluster_id) >= 3"""
