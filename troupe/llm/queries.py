@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troupe.llm import clusters, frequencies, set_join, tokens, top_n
+from troupe.llm import clusters, frequencies, set_join, tokens, top_n, vectors
 from troupe.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,27 @@ ORACLE_SQL["p5_found"] = f"""
   p as (select a.id a, b.id b, count(*) shared from s a join s b on a.term = b.term group by 1, 2),
   l as (select a, min(b) cluster_id from p join n x on x.id = a join n y on y.id = b where shared >= 0.5 * (x.n + y.n - shared) - 1e-9 group by 1)
   select cluster_id, a character_id from l qualify count(*) over (partition by cluster_id) >= 3"""
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.nearest_pairs(table(spark, sf_dir, "descriptor_vectors"), "vector_id", "embedding", 10, 0.85)
+    return near.select(F.least("id", "neighbour").alias("vector_id"), F.greatest("id", "neighbour").alias("neighbour_id")).distinct()
+
+
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.nearest_to(table(spark, sf_dir, "descriptor_vectors"), "vector_id", "embedding", 100, 10)
+    return near.select(F.col("id").alias("vector_id"), "rank", F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_nearest": p2_nearest}
+
+_VECTORS_SQL = """
+  select vector_id id, any_value(embedding)::double[] v from descriptor_vectors
+  where len(embedding) = 64 and isfinite(list_sum(embedding::double[])) and list_max(embedding) > list_min(embedding)
+  group by 1"""
+
+ORACLE_SQL["p2_found"] = f"""
+  with v as ({_VECTORS_SQL}),
+  p as (select a.id, b.id neighbour, list_cosine_similarity(a.v, b.v) cosine from v a join v b on a.id <> b.id),
+  t as (select * from p qualify row_number() over (partition by id order by cosine desc, neighbour) <= 10)
+  select distinct least(id, neighbour) vector_id, greatest(id, neighbour) neighbour_id from t where cosine >= 0.85"""
