@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troupe.llm import clusters, frequencies, set_join, tokens, top_n, vectors
+from troupe.llm import clusters, frequencies, packing, set_join, tokens, top_n, vectors
 from troupe.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,19 @@ ORACLE_SQL["p2_found"] = f"""
   p as (select a.id, b.id neighbour, list_cosine_similarity(a.v, b.v) cosine from v a join v b on a.id <> b.id),
   t as (select * from p qualify row_number() over (partition by id order by cosine desc, neighbour) <= 10)
   select distinct least(id, neighbour) vector_id, greatest(id, neighbour) neighbour_id from t where cosine >= 0.85"""
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.token_counts(table(spark, sf_dir, "documents"))
+    packed = packing.fill_containers(sizes, "doc_id", "tokens", table(spark, sf_dir, "context_windows"), "window_name", "capacity_tokens")
+    return packed.select(F.col("bin").alias("window_name"), "container_id", F.col("id").alias("doc_id"), "part", F.col("start").alias("start_token"), F.col("size").alias("tokens"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.token_counts(table(spark, sf_dir, "documents"))
+    windows = table(spark, sf_dir, "context_windows")
+    packed = packing.fill_containers(sizes, "doc_id", "tokens", windows, "window_name", "capacity_tokens")
+    return packing.fill_report(packed, windows, "window_name", "capacity_tokens").withColumnRenamed("bin", "window_name")
+
+
+QUERIES |= {"p8_containers": p8_containers, "p8_report": p8_report}
