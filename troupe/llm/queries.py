@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troupe.llm import clusters, frequencies, packing, set_join, tokens, top_n, vectors
+from troupe.llm import clusters, frequencies, languages, packing, set_join, tokens, top_n, vectors
 from troupe.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +177,22 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p8_containers": p8_containers, "p8_report": p8_report}
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """The codes to answer with: a fixed small table."""
+    return [(r["lang"], r["language_name"]) for r in table(spark, sf_dir, "language_codes").orderBy("lang").limit(1000).collect()]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = languages.wrong_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _codes(spark, sf_dir))
+    return wrong.select(F.col("id").alias("doc_id"), F.explode("languages").alias("lang")).distinct()
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = languages.fit_model(documents, "doc_id", "text", "lang", _codes(spark, sf_dir))
+    return languages.language_segments(documents, "doc_id", "text", model).withColumnRenamed("id", "doc_id")
+
+
+QUERIES |= {"p9_found": p9_found, "p9_segments": p9_segments}
