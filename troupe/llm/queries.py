@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from troupe.llm import clusters, frequencies, languages, packing, set_join, tokens, top_n, vectors
+from troupe.llm import clusters, frequencies, languages, linkage, packing, set_join, tokens, top_n, vectors
 from troupe.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,3 +196,18 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_segments": p9_segments}
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = linkage.link_entities(
+        table(spark, sf_dir, "characters"), table(spark, sf_dir, "anidb_cast"), "id", "anidb_character_id", "name", "native_name", "gender",
+        ["first_anime", "window_first_anime"], "anime_title", "anidb_anime_id", "updated_at",
+    )
+    return links.select(F.col("a").alias("character_id"), F.col("b").alias("anidb_character_id"), "confidence")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_links(spark, sf_dir).select("character_id", "anidb_character_id")
+
+
+QUERIES |= {"p1_found": p1_found, "p1_links": p1_links}
