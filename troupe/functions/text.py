@@ -64,8 +64,13 @@ def _without_markup(text: Column) -> Column:
     return text
 
 
+# white space of any script
+SPACE = r"[\s\p{Z}\x0b\x85]+"
+
+
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Each run of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
 def normalize_description(text: str | Column, lowercase: bool = True) -> Column:
