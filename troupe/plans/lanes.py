@@ -143,13 +143,13 @@ SQL["amplitude_prefix"] = """
 def lane_sizes(spark, sf_dir):
     """Lanes of the credit data: characters, total weight and the share of the heaviest, each delivery once."""
     rows = latest_by(table(spark, sf_dir, "lane_weights"), ["seiyuu_id", "topic", "character_id"], "loaded_at").where("topic_weight is not null and not isnan(topic_weight)")
-    each = rows.groupBy("seiyuu_id", "topic").agg(F.count("*").alias("characters"), F.sum("topic_weight").alias("total"), F.max("topic_weight").alias("most"))
-    return each.select("seiyuu_id", "topic", "characters", F.round("total", 4).alias("total"), F.round(F.col("most") / F.col("total"), 4).alias("most_share"))
+    each = rows.groupBy("seiyuu_id", "topic").agg(F.count("*").alias("characters"), F.sum(F.col("topic_weight").cast("decimal(18,6)")).cast("double").alias("total"), F.max("topic_weight").alias("most"))
+    return each.select("seiyuu_id", "topic", "characters", "total", F.round(F.col("most") / F.col("total"), 6).alias("most_share"))
 
 
 SQL["lane_sizes"] = """
   with r as (select distinct on (seiyuu_id, topic, character_id) * from lane_weights order by seiyuu_id, topic, character_id, loaded_at desc)
-  select seiyuu_id, topic, count(*) characters, round(sum(topic_weight), 4) total, round(max(topic_weight) / sum(topic_weight), 4) most_share
+  select seiyuu_id, topic, count(*) characters, sum(topic_weight::decimal(18, 6))::double total, round(max(topic_weight) / sum(topic_weight::decimal(18, 6))::double, 6) most_share
   from r where topic_weight is not null and not isnan(topic_weight) group by 1, 2"""
 
 QUERIES |= {

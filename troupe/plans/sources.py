@@ -56,16 +56,19 @@ def xml_taxonomy(spark, sf_dir):
 SQL["xml_taxonomy"] = "select r_name parent, n_name child, count(distinct c_mktsegment) child_files from nation join region on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by 1, 2"
 
 
+KNOWN = ("role", "clothing", "abilities", "personality")
+
+
 def html_tags(spark, sf_dir):
-    """Every tagged character as a tag page, parsed again: tags of the known categories."""
+    """Every character with tags of the known categories as a tag page, parsed again: those tags. (Pages without any fall back to other links.)"""
     rows = table(spark, sf_dir, "tagged_characters").where("anilist_character_id is not null and llm_tags is not null").groupBy("anilist_character_id").agg(F.max_by("llm_tags", F.size("llm_tags")).alias("t"))
     each = rows.select("anilist_character_id", F.explode("t").alias("category", "v")).select(
         "anilist_character_id", "category", F.filter(F.transform("v", lambda x: x["tag"]), lambda x: x.isNotNull() & (F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " ")) != "")).alias("v")
     )
     anchors = F.array_join(F.transform("v", lambda x: F.concat(F.lit('<a href="/tag/'), F.length(x).cast("string"), F.lit('"><span class="tagname">'), _xml(x), F.lit("</span></a>"))), " ")
     row = F.concat(F.lit('<tr><th class="field">'), F.initcap("category"), F.lit('</th><td class="value">'), anchors, F.lit("</td></tr>"))
-    pages = each.groupBy("anilist_character_id").agg(F.concat(F.lit("<html><body><table>"), F.array_join(F.array_sort(F.collect_list(row)), "\n"), F.lit("</table></body></html>")).alias("page"))
-    return R.tags_of_pages(pages, "anilist_character_id", "page").where(F.col("category").isin("role", "clothing", "abilities", "personality")).groupBy("anilist_character_id", "category").agg(F.count("*").alias("tags"))
+    pages = each.groupBy("anilist_character_id").agg(F.concat(F.lit("<html><body><table>"), F.array_join(F.array_sort(F.collect_list(row)), "\n"), F.lit("</table></body></html>")).alias("page"), F.sum(F.when(F.col("category").isin(*KNOWN), F.size("v")).otherwise(0)).alias("n")).where("n > 0")
+    return R.tags_of_pages(pages, "anilist_character_id", "page").where(F.col("category").isin(*KNOWN)).groupBy("anilist_character_id", "category").agg(F.count("*").alias("tags"))
 
 
 SQL["html_tags"] = r"""
