@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from troupe.llm.terms import canonical_array, canonical_lists
-from troupe.runtime import spread, width
+from troupe.runtime import materialize, spread, width
 
 #: Records of one term are dealt over so many partitions; their counts are added at the end.
 SPLITS = 8
@@ -85,6 +85,8 @@ def term_frequencies(
         extra = vocabulary.select(F.col(word)).mapInArrow(_canonical_column, "term string").where("term is not null")
         counted = counted.unionByName(extra.select("term", F.lit(0).cast("bigint").alias("occurrences"), F.lit(0).cast("bigint").alias("records")))
     totals = counted.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    # one row per term, read twice below
+    totals = materialize(totals, "term-counts")
     # the number of records with a term is the count of one marker, sent to all as a single row
     total = totals.where(F.col("term") == ANY).agg(F.coalesce(F.max("records"), F.lit(0)).alias("total"))
     mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > max_share * F.col("total"), "common")
