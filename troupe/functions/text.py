@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: the patterns of markup that the normalisers remove
 HTML_TAG = r"<[^>]+>"
@@ -48,12 +49,12 @@ def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescaped(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decomposed(values: pd.Series) -> pd.Series:
     return values.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii"), na_action="ignore")
 
@@ -191,7 +192,10 @@ def content_of(message: str | Column, thinking: str | Column) -> Column:
     return F.coalesce(F.nullif(_col(message), F.lit("")), F.nullif(_col(thinking), F.lit("")))
 
 
-@F.pandas_udf("struct<label:string,description:string,confidence:string,evidence_terms:array<string>>")
+_LABEL = T.StructType().add("label", "string").add("description", "string").add("confidence", "string").add("evidence_terms", T.ArrayType(T.StringType()))
+
+
+@F.pandas_udf(_LABEL)
 def last_label(values: pd.Series) -> pd.DataFrame:
     """The last JSON object in a free text that has the four fields of a label; null fields if there is none."""
     import json

@@ -15,7 +15,7 @@ def deliveries(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str = "30 days") -> DataFrame:
     """Each delivery of a key once, as long as it isn't later than the watermark; the state of older keys is dropped."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def upsert(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, buckets: int = 16):
@@ -34,4 +34,4 @@ def upsert(stream: DataFrame, target: str, keys: list[str], order: str, checkpoi
 
 def windowed_counts(stream: DataFrame, time: str, group: str, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events per window and group; late events within the delay still count."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), group).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), group, "n")
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), group).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), group, "n")
