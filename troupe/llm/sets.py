@@ -53,6 +53,12 @@ class Sets:
         self.sizes = np.diff(offsets).astype(np.int64)
         self._made: dict[int, frozenset] = {}
 
+    def part(self, rows: np.ndarray) -> Sets:
+        """The sets of some rows, by position."""
+        own = object.__new__(Sets)
+        own.flat, own.starts, own.sizes, own._made = self.flat, self.starts[rows], self.sizes[rows], {}
+        return own
+
     def bitmaps(self) -> np.ndarray:
         """A bitmap of every set; a bit set here and not there stands for at least one term that is here and not there."""
         maps = np.zeros((len(self.sizes), WORDS), dtype=np.uint64)
@@ -115,9 +121,10 @@ def _with_bounds(table: pa.Table, values: np.ndarray) -> tuple[pa.Table, np.ndar
 
 
 def pairs_within(bounds: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays of all pairs within each group, in portions of about `most` pairs."""
+    """Index arrays of all pairs within each group, in portions of about `most` pairs. bounds are those of neighbouring groups, or (start, end) rows."""
     left, right, held = [], [], 0
-    for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+    spans = bounds if bounds.ndim == 2 else np.stack([bounds[:-1], bounds[1:]], axis=1)
+    for at, end in spans.tolist():
         m = end - at
         if m < 2:
             continue
