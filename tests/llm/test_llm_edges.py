@@ -213,6 +213,21 @@ def test_clusters_that_are_not_transitive_are_divided(spark, monkeypatch):
     assert by and len({r.id for r in found}) == len(found)
 
 
+@pytest.mark.parametrize("many", [20_000_000, 0])
+def test_wide_clusters_are_divided_too(spark, monkeypatch, many):
+    import pyarrow as pa
+
+    monkeypatch.setattr(clusters, "WIDE", 10)
+    monkeypatch.setattr(clusters, "MANY", many)
+    data = [(i, list(range(i % 7, i % 7 + 8))) for i in range(150)]
+    table = pa.table({"cluster": pa.array([1] * 150), "key": pa.array(range(150)), "copies": pa.array([1 + i % 3 for i in range(150)]), "tokens": pa.array([x for _, x in data], pa.list_(pa.int64()))})
+    found = [r for b in clusters._divide(0.5)(iter(table.to_batches())) for r in zip(b.column("label").to_pylist(), b.column("key").to_pylist())]
+    assert sorted(k for _, k in found) == list(range(150))
+    for label in {c for c, _ in found}:
+        group = [set(data[k][1]) for c, k in found if c == label]
+        assert all(len(a & b) >= 0.5 * len(a | b) for a, b in itertools.combinations(group, 2))
+
+
 def test_clusters_edges(spark):
     schema = "id bigint, xs array<string>, cluster int, size int, key int"
     data = [(3, ["A"], 0, 0, 0), (1, ["a", " "], 0, 0, 0), (2, ["a"], 0, 0, 0), (2, ["a"], 0, 0, 0), (4, None, 0, 0, 0), (5, [], 0, 0, 0), (6, [None], 0, 0, 0), (None, ["a"], 0, 0, 0)]
