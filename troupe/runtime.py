@@ -26,12 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
+def _remove_written(spark: SparkSession) -> None:
+    """Removes this session's tables from the shared folder when the driver ends."""
+    try:
+        jvm = spark.sparkContext._jvm
+        for name in _written:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back, so that later stages neither
     recompute it nor depend on any one executor."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "troupe", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
