@@ -179,7 +179,8 @@ def language_segments(df: DataFrame, identifier: str, text: str, model: Model) -
     start and end are character places in the text; confidence is the mean posterior of the sentences, weighted by length.
 
     Null and empty texts, and those without a whole sentence, have no segments. A sentence whose best language has a
-    confidence below SURE joins the segment before it (or, at the beginning, the one after it) and doesn't begin one of its own.
+    confidence below SURE joins the segment before it (or, at the beginning, the one after it) and doesn't begin one of its own; if
+    no sentence reaches it, all of them together are one segment.
     Rows with a null identifier are left out; repeated rows give repeated segments."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -209,6 +210,9 @@ def language_segments(df: DataFrame, identifier: str, text: str, model: Model) -
                     if held:
                         runs[-1][4] += held * (end - start)
                         runs[-1][5] += end - start
+                if len(runs) == 1 and runs[0][3] is None:  # no sentence is sure by itself: all of them together decide
+                    whole = own.confidence(own.evidence([[w for _, _, words in found for w in words]]))[0]
+                    runs[0][3:] = own.langs[int(whole.argmax())], float(whole.max()), 1
                 rows += [(key, i, a, b, n, lang, c / size) for i, (a, b, n, lang, c, size) in enumerate(runs) if lang]
             columns = list(zip(*rows)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
