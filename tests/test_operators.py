@@ -132,6 +132,30 @@ def test_adjective_phrases_suppress_without_being_emitted(spark):
     assert sorted(r.term for r in got.collect()) == ["brave", "singing contest"]
 
 
+def test_descriptors_equal_a_plain_version(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [("brave", "JJ"), ("tall", "JJ"), ("team", "NN"), ("captain", "NN"), ("heroes", "NNS"), ("singing", "VBG"), ("ran", "VBD"), ("of", "IN"), ("Rome", "NNP"), ("the", "DT"), ("whole", "NN"), ("ox", "NN")]
+    docs = [[rng.choice(words) for _ in range(rng.randrange(14))] for _ in range(60)]
+    want = {}
+    for d, doc in enumerate(docs):
+        kept = [(i, t.lower(), p) for i, (t, p) in enumerate(doc) if len(t) >= 3]
+        found = [(i, i, 1, t, False) for i, t, p in kept if p == "JJ"]
+        for size in range(2, 7):
+            for at in range(len(kept) - size + 1):
+                w = kept[at : at + size]
+                tags_ = [p for _, _, p in w]
+                fine = all(p in ("JJ", "NN", "NNS", "VBG") and t not in T.PHRASE_STOPWORDS for _, t, p in w) and all(a[1] != b[1] for a, b in zip(w, w[1:]))
+                if fine and ("VBG" not in tags_ or "NN" in tags_ or "NNS" in tags_):
+                    found.append((w[0][0], w[-1][0], size, " ".join(t for _, t, _ in w), "JJ" in tags_))
+        for first, last, size, term, adjective in found:
+            if not adjective and not any(size < s and f <= first and last <= e for f, e, s, _, _ in found):
+                want[d, term] = want.get((d, term), 0) + 1
+    got = {(r.doc_id, r.term): r.occurrences for r in ngrams.descriptor_ngrams(_tagged(spark, *docs)).collect()}
+    assert got == want
+
+
 def test_suppressed_adjectives_count_both_sides(spark):
     docs = _tagged(spark, [("brave", "JJ"), ("hero", "NN"), ("was", "VBD"), ("brave", "JJ")], *[[("brave", "JJ"), ("hero", "NN")]] * 4)
     got = ngrams.suppressed_adjectives(docs, threshold=0.8).head()

@@ -41,6 +41,15 @@ STOPWORDS = frozenset(
     whose why will with within without would yet you your yourself
     """.split()
 )
+# fixed values: further words that are no part of a phrase
+PHRASE_STOPWORDS = STOPWORDS | frozenset(
+    """
+    afterwards amongst amount became becomes becoming beforehand besides beyond cant describe eg elsewhere empty
+    everywhere formerly found hence latter meanwhile mine moreover move onto otherwise ours ourselves per seemed
+    seeming seems serious show side theirs thereby therefore throughout toward towards un whatever whereas
+    whoever whole yours yourselves
+    """.split()
+)
 # fixed values: what tokenising leaves of contractions
 RESIDUES = frozenset("aren couldn didn doesn don hadn hasn haven isn ll re shouldn ve wasn weren won wouldn".split())
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from troupe.functions.text import RESIDUES, STOPWORDS, clean_feature
+from troupe.functions.text import PHRASE_STOPWORDS, RESIDUES, STOPWORDS, clean_feature
 
 # fixed values: part-of-speech tags
 NOUNS = ("NN", "NNS")
@@ -23,28 +23,32 @@ ROLE = ("noun.person", "noun.group")
 EVENT = ("noun.act", "noun.communication", "noun.relation", "noun.state")
 
 _BLOCKED_WORDS = sorted(STOPWORDS | RESIDUES)
+_NO_PHRASE_WORDS = sorted(PHRASE_STOPWORDS | RESIDUES)
+
+
+def _is(tag: Column, tags: tuple[str, ...]) -> Column:
+    return tag.isin(*tags)
 
 
 def tagged_documents(pos_tags: DataFrame, doc: str = "doc_id", least_chars: int = 3) -> DataFrame:
-    """(doc_id, tokens): per document the tokens of at least `least_chars` characters in order, with their tag and the place they had
-    among all tokens, so that windows bridge short words while spans don't forget them."""
+    """(doc_id, tokens): per document the tokens of at least `least_chars` characters in order, with the place they had among all tokens,
+    so that windows bridge short words while spans don't forget them. What a window asks of its tokens is worked out here, once
+    for each token and in generated code."""
     kept = pos_tags.where((F.length("token") >= least_chars) & ~F.col("token").rlike("^[0-9]+$"))
-    token = F.struct(F.col("token_no").cast("int").alias("at"), F.col("token").alias("token"), F.col("tag"), F.lower("token").alias("word"))
+    word = F.lower("token")
+    known = ~word.isin(*_NO_PHRASE_WORDS)
+    token = F.struct(
+        F.col("token_no").cast("int").alias("at"), word.alias("word"), (known & _is(F.col("tag"), ALLOWED)).alias("ok"), (known & _is(F.col("tag"), ADJECTIVES)).alias("adjective"),
+        _is(F.col("tag"), NOUNS).alias("noun"), (F.col("tag") == "VBG").alias("gerund"),
+    )
     return kept.groupBy(doc).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
 
 
-def _is(tag: Column, tags: tuple[str, ...]) -> Column:
-    return tag.isin(*tags)
-
-
 def allowed_sequence(window: Column) -> Column:
-    """Whether a window of tagged tokens may be a phrase: no stop words, no equal neighbours, nouns, adjectives and gerunds only;
-    one word alone must be an adjective, and gerunds need a noun."""
-    words = F.transform(window, lambda t: t["word"])
-    clean = F.forall(window, lambda t: _is(t["tag"], ALLOWED) & ~t["word"].isin(*_BLOCKED_WORDS))
-    repeated = F.exists(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.get(words, i - 1) == F.get(words, i))
-    gerund, noun = F.exists(window, lambda t: t["tag"] == "VBG"), F.exists(window, lambda t: _is(t["tag"], NOUNS))
-    return clean & F.when(F.size(window) == 1, F.exists(window, lambda t: _is(t["tag"], ADJECTIVES))).otherwise(~F.coalesce(repeated, F.lit(False)) & (~gerund | noun))
+    """Whether a window of tokens may be a phrase: no stop words, no equal neighbours, nouns, adjectives and gerunds only; gerunds
+    need a noun."""
+    repeated = F.exists(F.sequence(F.lit(1), F.size(window) - 1), lambda i: F.get(window, i - 1)["word"] == F.get(window, i)["word"])
+    return F.forall(window, lambda t: t["ok"]) & ~repeated & (~F.exists(window, lambda t: t["gerund"]) | F.exists(window, lambda t: t["noun"]))
 
 
 def _phrases(tokens: Column, most: int) -> Column:
@@ -60,7 +64,7 @@ def _phrases(tokens: Column, most: int) -> Column:
                 F.element_at(w, -1)["at"].alias("last"),
                 F.lit(size).alias("size"),
                 F.array_join(F.transform(w, lambda t: t["word"]), " ").alias("term"),
-                F.exists(w, lambda t: _is(t["tag"], ADJECTIVES)).alias("adjective"),
+                F.exists(w, lambda t: t["adjective"]).alias("adjective"),
             ),
         )
 
@@ -72,7 +76,7 @@ def suppressed_adjectives(documents: DataFrame, doc: str = "doc_id", most: int =
     of two or more words with an adjective covers it; a document may count on both sides."""
     rows = documents.select(doc, "tokens", _phrases(F.col("tokens"), most).alias("phrases"))
     blocking = rows.select(doc, F.filter("phrases", lambda p: p["adjective"]).alias("phrases"), F.explode("tokens").alias("t"))
-    found = blocking.where(_is(F.col("t.tag"), ADJECTIVES) & ~F.col("t.word").isin(*_BLOCKED_WORDS)).select(
+    found = blocking.where("t.adjective").select(
         doc, F.col("t.word").alias("adjective"), F.exists("phrases", lambda p: (p["first"] <= F.col("t.at")) & (F.col("t.at") <= p["last"])).alias("blocked")
     )
     counts = found.groupBy("adjective").agg(
@@ -87,7 +91,7 @@ def descriptor_ngrams(documents: DataFrame, suppressed: DataFrame | None = None,
     inside a longer candidate is dropped by its place, and phrases that hold an adjective suppress without being descriptors."""
     t = F.col("tokens")
     single = F.transform(
-        F.filter(t, lambda x: _is(x["tag"], ADJECTIVES) & ~x["word"].isin(*_BLOCKED_WORDS)),
+        F.filter(t, lambda x: x["adjective"]),
         lambda x: F.struct(x["at"].alias("first"), x["at"].alias("last"), F.lit(1).alias("size"), x["word"].alias("term"), F.lit(False).alias("adjective")),
     )
     rows = documents.select(doc, single.alias("single"), _phrases(t, most).alias("phrases"))
