@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -58,7 +59,12 @@ def width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+_MOVES = re.compile(r"\b(?:Aggregate|Join|Window|Repartition\w*|RebalancePartitions|Distinct|Sort|Union|Intersect|Except)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores; unchanged where the scan already gives them."""
+    """df over at least as many partitions as there are cores; unchanged where its scan already gives them. A plan that moves rows isn't
+    asked for its partitions, since the adaptive planner would run it to answer."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    scan_only = not _MOVES.search(df._jdf.queryExecution().optimizedPlan().toString())
+    return df if scan_only and df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
