@@ -228,6 +228,36 @@ def test_wide_clusters_are_divided_too(spark, monkeypatch, many):
         assert all(len(a & b) >= 0.5 * len(a | b) for a, b in itertools.combinations(group, 2))
 
 
+@pytest.mark.parametrize("many", [20_000_000, 0])
+def test_wide_clusters_are_divided_by_the_rule_of_small_ones(monkeypatch, many):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    monkeypatch.setattr(clusters, "MANY", many)
+    # key 0 is an outlier of many copies, similar to few of the large group
+    data = [(list(range(10)) + [50, 51, 52, 53, 54, 55, 56, 57], 90)] + [(sorted(rng.sample(range(14), rng.randrange(8, 13))), rng.randrange(1, 4)) for _ in range(160)]
+    table = pa.table({"cluster": pa.array([1] * 161), "key": pa.array(range(161)), "copies": pa.array([c for _, c in data]), "tokens": pa.array([x for x, _ in data], pa.list_(pa.int64()))})
+
+    def divided(wide):
+        monkeypatch.setattr(clusters, "WIDE", wide)
+        return sorted(r for b in clusters._divide(0.5)(iter(table.to_batches())) for r in zip(b.column("label").to_pylist(), b.column("key").to_pylist()))
+
+    assert len({c for c, _ in divided(1500)}) > 1 and divided(10) == divided(1500)
+
+
+def test_large_groups_of_entries_merge_as_small_ones():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    tokens = [[100 * (k % 3) + x for x in sorted(rng.sample(range(14), rng.randrange(8, 13)))] for k in range(240)]
+    own = sets.Sets(pa.array(tokens, pa.list_(pa.int64())))
+    linear = clusters._vectors(own)
+    table = pa.table({"weight": pa.array([rng.randrange(1, 9) for _ in tokens]), "linear": pa.array(linear.tolist(), pa.list_(pa.float32()))})
+    canonical = lambda found: sorted(sorted(g) for g in found if len(g) > 1)
+    small = clusters._small_groups(table, own, own.bitmaps(), np.array([[0, 240]]), 0.5)
+    assert len(canonical(small)) > 3 and canonical(clusters._large_group(table, own, own.bitmaps(), 0, 240, 0.5)) == canonical(small)
+
+
 def test_clusters_edges(spark):
     schema = "id bigint, xs array<string>, cluster int, size int, key int"
     data = [(3, ["A"], 0, 0, 0), (1, ["a", " "], 0, 0, 0), (2, ["a"], 0, 0, 0), (2, ["a"], 0, 0, 0), (4, None, 0, 0, 0), (5, [], 0, 0, 0), (6, [None], 0, 0, 0), (None, ["a"], 0, 0, 0)]

@@ -27,9 +27,9 @@ from troupe.llm.sets import Sets, blocked, classes, grouped, pairs_within, simil
 from troupe.runtime import materialize, width
 
 DIM, FANOUT, BLOCK, TYPICAL = 64, 24, 2048, 3
-#: Entries of a group that are compared pair by pair; entries of a token that meet in one group; sets of a cluster divided by links;
-#: leaders of few entries in a row that end the search for large clusters; pairs in conflict that are held at once.
-SMALL, SALT, WIDE, MISSES, MANY = 256, 4096, 1500, 12, 20_000_000
+#: Entries of a group whose similar pairs are held, and sets of a cluster that are divided by these: beyond, the pairs in conflict are held,
+#: and those of one set at a time where even they are more than MANY. Results don't depend on it. Entries of a token that meet in one group.
+SMALL, SALT, WIDE, MANY = 256, 4096, 1500, 20_000_000
 
 
 def _vectors(sets: Sets) -> np.ndarray:
@@ -216,18 +216,81 @@ def _components(i: np.ndarray, j: np.ndarray) -> dict[int, list[int]]:
     return found
 
 
-def _leaders(sets: Sets, maps: np.ndarray, at: int, end: int, threshold: float, all_: bool) -> tuple[list[list[int]], np.ndarray]:
-    """Clusters of a large group by leaders, and the entries that are left: the first that is left takes all that are similar to it.
-    An entry is compared with the leaders before it and not with all others, so one large cluster costs no more than reading it.
-    Unless `all_`, it ends when MISSES leaders in a row have taken less than a hundredth each: large clusters are out then."""
-    left, found, misses, back = np.arange(at, end), [], 0, []
-    while len(left) and (all_ or misses < MISSES):
-        same = similar(sets, maps, np.full(len(left), left[0]), left, threshold)[1]
-        large = all_ or len(same) * 100 >= len(left)
-        misses = 0 if large else misses + 1
-        (found if large else back).append(same.tolist())
-        left = np.setdiff1d(left, same, assume_unique=True)
-    return found, np.sort(np.concatenate([left, *map(np.array, back)])).astype(np.int64)
+def ward_dense(free: np.ndarray, weights: np.ndarray, centroids: np.ndarray) -> list[list[int]]:
+    """What ward() finds, in the same order of merges, from the packed bits of `free`, row by row 1 for a pair that may merge (and for the
+    diagonal). It holds these and of every cluster its cheapest older partner, and no list of pairs."""
+    n = len(free)
+    free, centre, weight = free.copy(), centroids.astype(float), weights.astype(float)
+    # a cluster has the place of its first part; its number says how late it was made
+    number, alive, members, place = np.arange(n), np.ones(n, bool), {i: [i] for i in range(n)}, {i: i for i in range(n)}
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(own: int) -> None:
+        at = place[own]
+        others = np.flatnonzero(np.unpackbits(free[at], count=n).view(bool) & alive & (number < own))
+        if len(others):
+            costs = weight[at] * weight[others] / (weight[at] + weight[others]) * ((centre[others] - centre[at]) ** 2).sum(axis=1)
+            cost = costs.min()
+            heapq.heappush(heap, (float(cost), int(number[others[costs == cost]].min()), own))
+
+    def column(at: int) -> np.ndarray:
+        return (free[:, at >> 3] >> np.uint8(7 - (at & 7))) & np.uint8(1)
+
+    for i in range(n):
+        offer(i)
+    new = n
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        if j not in members:
+            continue
+        if i not in members:
+            offer(j)
+            continue
+        a, b = place.pop(i), place.pop(j)
+        members[new] = members.pop(i) + members.pop(j)
+        centre[a] = (weight[a] * centre[a] + weight[b] * centre[b]) / (weight[a] + weight[b])
+        weight[a] += weight[b]
+        both = column(a) & column(b)
+        free[a] &= free[b]
+        bit = np.uint8(1 << (7 - (a & 7)))
+        free[:, a >> 3] = np.where(both.view(bool), free[:, a >> 3] | bit, free[:, a >> 3] & ~bit)
+        alive[b], number[a], place[new] = False, new, a
+        offer(new)
+        new += 1
+    return list(members.values())
+
+
+def _large_group(table: pa.Table, sets: Sets, maps: np.ndarray, at: int, end: int, threshold: float) -> list[list[int]]:
+    """What _small_groups() finds in one group, from its pairs that aren't similar."""
+    n = end - at
+    free = np.full((n, (n + 7) // 8), 255, np.uint8)
+    for i, j in _uncertain(sets, at, end, threshold):
+        good = similar(sets, maps, i, j, threshold)
+        bad = np.setdiff1d(i * end + j, good[0] * end + good[1], assume_unique=True)
+        i, j = bad // end - at, bad % end - at
+        for a, b in ((i, j), (j, i)):
+            np.bitwise_and.at(free, (a, b >> 3), ~(np.uint8(128) >> (b & 7).astype(np.uint8)))
+    merged, unseen = [], np.ones(n, bool)
+    for first in range(n):
+        if not unseen[first]:
+            continue
+        unseen[first], found, sizes = False, [first], []
+        for x in found:  # grows as it is read
+            row = np.unpackbits(free[x], count=n).view(bool)
+            sizes.append(int(row.sum()))
+            new = np.flatnonzero(row & unseen)
+            unseen[new] = False
+            found += new.tolist()
+        xs = np.sort(np.array(found))
+        if min(sizes) == len(found):  # all merges are allowed
+            merged.append((xs + at).tolist())
+            continue
+        part = table.take(pa.array(xs + at))
+        weights = part.column("weight").to_numpy()
+        centroids = np.array(part.column("linear").to_pylist()) / weights[:, None]
+        own = np.stack([np.packbits(np.unpackbits(free[x], count=n)[xs]) for x in xs])
+        merged += [(xs[m] + at).tolist() for m in ward_dense(own, weights, centroids)]
+    return merged
 
 
 def _agglomerate(threshold: float, salted: bool):
@@ -242,11 +305,7 @@ def _agglomerate(threshold: float, salted: bool):
             merged: list[list[int]] = []
             sizes = np.diff(bounds)
             for k in np.flatnonzero(sizes > SMALL).tolist():
-                clusters, left = _leaders(sets, maps, int(bounds[k]), int(bounds[k + 1]), threshold, bool(sizes[k] > 2 * SALT))
-                merged += clusters
-                if len(left):
-                    part, own, own_maps = table.take(pa.array(left)), sets.part(left), maps[left]
-                    merged += [left[g].tolist() for g in _small_groups(part, own, own_maps, np.array([[0, len(left)]]), threshold)]
+                merged += _large_group(table, sets, maps, int(bounds[k]), int(bounds[k + 1]), threshold)
             small = np.flatnonzero(sizes <= SMALL)
             merged += _small_groups(table, sets, maps, np.stack([bounds[small], bounds[small + 1]], axis=1), threshold)
             alone = np.ones(len(entries), bool)
@@ -287,6 +346,7 @@ def _small_groups(table: pa.Table, sets: Sets, maps: np.ndarray, spans: np.ndarr
         if len(edges[c]) == len(xs) * (len(xs) - 1) // 2:
             merged.append(xs)  # all merges are allowed, so they end in one cluster in whatever order
             continue
+        xs = sorted(xs)
         at_ = {x: k for k, x in enumerate(xs)}
         part = table.take(pa.array(xs))
         weights = part.column("weight").to_numpy()
@@ -342,8 +402,8 @@ def _conflicts(threshold: float):
 
 def _divide(threshold: float):
     """Whole clusters (cluster, key, copies, tokens), sorted, into mutually similar groups: again and again a record starts a group,
-    which takes in order those records that are similar to all in it. In clusters of up to WIDE sets that is the record, and
-    always the next one, with most similar records left; in larger ones the one with most copies."""
+    which takes in order those records that are similar to all in it. That is the record, and always the next one, with most similar
+    records left, which is the one with fewest that aren't: up to WIDE sets the former are counted, in larger clusters the latter."""
 
     def linked_groups(sets: Sets, maps: np.ndarray, keys: np.ndarray, copies: np.ndarray, at: int, end: int) -> Iterator[list[int]]:
         linked: dict[int, set[int]] = {i: set() for i in range(at, end)}
@@ -367,41 +427,66 @@ def _divide(threshold: float):
             left -= set(group)
             yield group
 
-    def conflicts(sets: Sets, maps: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All pairs that aren't similar, both ways round and sorted; None if there are more than MANY."""
-        left, right, held = [], [], 0
+    def conflicts(sets: Sets, maps: np.ndarray, copies: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Of every set the records that aren't similar to it; and all such pairs as bounds and sets, counted from `at`, unless more than MANY."""
+        n, held = end - at, 0
+        left, right, against = [], [], np.zeros(n)
         for i, j in _uncertain(sets, at, end, threshold):
             good = similar(sets, maps, i, j, threshold)
             bad = np.setdiff1d(i * end + j, good[0] * end + good[1], assume_unique=True)
-            left.append(bad // end)
-            right.append(bad % end)
+            i, j = bad // end - at, bad % end - at
+            against += np.bincount(i, copies[at + j], n) + np.bincount(j, copies[at + i], n)
             held += len(bad)
             if held > MANY:
-                return None
-        i, j = np.concatenate(left), np.concatenate(right)
-        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+                left, right = [], []
+            else:
+                left.append(i.astype(np.int32))
+                right.append(j.astype(np.int32))
+        if held > MANY:
+            return against, None, None
+        i, j = (np.concatenate([np.zeros(0, np.int32), *x, *y]) for x, y in ((left, right), (right, left)))
         order = np.argsort(i, kind="stable")
-        return i[order], j[order]
+        return against, np.searchsorted(i[order], np.arange(n + 1)), j[order]
 
     def wide_groups(sets: Sets, maps: np.ndarray, keys: np.ndarray, copies: np.ndarray, at: int, end: int) -> Iterator[list[int]]:
-        left = np.arange(at, end)[np.lexsort((keys[at:end], -copies[at:end]))]
-        bad = conflicts(sets, maps, at, end)
-        while len(left):
-            group: list[int] = []
-            if bad is not None:
-                starts = np.searchsorted(bad[0], np.arange(at, end + 1))
-                barred = np.zeros(end, bool)
-                for x in left.tolist():
-                    if not barred[x]:
-                        group.append(x)
-                        barred[bad[1][starts[x - at] : starts[x - at + 1]]] = True
+        own, weight = keys[at:end], copies[at:end].astype(float)
+        against, starts, others = conflicts(sets, maps, copies, at, end)
+
+        def opposed(x: int, among: np.ndarray) -> np.ndarray:
+            if starts is not None:
+                row = others[starts[x] : starts[x + 1]]
+                return row[among[row]]
+            rows = np.setdiff1d(np.flatnonzero(among), [x], assume_unique=True)
+            return np.setdiff1d(rows, similar(sets, maps, np.full(len(rows), x + at), rows + at, threshold)[1] - at, assume_unique=True)
+
+        def without(counts: np.ndarray, gone: np.ndarray, stay: np.ndarray) -> None:
+            """Counts what is left against those that stay, from whichever of both are fewer."""
+            rows = np.flatnonzero(stay)
+            if len(gone) <= len(rows):
+                for x in gone.tolist():
+                    counts[opposed(x, stay)] -= weight[x]
             else:
-                group, allowed = [int(left[0])], left[1:]
-                while len(allowed := similar(sets, maps, np.full(len(allowed), group[-1]), allowed, threshold)[1]):
-                    group.append(int(allowed[0]))
-                    allowed = allowed[1:]
-            left = left[~np.isin(left, group)]
-            yield group
+                for x in rows.tolist():
+                    counts[x] = weight[opposed(x, stay)].sum()
+
+        left = np.ones(end - at, bool)
+        while left.any():
+            group, allowed, counts = [], left.copy(), against.copy()
+            while len(rows := np.flatnonzero(allowed)):
+                fewest = rows[counts[rows] == counts[rows].min()]
+                if counts[fewest[0]] == 0:  # they bar nothing, so all of them follow
+                    group += fewest.tolist()
+                    allowed[fewest] = False
+                    continue
+                best = int(fewest[np.argmin(own[fewest])])
+                group.append(best)
+                allowed[best] = False
+                barred = opposed(best, allowed)
+                allowed[barred] = False
+                without(counts, barred, allowed)
+            left[group] = False
+            without(against, np.array(group), left)
+            yield [x + at for x in group]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in grouped(batches):
