@@ -461,6 +461,23 @@ def test_linkage(spark):
     assert linkage.link_entities(a.where("false"), b, *args).count() == 0 and linkage.link_entities(a, b.where("false"), *args).count() == 0
 
 
+def test_links_of_a_frequent_full_name(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "RARE", 2)
+    left, right = [], []
+    for k in range(4):  # namesakes in works of other titles
+        left.append((k, "Aki Mori", None, "female", f"Left {k}"))
+        right.append((k, f"Right {k}", 100 + k, "Aki Mori", None, "female"))
+    # works whose titles don't join, but two of whose three entities are matched by their native names
+    left += [(10, "Aki Mori", None, "female", "Alpha"), (11, "Ken Sato", "佐藤健", "male", "Alpha"), (12, "Rei Oda", "小田玲", "female", "Alpha")]
+    right += [(9, "Omega", 110, "Aki Mori", "森亜紀", "female"), (9, "Omega", 111, "Ken Sato", "佐藤健", "male"), (9, "Omega", 112, "Rei Oda", "小田玲", "female")]
+    left.append((20, "Aki Mori", None, "female", None))  # without a work, under any of the namesakes
+    a = spark.createDataFrame(left, "id bigint, name string, native_name string, gender string, t1 string")
+    b = spark.createDataFrame(right, "work bigint, title string, cid bigint, name string, native_name string, gender string")
+    found = linkage.link_entities(a, b, "id", "cid", "name", "native_name", "gender", ["t1"], "title", "work")
+    got = {(r.a, r.b) for r in found.collect()}
+    assert {(10, 110), (11, 111), (12, 112)} <= got and {x for x, _ in got} == {10, 11, 12, 20}
+
+
 def test_connected_components(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40) if i != 20] + [("x", "x"), (None, "y")]
     got = {r.node: r.component for r in linkage.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}

@@ -3,8 +3,9 @@
 1. Works. Titles that stand for the same work, by alternative titles of one record or by one work id, are joined into
    components of the title graph.
 2. Candidate graph. Two entities are linked by the rare attributes they share: a word of the name (or its beginning)
-   within the same work, the native name with such a word or the work, a full name that few have. An edge weighs the
-   sum of its attributes' rarity.
+   within the same work, the native name with such a word or the work, a full name that few have. Those of a full name
+   that many have meet where one is without a work and genders agree, and, once propagation has matched entities of
+   two works, within these. An edge weighs the sum of its attributes' rarity.
 3. Meta-blocking. An edge far lighter than the heaviest at both of its ends is dropped.
 4. Similarity. Names, native names and genders give each edge its own evidence.
 5. Propagation. Works are neighbours of the entities in them: how many of two works' entities are matched says how
@@ -107,20 +108,43 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike), pa.array(same), pa.array(own)], ["a", "b", "alike", "same_native", "own"])
 
 
-def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): the pruned candidate graph of two sides (id, tokens, native, works)."""
+def _candidates(left: DataFrame, right: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(a, b): the pruned candidate graph of two sides (id, tokens, native, gender, works); and the ids of either side (id, key) under full
+    names that more than RARE have, if there are any."""
     a = spread(left.select("id", "tokens", "native", "works")).mapInArrow(_entity_keys, "id bigint, key string").withColumnRenamed("id", "a")
     b = spread(right.select("id", "tokens", "native", "works")).mapInArrow(_entity_keys, "id bigint, key string").withColumnRenamed("id", "b")
     a, b = materialize(a, "link-keys"), materialize(b, "link-keys")
     shared = a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key")
-    # a full name alone says nothing where many have it; those pairs meet by the other keys
-    kept = shared.where(~F.col("key").startswith("f") | ((F.col("na") <= RARE) & (F.col("nb") <= RARE)))
-    rarity = kept.select("key", (1 / (1 + F.log(F.col("na").cast("double") * F.col("nb")))).alias("rarity"))
-    edges = a.join(rarity, "key").join(b, "key").groupBy("a", "b").agg(F.sum("rarity").alias("weight"))
-    edges = materialize(edges, "link-edges")
+    shared = materialize(shared.withColumn("hot", F.col("key").startswith("f") & ((F.col("na") > RARE) | (F.col("nb") > RARE))), "link-shared")
+    rarity = (1 / (1 + F.log(F.col("na").cast("double") * F.col("nb")))).alias("rarity")
+    met, frequent = a.join(shared.where("not hot").select("key", rarity), "key").join(b, "key").select("a", "b", "rarity"), None
+    if not shared.where("hot").isEmpty():
+        # a full name that many have is evidence enough only with a work in common, where the other keys or the matches of the works
+        # bring pairs together, or where a work is unknown and genders agree
+        hot = shared.where("hot").select("key", rarity)
+        known = lambda x, y: x.select(F.col("id").alias(y), F.col("gender").alias(f"gender_{y}"), (F.size("works") > 0).alias(f"known_{y}"))
+        hot_a, hot_b = a.join(hot, "key").join(known(left, "a"), "a"), b.join(hot.select("key"), "key").join(known(right, "b"), "b")
+        hot_a, hot_b = materialize(hot_a, "link-frequent"), materialize(hot_b, "link-frequent")
+        for x, y in ((hot_a.where("not known_a"), hot_b), (hot_a.where("known_a"), hot_b.where("not known_b"))):
+            met = met.unionByName(x.join(y, "key").where("coalesce(gender_a = gender_b, true)").select("a", "b", "rarity"))
+        frequent = hot_a.select(F.col("a").alias("id"), "key"), hot_b.select(F.col("b").alias("id"), "key")
+    edges = materialize(met.groupBy("a", "b").agg(F.sum("rarity").alias("weight")), "link-edges")
     most_a, most_b = (edges.groupBy(x).agg(F.max("weight").alias(f"most_{x}")) for x in "ab")
     weighed = edges.join(most_a, "a").join(most_b, "b")
-    return weighed.where((F.col("weight") >= PRUNE * F.col("most_a")) | (F.col("weight") >= PRUNE * F.col("most_b"))).select("a", "b")
+    return weighed.where((F.col("weight") >= PRUNE * F.col("most_a")) | (F.col("weight") >= PRUNE * F.col("most_b"))).select("a", "b"), frequent
+
+
+def _supported(frequent: tuple[DataFrame, DataFrame], support: DataFrame, left_works: DataFrame, right_works: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): further candidates under a frequent full name, in works that their matches show to be one."""
+    works = support.where("x <> y and votes > 1 and share >= 0.5").select("x", "y")
+    a, b = (names.join(own, "id").select(F.col("id").alias(i), "key", F.col("work").alias(w)) for names, own, i, w in ((frequent[0], left_works, "a", "x"), (frequent[1], right_works, "b", "y")))
+    return materialize(a.join(works, "x").join(b, ["key", "y"]).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "link-supported")
+
+
+def _with_sides(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs with the columns of both entities."""
+    of = lambda x, y: x.select(F.col("id").alias(y), *[F.col(c).alias(f"{c}_{y}") for c in ("tokens", "native", "gender", "works")])
+    return materialize(pairs.join(of(a, "a"), "a").join(of(b, "b"), "b"), "link-sides")
 
 
 def _best(scored: DataFrame) -> DataFrame:
@@ -167,23 +191,34 @@ def link_entities(
         return materialize(x.drop("titles").join(lists, "id", "left").withColumn("works", F.coalesce("works", F.array().cast("array<string>"))), "link-entities")
 
     a, b = with_works(a, left_works), with_works(b, right_works)
-    pairs = _candidates(a, b)
-    sides = pairs.join(a.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a"), F.col("native").alias("native_a"), F.col("gender").alias("gender_a"), F.col("works").alias("works_a")), "a").join(
-        b.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b"), F.col("native").alias("native_b"), F.col("gender").alias("gender_b"), F.col("works").alias("works_b")), "b"
-    )
-    sides = materialize(sides, "link-sides")
-    compared = sides.select("a", "b", "tokens_a", "native_a", "gender_a", "tokens_b", "native_b", "gender_b").mapInArrow(_compare, "a bigint, b bigint, alike double, same_native boolean, own double")
-    edges = materialize(compared.join(sides.select("a", "b", "works_a", "works_b"), ["a", "b"]).where("own > -6"), "link-compared")
-    crossed = edges.select("a", "b", F.explode("works_a").alias("x"), "works_b").select("a", "b", "x", F.explode("works_b").alias("y"))
-    crossed = materialize(crossed, "link-crossed")
+    pairs, frequent = _candidates(a, b)
+    pairs = materialize(pairs, "link-pairs") if frequent else pairs
+
+    def compared_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges with their own evidence, and (a, b, x, y) with the works of both ends."""
+        sides = _with_sides(pairs, a, b)
+        compared = sides.select("a", "b", "tokens_a", "native_a", "gender_a", "tokens_b", "native_b", "gender_b").mapInArrow(_compare, "a bigint, b bigint, alike double, same_native boolean, own double")
+        edges = materialize(compared.join(sides.select("a", "b", "works_a", "works_b"), ["a", "b"]).where("own > -6"), "link-compared")
+        crossed = edges.select("a", "b", F.explode("works_a").alias("x"), "works_b").select("a", "b", "x", F.explode("works_b").alias("y"))
+        return edges, materialize(crossed, "link-crossed")
+
+    edges, crossed = compared_pairs(pairs)
     size_a = left_works.groupBy(F.col("work").alias("x")).agg(F.count("*").alias("size_a"))
     size_b = right_works.groupBy(F.col("work").alias("y")).agg(F.count("*").alias("size_b"))
 
-    support, before = None, None
-    for _ in range(ROUNDS):
+    support, before, rounds = None, None, 0
+    while True:
+        rounds += 1
         matches = materialize(_best(_scored(edges, crossed, support)), "link-matches")
         if before is not None and matches.select("a", "b").exceptAll(before).isEmpty() and before.exceptAll(matches.select("a", "b")).isEmpty():
-            break
+            rounds = ROUNDS
+        if rounds == ROUNDS:
+            if not frequent or support is None or (more := _supported(frequent, support, left_works, right_works, pairs)).isEmpty():
+                break
+            more_edges, more_crossed = compared_pairs(more)
+            pairs = materialize(pairs.unionByName(more), "link-pairs")
+            edges, crossed, before, rounds = edges.unionByName(more_edges), crossed.unionByName(more_crossed), None, 0
+            continue
         before = matches.select("a", "b")
         votes = crossed.join(before, ["a", "b"]).groupBy("x", "y").agg(F.count("*").alias("votes"))
         support = votes.join(size_a, "x").join(size_b, "y").select("x", "y", "votes", (F.col("votes") / F.least("size_a", "size_b")).alias("share"))
