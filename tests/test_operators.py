@@ -397,3 +397,19 @@ def test_repeated_and_empty_inputs(spark):
     assert tags.tag_counts(empty, "item").count() == 0 and tags.category_values(empty, "item").count() == 0
     assert lanes.shares(spark.createDataFrame([], "r int, c int, v double"), "r", "c", "v").count() == 0
     assert vectors.similar_pairs(spark.createDataFrame([], "k bigint, v array<double>"), "k", "v", 0.5).count() == 0
+
+
+def test_event_factors_run_until_the_error_settles(spark, monkeypatch):
+    from troupe.plans import kernels as plans
+
+    seen, factorise = [], kernels.factorise
+
+    def watched(*args, **options):
+        seen.append(factorise(*args, **options))
+        return seen[-1]
+
+    monkeypatch.setattr(kernels, "factorise", watched)
+    assert plans.event_factors(spark, "/root/testdata/sf0.001").count() > 0
+    errors = seen[0][2]
+    print("rounds", len(errors), "errors", errors[7:8], errors[-1])
+    assert errors[-2] - errors[-1] < 1e-5

@@ -72,14 +72,14 @@ def _events(spark, sf_dir):
 
 def event_factors(spark, sf_dir):
     """Topics of users by the types of their events: shares of each user."""
-    w, _, _ = K.factorise(_events(spark, sf_dir), "user_id", "event_type", "n", 3, rounds=8)
+    w, _, _ = K.factorise(_events(spark, sf_dir), "user_id", "event_type", "n", 3)
     total = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x)
     return w.select("user_id", F.transform("weights", lambda x: F.when(total > 0, F.round(x / total, 4)).otherwise(0.0)).alias("shares"))
 
 
 def factor_diagnostics(spark, sf_dir):
     cells = _events(spark, sf_dir)
-    w, h, _ = K.factorise(cells, "user_id", "event_type", "n", 3, rounds=8)
+    w, h, _ = K.factorise(cells, "user_id", "event_type", "n", 3)
     return K.reconstruction_diagnostics(cells, w, spark.createDataFrame(h, "event_type string, weights array<double>"), "user_id", "event_type", "n")
 
 
@@ -88,7 +88,7 @@ def factor_size(spark, sf_dir):
     cells = _events(spark, sf_dir)
     rows = []
     for k in (2, 3, 4):
-        w, h, errors = K.factorise(cells, "user_id", "event_type", "n", k, rounds=5)
+        w, h, errors = K.factorise(cells, "user_id", "event_type", "n", k)
         got = {r["part"]: r for r in K.reconstruction_diagnostics(cells, w, spark.createDataFrame(h, "event_type string, weights array<double>"), "user_id", "event_type", "n").collect()}
         zero = got.get("zero")
         rows.append((k, float(zero["q99"]) if zero else 0.0, float(zero["above"]) if zero else 0.0, float(got["nonzero"]["above"]), round(errors[-1], 6)))
