@@ -413,3 +413,11 @@ def test_event_factors_run_until_the_error_settles(spark, monkeypatch):
     errors = seen[0][2]
     print("rounds", len(errors), "errors", errors[7:8], errors[-1])
     assert errors[-2] - errors[-1] < 1e-5
+
+
+def test_local_components_use_every_vector(spark):
+    from troupe.plans import kernels as plans
+
+    d = "/root/testdata/sf0.001"
+    terms = plans.local_components(spark, d).where("side = 'term'").select("key").distinct().count()
+    assert terms == spark.read.parquet(f"{d}/embeddings.parquet").count()

@@ -59,9 +59,9 @@ def variant_coherence(spark, sf_dir):
 
 
 def local_components(spark, sf_dir):
-    """Leading components of the labels' sets in the basis of their vectors, by eight neighbouring ids as items."""
-    rows = table(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 8).alias("item"), F.pmod("vec_id", F.lit(40)).alias("term"))
-    basis = table(spark, sf_dir, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("term"), F.col("embedding").alias("vector"))
+    """Leading components of the labels' sets in the basis of all their vectors, each a term, by eight neighbouring ids as items."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 8).alias("item"), F.col("vec_id").alias("term"))
+    basis = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("term"), F.col("embedding").alias("vector"))
     found = K.local_svd(rows, basis, "label", "item", "term")
     return found.select("label", "component", "side", "key", F.round("amplitude", 5).alias("amplitude"), F.round("singular", 5).alias("singular"))
 
