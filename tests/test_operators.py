@@ -421,3 +421,14 @@ def test_local_components_use_every_vector(spark):
     d = "/root/testdata/sf0.001"
     terms = plans.local_components(spark, d).where("side = 'term'").select("key").distinct().count()
     assert terms == spark.read.parquet(f"{d}/embeddings.parquet").count()
+
+
+def test_pivot_queries_have_no_rank_limit(spark):
+    from troupe.plans import kernels as plans
+
+    d = "/root/testdata/sf0.001"
+    basis, near = plans.pivot_basis(spark, d), plans.nearest_pivots(spark, d)
+    sizes = {r.label: min(r["count"], 64) for r in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().collect()}
+    last = basis.groupBy("label").agg(F.max("rank").alias("rank"), F.min("trace_share").alias("left")).collect()
+    assert all(r["rank"] == sizes[r["label"]] or r["left"] <= 1e-6 for r in last)
+    assert near.groupBy("label").agg(F.count_distinct("pivot_key").alias("n")).agg(F.max("n")).head()[0] > 12

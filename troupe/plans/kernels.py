@@ -35,12 +35,12 @@ def set_map(spark, sf_dir):
 
 def pivot_basis(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", V.unit("embedding").alias("v"))
-    return K.pivot_basis(rows, "label", "vec_id", "v", most=12).select("label", "rank", "vec_id", F.round("pivot", 6).alias("pivot"), F.round("trace_share", 6).alias("trace_share"))
+    return K.pivot_basis(rows, "label", "vec_id", "v").select("label", "rank", "vec_id", F.round("pivot", 6).alias("pivot"), F.round("trace_share", 6).alias("trace_share"))
 
 
 def nearest_pivots(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", V.unit("embedding").alias("v"))
-    return K.nearest_pivots(rows, K.pivot_basis(rows, "label", "vec_id", "v", most=12), "label", "vec_id", "v").withColumn("cosine", F.round("cosine", 6))
+    return K.nearest_pivots(rows, K.pivot_basis(rows, "label", "vec_id", "v"), "label", "vec_id", "v").withColumn("cosine", F.round("cosine", 6))
 
 
 def variant_coherence(spark, sf_dir):
