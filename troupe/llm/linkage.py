@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from troupe.llm.names import field, is_kanji, name_similarity, name_tokens, nati
 from troupe.runtime import materialize, spread
 
 #: Evidence in units of log odds.
-BIAS, ROUNDS, PRUNE, RARE = -3.5, 6, 0.25, 64
+BIAS, PRUNE, RARE = -3.5, 0.25, 64
 WORK, WORK_SUPPORT, NO_WORK, OTHER_WORK = 2.2, 1.5, -0.5, -4.0
 NATIVE_SAME, NATIVE_OTHER, GENDER_SAME, GENDER_OTHER = 4.5, -6.0, 0.7, -4.0
 #: A further record of one entity must agree at least so well in its name.
@@ -206,18 +207,21 @@ def link_entities(
     size_a = left_works.groupBy(F.col("work").alias("x")).agg(F.count("*").alias("size_a"))
     size_b = right_works.groupBy(F.col("work").alias("y")).agg(F.count("*").alias("size_b"))
 
-    support, before, rounds = None, None, 0
+    support, before, states = None, None, set()
     while True:
-        rounds += 1
         matches = materialize(_best(_scored(edges, crossed, support)), "link-matches")
-        if before is not None and matches.select("a", "b").exceptAll(before).isEmpty() and before.exceptAll(matches.select("a", "b")).isEmpty():
-            rounds = ROUNDS
-        if rounds == ROUNDS:
+        over = before is not None and matches.select("a", "b").exceptAll(before).isEmpty() and before.exceptAll(matches.select("a", "b")).isEmpty()
+        state = tuple(matches.agg(F.count("*"), *[F.sum(F.xxhash64("a", "b", F.lit(k)).cast("decimal(20,0)")) for k in (0, 1)]).head())
+        if not over and state in states:
+            warnings.warn(f"link_entities: matches recur after {len(states)} rounds without being stable", stacklevel=2)
+            over = True
+        states.add(state)
+        if over:
             if not frequent or support is None or (more := _supported(frequent, support, left_works, right_works, pairs)).isEmpty():
                 break
             more_edges, more_crossed = compared_pairs(more)
             pairs = materialize(pairs.unionByName(more), "link-pairs")
-            edges, crossed, before, rounds = edges.unionByName(more_edges), crossed.unionByName(more_crossed), None, 0
+            edges, crossed, before, states = edges.unionByName(more_edges), crossed.unionByName(more_crossed), None, set()
             continue
         before = matches.select("a", "b")
         votes = crossed.join(before, ["a", "b"]).groupBy("x", "y").agg(F.count("*").alias("votes"))
