@@ -26,3 +26,33 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_without_the_tokenizer_library():
+    """The core's queries don't depend on what the training-data operators need."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) >= 74 and not any(x.startswith('p1_') for x in q) and set(s) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rsplit("/", 1)[0], check=False).returncode == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from troupe.runtime import shared_dir
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(fake)
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    import glob
+
+    from troupe.runtime import materialize, scratch, shared_dir
+
+    with scratch(spark):
+        assert materialize(spark.range(3), "scratch-test").count() == 3
+        assert glob.glob(f"{shared_dir(spark).removeprefix('file://')}/troupe/scratch-test-*")
+    assert not glob.glob(f"{shared_dir(spark).removeprefix('file://')}/troupe/scratch-test-*")
