@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,9 +19,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from troupe.runtime import spread
+from troupe.runtime import materialize, spread
 
-#: Documents to fit on at most, chosen by a hash of their id; rounds of labelling again; documents that a known word needs.
+#: Documents to fit on, chosen by a hash of their id; rounds of labelling again; documents that a known word needs.
 SAMPLE, ROUNDS, KNOWN, NGRAM, SMOOTH = 10_000, 2, 4, 4, 0.05
 #: Most log-frequency difference that one known word, and one unknown word, can make.
 WORD_LIMIT, PIECE_LIMIT = 6.0, 1.5
@@ -42,7 +41,6 @@ _SENTENCE = regex.compile(r"[^\n.!?。！？]*(?:[.!?](?![\s\"'»”’)\]」』
 _TOKEN = regex.compile(r"[\p{Han}々〆]+|\p{Hiragana}+|[\p{Katakana}ー]+|\p{Hangul}+|[\p{L}\p{M}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]]+", regex.V1)
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _HAN = regex.compile(r"[\p{Han}々〆]+")
-_CYRILLIC = regex.compile(r"\p{Cyrillic}")
 
 
 def masked(text: str) -> str:
@@ -66,31 +64,22 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 class Model:
+    """Log frequencies of known words and of n-grams in each of `langs`."""
+
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], pieces: dict[str, np.ndarray]):
         self.langs, self.words, self.pieces = langs, words, pieces
 
     @classmethod
-    def fit(cls, langs: list[str], documents: list[tuple[list[tuple[list[str], int]]]]) -> Model:
-        """documents: of each, its sentences as (words, language number or -1)."""
-        n = len(langs)
-        counts: dict[str, np.ndarray] = {}
-        for doc in documents:
-            for word, lang in {(w, k) for words, k in doc for w in words if k >= 0}:
-                if word not in counts:
-                    counts[word] = np.zeros(n, np.float32)
-                counts[word][lang] += 1
-        pieces: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n, np.float32))
-        for word, c in counts.items():
-            for x in _pieces(word):
-                pieces[x] += np.minimum(c, 20)  # a frequent word isn't all of a language
-        known = {w: c for w, c in counts.items() if c.sum() >= KNOWN}
-        totals = np.maximum(sum(known.values(), np.zeros(n)), 1)
-        words = {w: _limited(np.log((c + SMOOTH) / (totals + SMOOTH * len(known))), WORD_LIMIT) for w, c in known.items()}
-        by_length: dict[int, np.ndarray] = {k: np.ones(n) for k in range(1, NGRAM + 1)}
-        for x, c in pieces.items():
-            by_length[len(x)] += c
-        scored = {x: np.log((c + 0.5) / by_length[len(x)]) for x, c in pieces.items() if c.sum() >= 3}
-        return cls(langs, words, {x: (s - s.max()).astype(np.float32) for x, s in scored.items()})
+    def of_counts(cls, langs: list[str], words: tuple[list[str], np.ndarray], pieces: tuple[list[str], np.ndarray], by_length: np.ndarray) -> Model:
+        """From documents by known word and language, weights by n-gram and language, and the latter summed by length of n-gram."""
+        known, c = words
+        totals = np.maximum(c.sum(axis=0), 1)
+        scores = _limited(np.log((c + SMOOTH) / (totals + SMOOTH * max(len(known), 1))), WORD_LIMIT)
+        grams, g = pieces
+        size = np.fromiter(map(len, grams), np.int64, len(grams))
+        each = np.log((g + 0.5) / by_length[size]) if len(grams) else np.zeros((0, len(langs)))
+        each = (each - each.max(axis=1, keepdims=True, initial=-np.inf)).astype(np.float32)
+        return cls(langs, dict(zip(known, scores)), dict(zip(grams, each)))
 
     @lru_cache(maxsize=100_000)  # noqa: B019
     def unknown(self, word: str) -> np.ndarray:
@@ -106,11 +95,15 @@ class Model:
 
     def evidence(self, lists: list[list[str]]) -> np.ndarray:
         """Summed evidence of each list of words."""
+        sizes = [len(x) for x in lists]
         out = np.zeros((len(lists), len(self.langs)), np.float32)
-        for k, words in enumerate(lists):
-            for w in words:
-                known = self.words.get(w)
-                out[k] += known if known is not None else self.unknown(w)
+        if not sum(sizes):
+            return out
+        known, unknown = self.words, self.unknown
+        rows = np.stack([s if (s := known.get(w)) is not None else unknown(w) for words in lists for w in words])
+        filled = np.flatnonzero(sizes)
+        starts = np.cumsum([0, *np.array(sizes)[filled[:-1]]])
+        out[filled] = np.add.reduceat(rows, starts, axis=0)
         return out
 
     def confidence(self, evidence: np.ndarray) -> np.ndarray:
@@ -131,7 +124,7 @@ def _pieces(word: str) -> Iterator[str]:
 
 
 def _limited(scores: np.ndarray, most: float) -> np.ndarray:
-    return np.maximum(scores - scores.max(), -most).astype(np.float32)
+    return np.maximum(scores - scores.max(axis=-1, keepdims=True, initial=-np.inf), -most).astype(np.float32)
 
 
 def label_code(label: str | Column, codes: list[tuple[str, str]]) -> Column:
@@ -144,31 +137,92 @@ def label_code(label: str | Column, codes: list[tuple[str, str]]) -> Column:
     return F.coalesce(F.try_element_at(table, clean), F.try_element_at(table, head))
 
 
+def _by_language(langs: list[str]) -> list[str]:
+    return [f"c{k}" for k in range(len(langs))]
+
+
+def _word_pieces(langs: list[str]):
+    """Words with their counts by language to n-grams with theirs, summed within the batch; a frequent word isn't all of a language."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.minimum(np.stack([batch.column(k + 1).to_numpy() for k in range(len(langs))], axis=1), 20)
+            place: dict[str, int] = {}
+            at, row = [], []
+            for k, word in enumerate(batch.column(0).to_pylist()):
+                for x in _pieces(word):
+                    at.append(place.setdefault(x, len(place)))
+                    row.append(k)
+            sums = np.zeros((len(place), len(langs)))
+            np.add.at(sums, np.array(at, int), counts[np.array(row, int)])
+            yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), *map(pa.array, sums.T)], ["piece", *_by_language(langs)])
+
+    return kernel
+
+
+def _counted(sentences_: DataFrame, langs: list[str]) -> Model:
+    """The model of sentences (doc, lang, words): documents by word and language, and n-grams of the words, counted where the sentences are."""
+    cols = _by_language(langs)
+    once = sentences_.where("lang >= 0").select("doc", "lang", F.explode("words").alias("word")).distinct()
+    words = materialize(once.groupBy("word").agg(*[F.count_if(F.col("lang") == k).cast("double").alias(c) for k, c in enumerate(cols)]), "language-words")
+    total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    schema = ", ".join(["piece string", *(f"{c} double" for c in cols)])
+    pieces = spread(words).mapInArrow(_word_pieces(langs), schema).groupBy("piece").agg(*[F.sum(c).alias(c) for c in cols])
+    pieces = materialize(pieces, "language-pieces")
+    sums = {r["size"]: [r[c] for c in cols] for r in pieces.groupBy(F.length("piece").alias("size")).agg(*[F.sum(c).alias(c) for c in cols]).collect()}
+    by_length = np.ones((NGRAM + 1, len(langs)))
+    for size, x in sums.items():
+        by_length[size] += x
+
+    def taken(df: DataFrame) -> tuple[list[str], np.ndarray]:
+        got = df.toArrow()
+        return got.column(0).to_pylist(), np.stack([got.column(c).to_numpy() for c in cols], axis=1) if got.num_rows else np.zeros((0, len(langs)))
+
+    return Model.of_counts(langs, taken(words.where(total >= KNOWN)), taken(pieces.where(total >= 3)), by_length)
+
+
 def fit_model(df: DataFrame, identifier: str, text: str, label: str, codes: list[tuple[str, str]], sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled documents, read whole. Only the fit is on a sample; every document is labelled."""
+    """A model from about `sample` labelled documents, chosen by a hash of their identifier and read whole. Only the fit is on a sample; every
+    document is labelled. Sentences and counts stay distributed: what the driver holds is the model, which is broadcast anyway."""
     rows = df.select(F.col(identifier).alias("id"), F.col(text).alias("text"), label_code(label, codes).alias("code")).where("code is not null and text is not null")
-    total = rows.count()
-    share = min(1.0, 1.1 * sample / max(total, 1))
-    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(sample)
-    split = chosen.mapInArrow(_sample_sentences, "code string, words array<string>").toArrow()
-    langs = sorted(set(split.column("code").to_pylist()))
-    number = {x: k for k, x in enumerate(langs)}
-    documents = [[(s.split(" "), number[c]) for s in ss] for c, ss in zip(split.column("code").to_pylist(), split.column("words").to_pylist()) if ss]
-    model = Model.fit(langs, documents)
-    for _ in range(ROUNDS if langs else 0):
-        again = []
-        for doc in documents:
-            sure = model.confidence(model.evidence([w for w, _ in doc]))
-            again.append([(w, int(p.argmax()) if p.max() >= SURE else -1) for (w, _), p in zip(doc, sure)])
-        documents = again
-        model = Model.fit(langs, documents)
+    share = min(1.0, sample / max(rows.count(), 1))
+    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.xxhash64("id").alias("doc"), "code", "text")
+    split = materialize(spread(chosen).mapInArrow(_sample_sentences, "doc bigint, code string, words array<string>"), "language-sentences")
+    langs = [r[0] for r in split.select("code").distinct().orderBy("code").collect()]  # some of `codes`
+    if not langs:
+        return Model([], {}, {})
+    number = F.create_map(*[x for k, c in enumerate(langs) for x in (F.lit(c), F.lit(k))])
+    model = _counted(split.select("doc", number[F.col("code")].alias("lang"), "words"), langs)
+    for _ in range(ROUNDS):
+        again = split.select("doc", "words").mapInArrow(_labelled(df.sparkSession.sparkContext.broadcast(model)), "doc bigint, lang int, words array<string>")
+        model = _counted(again, langs)
     return model
 
 
 def _sample_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [[" ".join(w) for _, _, w in sentences(x)] for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.list_(pa.string()))], ["code", "words"])
+        docs, codes, words = [], [], []
+        for doc, code, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, _, found in sentences(text):
+                docs.append(doc)
+                codes.append(code)
+                words.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(codes, pa.string()), pa.array(words, pa.list_(pa.string()))], ["doc", "code", "words"])
+
+
+def _labelled(shared):
+    """Sentences (doc, words) with the language that the model is sure of, or -1."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sure = model.confidence(model.evidence(batch.column(1).to_pylist()))
+            lang = np.where(sure.max(axis=1) >= SURE, sure.argmax(axis=1), -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), batch.column(1)], ["doc", "lang", "words"])
+
+    return kernel
 
 
 _SEGMENT = "id bigint, segment int, start int, end int, sentences int, lang string, confidence double"
@@ -195,10 +249,8 @@ def language_segments(df: DataFrame, identifier: str, text: str, model: Model) -
                 sure = own.confidence(own.evidence([w for _, _, w in found]))
                 best, most = sure.argmax(axis=1).tolist(), sure.max(axis=1).tolist()
                 runs: list[list] = []
-                for (start, end, words), k, p in zip(found, best, most):
+                for (start, end, _), k, p in zip(found, best, most):
                     lang = own.langs[k]
-                    if sum(map(bool, map(_CYRILLIC.match, words))) * 2 > len(words):
-                        lang, p = ("ru", 1.0) if "ru" not in own.langs else (lang, p)
                     held = p if p >= SURE else 0.0
                     if runs and (not held or runs[-1][3] in (lang, None)):
                         runs[-1][1] = end
@@ -227,7 +279,7 @@ def document_languages(segments: DataFrame) -> DataFrame:
     all languages with a sentence, sorted, and the confidence of the main one."""
     size = F.col("end") - F.col("start")
     each = segments.groupBy("id", "lang").agg(F.sum(size).alias("size"), (F.sum(F.col("confidence") * size) / F.sum(size)).alias("confidence"))
-    best = F.max_by(F.struct("lang", "confidence"), F.struct("size", F.hash("lang")))
+    best = F.min_by(F.struct("lang", "confidence"), F.struct(-F.col("size"), "lang"))
     return each.groupBy("id").agg(best.alias("best"), F.array_sort(F.collect_set("lang")).alias("languages")).select("id", "best.lang", "languages", "best.confidence")
 
 

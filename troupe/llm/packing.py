@@ -1,6 +1,6 @@
 """Filling fixed-capacity containers, by linear grouping.
 
-Items are dealt by a hash into shards of about SHARD items, each of which is packed on its own: the share of space
+Items are dealt by chance into shards of about SHARD items, each of which is packed on its own: the share of space
 a shard leaves unused doesn't depend on how many there are. In a shard, the large items are sorted by size and cut
 into groups of equal cardinality, whose sizes are rounded up to the largest of the group. For the few sizes that
 remain, the fractional optimum over container configurations is found by column generation and rounded down; the
@@ -22,6 +22,8 @@ from troupe.runtime import materialize, width
 
 #: Items of a shard, groups of large items, and the share of the capacity above which an item is large.
 SHARD, GROUPS, LARGE = 20_000, 40, 0.12
+#: Kinds of containers that the driver takes; more raise an error, none is left out.
+KINDS = 10_000
 
 
 def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -175,19 +177,21 @@ def fill_containers(items: DataFrame, identifier: str, size: str, bins: DataFram
     An item of at most the capacity is whole in one container (part 0, start 0). A larger one is split into parts
     that fill containers of their own and a remainder, if any, that is packed like an item; start is the part's first
     unit. Items of size 0 are packed too; a null or negative size counts as 0. Rows with null identifiers are left
-    out, as are kinds whose capacity is null or not positive; rows that repeat an identifier are items of their own.
+    out, as are kinds whose capacity is null or not positive; more than KINDS kinds raise an error; rows that repeat an identifier are items of their own.
     Container ids are unique within a kind. Empty tables give an empty result."""
-    spark = items.sparkSession
-    rows = items.where(F.col(identifier).isNotNull()).select(F.col(identifier).cast("bigint").alias("id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size"))
+    found = bins.where(F.col(capacity) > 0).select(F.col(name).cast("string").alias("bin"), F.col(capacity).cast("bigint").alias("capacity")).distinct().orderBy("bin", "capacity").limit(KINDS + 1).collect()
+    if len(found) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of containers")
+    kinds = F.array(*[F.struct(F.lit(r["bin"]).alias("bin"), F.lit(r["capacity"]).alias("capacity")) for r in found]) if found else F.array().cast("array<struct<bin:string,capacity:bigint>>")
+    # rows are dealt by a hash of their place and not of what they hold, so that many equal rows don't meet in one shard
+    deal = F.xxhash64(F.monotonically_increasing_id())
+    rows = items.where(F.col(identifier).isNotNull()).select(F.col(identifier).cast("bigint").alias("id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size"), deal.alias("deal"))
     rows = materialize(rows, "items")
     shards = max(1, -(-rows.count() // SHARD))
-    kinds = bins.where(F.col(capacity) > 0).select(F.col(name).cast("string").alias("bin"), F.col(capacity).cast("bigint").alias("capacity")).distinct()
-    dealt = (
-        rows.withColumn("shard", F.pmod(F.xxhash64("id", "size"), F.lit(shards)))
-        .join(F.broadcast(kinds.limit(1000)), how="cross")  # kinds of containers, a fixed small table
-        .select("bin", "capacity", "shard", "id", "size")
-    )
-    return dealt.repartition(width(spark), "bin", "shard").sortWithinPartitions("bin", "capacity", "shard").mapInArrow(_pack_shards, _ROW)
+    dealt = rows.select(F.explode(kinds).alias("kind"), F.pmod("deal", F.lit(shards)).alias("shard"), "id", "size").select("kind.bin", "kind.capacity", "shard", "id", "size")
+    # one task for each kind and shard while they are few: packing is CPU and not bytes
+    parts = max(width(rows), min(shards * len(found), 100_000))
+    return dealt.repartition(parts, "bin", "capacity", "shard").sortWithinPartitions("bin", "capacity", "shard").mapInArrow(_pack_shards, _ROW)
 
 
 def fill_report(packed: DataFrame, bins: DataFrame, name: str, capacity: str) -> DataFrame:

@@ -180,8 +180,11 @@ QUERIES |= {"p8_containers": p8_containers, "p8_report": p8_report}
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
-    """The codes to answer with: a fixed small table."""
-    return [(r["lang"], r["language_name"]) for r in table(spark, sf_dir, "language_codes").orderBy("lang").limit(1000).collect()]
+    """The codes to answer with: a fixed small table, from which the model's columns are made; one of more than 1,000 languages is refused."""
+    codes = [(r["lang"], r["language_name"]) for r in table(spark, sf_dir, "language_codes").where("lang is not null").distinct().orderBy("lang").limit(1001).collect()]
+    if len(codes) > 1000:
+        raise ValueError("more than 1,000 languages")
+    return codes
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, identifier: st
     order = [*keys, F.col("score").desc(), F.col("tie").desc(), F.col("item").asc()]
     local = rows.sortWithinPartitions(*order).mapInArrow(_first_n(len(keys), n, False), rows.schema)
     ranked = (
-        local.repartition(width(df.sparkSession), *keys)
+        local.repartition(width(df), *keys)
         .sortWithinPartitions(*order)
         .mapInArrow(_first_n(len(keys), n, True), f"{rows.schema.simpleString()[7:-1]}, rank int")
     )
