@@ -320,7 +320,37 @@ def test_bounds_hold():
     v = rng.standard_normal((400, 64)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     codes = vectors.Codes(v, v[:50].mean(axis=0), vectors.rotation(64))
-    assert (codes.upper(slice(0, 400), codes) >= v @ v.T - 1e-4).mean() > 0.995
+    estimate, bound = codes.estimates(slice(0, 400), codes)
+    assert (estimate + bound >= v @ v.T - 1e-4).mean() > 0.995 and (estimate - bound <= v @ v.T + 1e-4).mean() > 0.995
+
+
+def test_cells_divided_by_signs():
+    """Cells of few centres are divided as the vectors grow; a vector's own cell is the first of its visits, which differ."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((300, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cells = vectors.Cells(v[:5], vectors.rotation(64), np.array([3, 0, 2, 3, 1]))
+    there = cells.visits(v, 12)
+    assert (there[:, 0] == cells.home(v)).all() and cells.count() == 8 + 1 + 4 + 8 + 2
+    assert all(len(set(x[x >= 0].tolist())) == (x >= 0).sum() for x in there)
+    assert set(np.unique(cells.visits(v, 23))) <= {-1} | {(c << 32) | b for c, n in enumerate((3, 0, 2, 3, 1)) for b in range(1 << n)}
+
+
+@pytest.mark.parametrize("centres", [4096, 2])
+def test_every_vector_finds_its_neighbours(spark, monkeypatch, centres):
+    """Without a least similarity, on data with and without structure, with as many centres as asked for and with few that are divided."""
+    monkeypatch.setattr(vectors, "CENTRES", centres)
+    v = _vector_data(1800)
+    data = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    found = vectors.nearest_pairs(spark.createDataFrame(data, "id bigint, e array<float>"), "id", "e", 10, None, recall=0.95).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    by = {}
+    for r in found:
+        by.setdefault(r.id, set()).add(r.neighbour)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert np.mean([len(by[i] & set(np.argsort(-s[i])[:10].tolist())) / 10 for i in range(80, 1800)]) >= 0.9
+    assert all(len(by[i]) == 10 for i in range(1800))
 
 
 def test_vector_edges(spark):

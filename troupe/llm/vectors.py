@@ -3,16 +3,20 @@
 A vector is coded relative to a centre: the signs of its rotated residual, packed into words, with the residual's
 norm and the inner product between the residual and its code. From these and the other vector's residual in four-bit
 steps, bit counts estimate the inner product without bias, and the code's quality bounds the error. Only pairs whose
-estimate plus bound reaches what is asked for are computed from the vectors themselves.
-
-Two searches share the codes. nearest_pairs() finds for all vectors the neighbours of at least a given similarity:
-every vector enters the cells of its few nearest centres and meets there the vectors it shares a cell with.
-nearest_to() compares a stated set of queries with all vectors in blocks, without a least similarity.
+estimate plus bound reaches the k-th best estimate less its bound (and what is asked for at least) are computed from
+the vectors themselves.
+
+Every vector lives in one cell: that of its nearest centre, divided by the leading signs of its code, as many as the
+centre's number of vectors asks for, so that cells stay small however many vectors there are. A vector looks for
+neighbours in its own cell and visits others in order of how far their borders are. How many it visits isn't a
+constant: the true neighbours of a sample of vectors are found among all vectors first, and the number is the smallest
+with which the stated share of them would have been met.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +29,11 @@ from troupe.runtime import materialize, spread, width
 
 #: Bits of a code, bits of a query's steps, and the confidence of the error bound in standard deviations.
 BITS, STEPS, SIGMAS = 128, 4, 3.0
-#: Vectors per centre, most centres, sampled vectors per centre to fit them, nearest centres of a vector.
-PER_CENTRE, CENTRES, SAMPLE, NEAREST = 100, 4096, 16, 4
-BLOCK, QUERIES = 2048, 4096
+#: Vectors per cell, most centres (beyond, cells are divided by signs), sampled vectors per centre to fit them.
+PER_CELL, CENTRES, SAMPLE = 100, 4096, 16
+#: Vectors whose true neighbours are found to choose the number of visits, and signs of which two at most differ in a visited cell.
+MEASURED, NEAR_SIGNS = 1024, 12
+BLOCK = 2048
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -64,8 +70,8 @@ class Codes:
         units = np.rint((part - low[:, None]) / step[:, None]).astype(np.uint8)
         return np.stack([_packed((units >> j) & 1) for j in range(STEPS)], axis=1), low, step, units.sum(axis=1, dtype=np.float64)
 
-    def upper(self, rows: slice, other: Codes) -> np.ndarray:
-        """For each of own `rows` as a query and each vector of `other`: the estimated inner product plus its bound."""
+    def estimates(self, rows: slice, other: Codes) -> tuple[np.ndarray, np.ndarray]:
+        """For each of own `rows` as a query and each vector of `other`: the estimated inner product, and the bound of its error."""
         planes, low, step, total = self.planes(rows)
         d = self.turned.shape[1]
         hits = np.zeros((len(low), len(other.norm)), dtype=np.float32)
@@ -79,7 +85,7 @@ class Codes:
         scale = other.norm / other.fit
         estimate = signed * (scale / np.sqrt(d)) + self.towards[rows, None] + other.towards - self.centre2
         bound = self.norm[rows, None] * (other.norm * other.spread) + (step / np.sqrt(12))[:, None] * scale
-        return estimate + SIGMAS * bound
+        return estimate, SIGMAS * bound
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -104,13 +110,13 @@ def usable_vectors(df: DataFrame, identifier: str, embedding: str, dim: int | No
 
 
 def fit_centres(points: DataFrame, n: int, rounds: int = 5, seed: int = 5) -> np.ndarray:
-    """Centres of spherical k-means on a sample: one for every PER_CENTRE vectors, CENTRES at most, from at most
-    SAMPLE x CENTRES = 65,536 vectors chosen by a hash of their id. Only the centres come from a sample; every
-    vector enters the cells."""
-    k = min(CENTRES, max(1, n // PER_CENTRE))
-    share = min(1.0, 1.2 * SAMPLE * k / max(n, 1))
-    chosen = points.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "vector").limit(SAMPLE * k)
-    found = chosen.toArrow()
+    """Centres of spherical k-means on a sample: one for every PER_CELL vectors, CENTRES at most, from about SAMPLE for each centre
+    (65,536 in all at most), chosen by a hash of their id. Only the centres come from a sample; every vector enters the cells."""
+    k = min(CENTRES, max(1, n // PER_CELL))
+    share = min(1.0, SAMPLE * k / max(n, 1))
+    found = points.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("id", "vector").toArrow()
+    if not found.num_rows:
+        found = points.orderBy("id").select("id", "vector").limit(1).toArrow()
     if not found.num_rows:
         return np.zeros((0, 1), np.float32)
     order = np.argsort(found.column("id").to_numpy())
@@ -128,19 +134,95 @@ def fit_centres(points: DataFrame, n: int, rounds: int = 5, seed: int = 5) -> np
     return centres
 
 
-def _enter_cells(centres: np.ndarray):
-    """Points (key, vector) to (centre, key, vector): a row for each of the nearest centres."""
-    many = min(NEAREST, len(centres))
+class Cells:
+    """Where vectors live and which cells they visit. signs: of each centre, the number of leading signs that divide its vectors."""
+
+    def __init__(self, centres: np.ndarray, turn: np.ndarray, signs: np.ndarray):
+        self.centres, self.signs, self.most = centres, signs, int(signs.max(initial=0))
+        self.turn = turn[:, : self.most]
+        self.apart = np.maximum(2 - 2 * centres @ centres.T, 1e-6)
+        near = min(self.most, NEAR_SIGNS)
+        # sets of signs that may differ, of one or two of those nearest to their borders
+        self.flips = [(), *((i,) for i in range(self.most)), *combinations(range(near), 2)]
+        self.masks = np.zeros((len(self.flips), self.most), bool)
+        for row, flip in enumerate(self.flips):
+            self.masks[row, list(flip)] = True
+
+    def _code(self, turned: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        """The leading signs as a number, of rotated residuals to `centre`."""
+        places = np.arange(self.most)
+        own = (turned > 0) & (places < self.signs[centre][..., None])
+        return (own * (np.int64(1) << places)).sum(axis=-1)
+
+    def home(self, unit: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        centre = np.argmax(unit @ self.centres.T, axis=1)
+        return (centre.astype(np.int64) << 32) | self._code(unit @ self.turn - (self.centres @ self.turn)[centre], centre)
+
+    def visits(self, unit: np.ndarray, many: int) -> np.ndarray:
+        """For each vector its `many` nearest cells in order, its own first; -1 where there are fewer."""
+        toward = unit @ self.centres.T
+        own = np.argmax(toward, axis=1)
+        away = np.maximum(toward[np.arange(len(unit)), own][:, None] - toward, 0) ** 2 / self.apart[own]
+        tried = min(many, len(self.centres))
+        centre = np.argpartition(away, tried - 1, axis=1)[:, :tried]
+        far = np.take_along_axis(away, centre, axis=1)
+        if not self.most:
+            order = np.lexsort((centre, far))
+            cells = np.take_along_axis(centre, order, axis=1).astype(np.int64) << 32
+            return np.concatenate([cells, np.full((len(cells), many - tried), -1, np.int64)], axis=1)
+        turned = (unit @ self.turn)[:, None, :] - (self.centres @ self.turn)[centre]
+        code = self._code(turned, centre)
+        used = np.arange(self.most) < self.signs[centre][..., None]
+        # of the signs in use, those nearest to their border come first
+        margin = np.where(used, turned**2, np.inf)
+        by = np.argsort(margin, axis=-1)
+        cost = np.sort(margin, axis=-1) @ self.masks.T.astype(np.float32) if not np.isinf(margin).any() else np.where(self.masks, np.sort(margin, axis=-1)[..., None, :], 0).sum(axis=-1)
+        bit = np.int64(1) << by
+        flipped = (np.where(self.masks, bit[..., None, :], 0)).sum(axis=-1)
+        cells = (centre.astype(np.int64) << 32)[..., None] | (code[..., None] ^ flipped)
+        cost = (far[..., None] + cost).reshape(len(unit), -1)
+        cells = cells.reshape(len(unit), -1)
+        cells = np.where(np.isfinite(cost), cells, -1)
+        order = np.lexsort((cells, cost))[:, :many]
+        cells = np.take_along_axis(cells, order, axis=1)
+        return np.concatenate([cells, np.full((len(cells), many - cells.shape[1]), -1, np.int64)], axis=1)
+
+    def count(self) -> int:
+        return int((np.int64(1) << self.signs).sum())
+
+
+def _nearest_centre(centres: np.ndarray):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = np.concatenate([np.argmax(_matrix(batch.column("vector").slice(at, 4096)).astype(np.float32) @ centres.T, axis=1) for at in range(0, batch.num_rows, 4096)])
+                centre, count = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(centre.astype(np.int64)), pa.array(count.astype(np.int64))], ["centre", "n"])
+
+    return kernel
+
+
+def _enter_cells(cells: Cells, visits: int):
+    """Points (key, vector, asks) to (place, key, vector, lives, asks): a row in the cell where the vector lives and, if it asks, in those that it
+    visits."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                near = _matrix(part.column("vector")).astype(np.float32) @ centres.T
-                cells = np.argpartition(-near, many - 1, axis=1)[:, :many] if many < len(centres) else np.tile(np.arange(many), (len(near), 1))
-                rows = pa.array(np.repeat(np.arange(part.num_rows), many))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                unit = _matrix(part.column("vector")).astype(np.float32)
+                asks = part.column("asks").to_numpy(zero_copy_only=False)
+                home = cells.home(unit)
+                asking = np.flatnonzero(asks)
+                there = cells.visits(unit[asking], visits) if len(asking) else np.zeros((0, visits), np.int64)
+                guest, turn = np.nonzero((there >= 0) & (there != home[asking][:, None]))
+                row = np.concatenate([np.arange(part.num_rows), asking[guest]])
+                lives = np.arange(len(row)) < part.num_rows
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel().astype(np.int64)), part.column("key").take(rows), part.column("vector").take(rows)], ["centre", "key", "vector"]
+                    [pa.array(np.concatenate([home, there[guest, turn]])), part.column("key").take(take), part.column("vector").take(take), pa.array(lives), pa.array(asks[row])],
+                    ["place", "key", "vector", "lives", "asks"],
                 )
 
     return kernel
@@ -155,29 +237,43 @@ def _top_k(query: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) ->
     return order[place < k]
 
 
+def _kth(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of every row; -inf where there are fewer."""
+    return -np.partition(-values, k - 1, axis=1)[:, k - 1] if values.shape[1] >= k else np.full(len(values), -np.inf)
+
+
 def _meet(centres: np.ndarray, turn: np.ndarray, k: int, least: float):
-    """Rows (cell, centre, key, vector) sorted by cell to (key, other, cosine): the k best of at least `least` in the cell."""
+    """Rows (cell, place, key, vector, lives, asks) sorted by cell to (key, other, cosine): of every vector that asks, the k best of at least
+    `least` that live there, and of those that live there and ask too, the k best of the guests."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in grouped(batches):
-            keys, centre = table.column("key").to_numpy(), table.column("centre").to_numpy()
+            keys, centre = table.column("key").to_numpy(), table.column("place").to_numpy() >> 32
+            lives, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lives", "asks"))
             unit = _matrix(table.column("vector"))
             for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if end - at < 2:
+                hosts, guests = at + np.flatnonzero(lives[at:end]), at + np.flatnonzero(asks[at:end])
+                if not len(hosts) or not len(guests):
                     continue
-                own, own_keys = unit[at:end], keys[at:end]
-                codes = Codes(own.astype(np.float32), centres[centre[at]], turn)
-                for top in range(0, end - at, 512):
-                    i, j = np.nonzero(codes.upper(slice(top, top + 512), codes) >= least)
-                    i += top
-                    keep = own_keys[i] != own_keys[j]
-                    i, j = i[keep], j[keep]
-                    # exactly, in portions
-                    cosine = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", own[i[p : p + 65536]], own[j[p : p + 65536]]) for p in range(0, len(i), 65536))])
+                there = Codes(unit[hosts].astype(np.float32), centres[centre[at]], turn)
+                ours = Codes(unit[guests].astype(np.float32), centres[centre[at]], turn)
+                for top in range(0, len(guests), 512):
+                    part = slice(top, top + 512)
+                    estimate, bound = ours.estimates(part, there)
+                    itself = keys[guests[part]][:, None] == keys[hosts][None, :]
+                    low = np.where(itself, -np.inf, estimate - bound)
+                    enough = np.maximum(_kth(low, k), least)[:, None]
+                    back = asks[hosts]
+                    # a pair counts for either side that asks
+                    wanted = estimate + bound >= np.where(back[None, :], np.minimum(enough, np.maximum(_kth(low.T, k), least)[None, :]), enough)
+                    i, j = np.nonzero(wanted & ~itself)
+                    g, h = guests[part][i], hosts[j]
+                    cosine = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", unit[g[p : p + 65536]], unit[h[p : p + 65536]]) for p in range(0, len(g), 65536))])
                     keep = cosine >= least
-                    i, j, cosine = own_keys[i[keep]], own_keys[j[keep]], cosine[keep]
-                    best = _top_k(i, j, cosine, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(i[best]), pa.array(j[best]), pa.array(cosine[best])], ["key", "other", "cosine"])
+                    g, h, cosine = g[keep], h[keep], cosine[keep]
+                    for a, b, c in ((keys[g], keys[h], cosine), (keys[h][asks[h]], keys[g][asks[h]], cosine[asks[h]])):
+                        best = _top_k(a, b, c, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(a[best]), pa.array(b[best]), pa.array(c[best])], ["key", "other", "cosine"])
 
     return kernel
 
@@ -190,90 +286,119 @@ def _points(usable: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, once.select("key", F.col("key").alias("id"), "vector")
 
 
-def _expand(members: DataFrame, near: DataFrame, k: int) -> DataFrame:
-    """The k nearest records of every record from the k nearest points (key, other, cosine) of every point. Of a
+def _expand(members: DataFrame, near: DataFrame, k: int, asking: DataFrame | None = None) -> DataFrame:
+    """The k nearest records of every record (or of those that ask) from the k nearest points (key, other, cosine) of every point. Of a
     point's records the first k + 1 are enough, so that many equal vectors are never paired with one another."""
     heads = top_n_per_group(members.withColumn("score", F.lit(0.0)), ["key"], "score", "id", k + 1).select(F.col("key").alias("other"), F.col("id").alias("neighbour"))
     links = near.unionByName(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.col("key").alias("other"), F.lit(1.0).alias("cosine")))
     wide = links.join(heads, "other").select("key", "neighbour", "cosine")
     ranked = top_n_per_group(wide, ["key"], "cosine", "neighbour", k + 1).select("key", "neighbour", "cosine")
-    own = members.join(ranked, "key").where("id <> neighbour").select("id", "neighbour", "cosine")
+    own = (members if asking is None else asking).join(ranked, "key").where("id <> neighbour").select("id", "neighbour", "cosine")
     return top_n_per_group(own, ["id"], "cosine", "neighbour", k)
 
 
-def nearest_pairs(df: DataFrame, identifier: str, embedding: str, k: int = 10, least: float = 0.85, dim: int | None = None) -> DataFrame:
-    """(id, cosine, neighbour, rank): for every usable vector the up to `k` most similar others of cosine at least `least`,
-    in order of similarity, ties by neighbour. The length of a vector doesn't matter. A repeated id counts once; an
-    empty table, or one without usable vectors, gives an empty result. Two vectors meet if they share one of their
-    NEAREST nearest centres; measured recall is in the README."""
-    spark = df.sparkSession
-    usable = materialize(usable_vectors(df, identifier, embedding, dim), "vectors")
-    members, points = _points(usable)
-    points = materialize(points, "vector-points")
+def _scan(queries: np.ndarray, ids: np.ndarray, k: int):
+    """All vectors of a partition against some queries: the k best of every query, exactly."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_q, held_n, held_c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                keys = part.column("key").to_numpy()
+                cosine = queries @ _matrix(part.column("vector")).T
+                cosine[ids[:, None] == keys[None, :]] = -2
+                most = min(k, len(keys))
+                best = np.argpartition(-cosine, most - 1, axis=1)[:, :most]
+                q = np.repeat(np.arange(len(ids)), most)
+                q, n, c = np.concatenate([held_q, q]), np.concatenate([held_n, keys[best.ravel()]]), np.concatenate([held_c, np.take_along_axis(cosine, best, axis=1).ravel()])
+                kept = _top_k(q, n, c, k)
+                held_q, held_n, held_c = q[kept], n[kept], c[kept]
+        fit = held_c > -2
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held_q[fit]]), pa.array(held_n[fit]), pa.array(held_c[fit])], ["key", "other", "cosine"])
+
+    return kernel
+
+
+def measured_visits(points: DataFrame, n: int, cells: Cells, k: int, least: float, recall: float) -> int:
+    """The number of cells that vectors must visit for `recall`: of about MEASURED vectors, chosen by a hash, the true neighbours are found
+    among all vectors, with the place that each one's cell has among those the other would visit; the number is a quantile of these."""
+    share = min(1.0, MEASURED / max(n, 1))
+    asked = points.where(F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("key", "vector").toArrow()
+    if not asked.num_rows:
+        return 1
+    unit, ids = _matrix(asked.column("vector")), asked.column("key").to_numpy()
+    scanned = spread(points.select("key", "vector")).mapInArrow(_scan(unit, ids, k), "key bigint, other bigint, cosine double")
+    near = top_n_per_group(scanned, ["key"], "cosine", "other", k).where(F.col("cosine") >= least)
+    # at most k rows for each of the sample
+    found = near.select("key", "other").join(points.select(F.col("key").alias("other"), "vector"), "other").toArrow()
+    if not found.num_rows:
+        return 1
+    place = {x: i for i, x in enumerate(ids.tolist())}
+    mine = unit[[place[x] for x in found.column("key").to_pylist()]].astype(np.float32)
+    theirs = _matrix(found.column("vector")).astype(np.float32)
+    most = min(cells.count(), 4096)
+    ranks = []
+    for at in range(0, len(mine), 256):
+        a, b = mine[at : at + 256], theirs[at : at + 256]
+        hits = [cells.visits(x, most) == cells.home(y)[:, None] for x, y in ((a, b), (b, a))]
+        ranks.append(np.minimum(*(np.where(h.any(axis=1), h.argmax(axis=1) + 1, most + 1) for h in hits)))
+    return min(most, int(np.quantile(np.concatenate(ranks), recall, method="higher")))
+
+
+def _search(points: DataFrame, asks, k: int, least: float, recall: float) -> DataFrame | None:
+    """(key, other, cosine): the k best points of every point that asks; None if there are no points."""
     n = points.count()
     centres = fit_centres(points, n)
     if not len(centres):
-        return spark.createDataFrame([], "id bigint, cosine double, neighbour bigint, rank int")
+        return None
     turn = rotation(centres.shape[1])
-    cells = materialize(spread(points.select("key", "vector")).mapInArrow(_enter_cells(centres), "centre bigint, key bigint, vector array<float>"), "vector-cells")
-    sized = cells.join(F.broadcast(cells.groupBy("centre").count()), "centre")  # at most CENTRES rows
-    near = (
-        blocked(sized, "centre", "count", BLOCK)
-        .select("cell", "centre", "key", "vector")
-        .repartition(width(spark), "cell")
+    sizes = np.zeros(len(centres), np.int64)
+    counted = spread(points.select("vector")).mapInArrow(_nearest_centre(centres), "centre bigint, n bigint").groupBy("centre").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # at most CENTRES rows
+        sizes[r["centre"]] = r["n"]
+    # a centre of four times the intended number of vectors is divided by its first sign
+    signs = np.clip(np.floor(np.log2(np.maximum(sizes, 1) / (2 * PER_CELL))), 0, 30).astype(np.int64)
+    cells = Cells(centres, turn, signs)
+    visits = measured_visits(points, n, cells, k, least, recall)
+    entered = materialize(spread(points.select("key", "vector", asks.alias("asks"))).mapInArrow(_enter_cells(cells, visits), "place bigint, key bigint, vector array<float>, lives boolean, asks boolean"), "vector-cells")
+    # cells where nobody lives, or nobody asks, go before anything is moved further
+    both = entered.groupBy("place").agg(F.count("*").alias("count"), F.max("lives").alias("home"), F.max("asks").alias("asked")).where("home and asked")
+    return (
+        blocked(entered.join(both.select("place", "count"), "place"), "place", "count", BLOCK)
+        .select("cell", "place", "key", "vector", "lives", "asks")
+        .repartition(width(entered), "cell")
         .sortWithinPartitions("cell")
         .mapInArrow(_meet(centres, turn, k, least), "key bigint, other bigint, cosine double")
     )
-    best = top_n_per_group(near, ["key"], "cosine", "other", k).select("key", "other", "cosine")
-    return _expand(members, best, k)
 
 
-def _scan(queries: np.ndarray, ids: np.ndarray, turn: np.ndarray, centre: np.ndarray, k: int):
-    """All vectors of a partition against a block of queries; the k best of every query."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = Codes(queries.astype(np.float32), centre, turn)
-        best = np.full(len(ids), -2.0)  # the k-th best cosine of each query so far
-        held_q, held_n, held_c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                unit, keys = _matrix(part.column("vector")), part.column("id").to_numpy()
-                codes = Codes(unit.astype(np.float32), centre, turn)
-                found = [(held_q, held_n, held_c)]
-                for top in range(0, len(ids), 1024):
-                    q, x = np.nonzero(asked.upper(slice(top, top + 1024), codes) >= best[top : top + 1024, None])
-                    q += top
-                    keep = ids[q] != keys[x]
-                    q, x = q[keep], x[keep]
-                    cosine = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", queries[q[p : p + 65536]], unit[x[p : p + 65536]]) for p in range(0, len(q), 65536))])
-                    found.append((q, keys[x], cosine))
-                q, other, cosine = (np.concatenate(x) for x in zip(*found))
-                kept = _top_k(q, other, cosine, k)
-                held_q, held_n, held_c = q[kept], other[kept], cosine[kept]
-                full = np.bincount(held_q, minlength=len(ids)) >= k
-                worst = np.full(len(ids), 2.0)
-                np.minimum.at(worst, held_q, held_c)
-                best = np.where(full, worst, -2.0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[held_q]), pa.array(held_n), pa.array(held_c)], ["id", "neighbour", "cosine"])
-
-    return kernel
+def nearest_pairs(df: DataFrame, identifier: str, embedding: str, k: int = 10, least: float | None = 0.85, dim: int | None = None, recall: float = 0.998) -> DataFrame:
+    """(id, cosine, neighbour, rank): for every usable vector the up to `k` most similar others, of cosine at least `least` if that is given,
+    in order of similarity, ties by neighbour. The length of a vector doesn't matter. A repeated id counts once; an empty table, or one
+    without usable vectors, gives an empty result. `recall` is the share of the true neighbours to be found, measured on a sample."""
+    spark = df.sparkSession
+    usable = materialize(usable_vectors(df, identifier, embedding, dim), "vectors")
+    members, points = _points(usable)
+    points = materialize(points, "vector-points")
+    near = _search(points, F.lit(True), k, -1.0 if least is None else least, recall)
+    if near is None:
+        return spark.createDataFrame([], "id bigint, cosine double, neighbour bigint, rank int")
+    best = top_n_per_group(near, ["key"], "cosine", "other", k).select("key", "other", "cosine")
+    return _expand(members, best, k)
 
 
-def nearest_to(df: DataFrame, identifier: str, embedding: str, every: int = 100, k: int = 10, dim: int | None = None) -> DataFrame:
+def nearest_to(df: DataFrame, identifier: str, embedding: str, every: int = 100, k: int = 10, dim: int | None = None, recall: float = 0.97) -> DataFrame:
     """(id, cosine, neighbour, rank): the `k` most similar others of every usable vector whose id is divisible by `every`,
-    against all usable vectors, in order of similarity, ties by neighbour. Queries go out in blocks of about QUERIES
-    vectors. Rows, nulls and empty tables are as in nearest_pairs()."""
+    against all usable vectors, in order of similarity, ties by neighbour. Rows, nulls, empty tables and `recall` are as in nearest_pairs()."""
     spark = df.sparkSession
     usable = materialize(usable_vectors(df, identifier, embedding, dim), "vectors")
-    queries = usable.where(F.col("id") % every == 0)
-    blocks = -(-queries.count() // QUERIES)
-    out = spark.createDataFrame([], "id bigint, neighbour bigint, cosine double")
-    for block in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        if asked.num_rows:
-            vectors, ids = _matrix(asked.column("vector")), asked.column("id").to_numpy()
-            centre = vectors.mean(axis=0).astype(np.float32)
-            scan = _scan(vectors, ids, rotation(vectors.shape[1]), centre, k)
-            out = out.unionByName(spread(usable).mapInArrow(scan, "id bigint, neighbour bigint, cosine double"))
-    return top_n_per_group(out, ["id"], "cosine", "neighbour", k)
+    members, points = _points(usable)
+    points = materialize(points, "vector-points")
+    asking = members.where(F.col("id") % every == 0)
+    asked = points.join(asking.select("key", F.lit(True).alias("asked")).distinct(), "key", "left")
+    near = _search(materialize(asked.withColumn("asked", F.coalesce("asked", F.lit(False))), "vector-asked"), F.col("asked"), k, -1.0, recall)
+    if near is None:
+        return spark.createDataFrame([], "id bigint, cosine double, neighbour bigint, rank int")
+    best = top_n_per_group(near, ["key"], "cosine", "other", k).select("key", "other", "cosine")
+    return _expand(members, best, k, asking)
