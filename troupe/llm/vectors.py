@@ -320,8 +320,8 @@ def _scan(queries: np.ndarray, ids: np.ndarray, k: int):
     return kernel
 
 
-def measured_visits(points: DataFrame, n: int, cells: Cells, k: int, least: float, recall: float) -> int:
-    """The number of cells that vectors must visit for `recall`: of about MEASURED vectors, chosen by a hash, the true neighbours are found
+def measured_visits(points: DataFrame, n: int, cells: Cells, k: int, least: float, recall: float, both: bool) -> int:
+    """The number of cells that vectors must visit for `recall`, where all vectors visit (`both`) or only those that ask: of about MEASURED vectors, chosen by a hash, the true neighbours are found
     among all vectors, with the place that each one's cell has among those the other would visit; the number is a quantile of these."""
     share = min(1.0, MEASURED / max(n, 1))
     asked = points.where(F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("key", "vector").toArrow()
@@ -341,13 +341,13 @@ def measured_visits(points: DataFrame, n: int, cells: Cells, k: int, least: floa
     ranks = []
     for at in range(0, len(mine), 256):
         a, b = mine[at : at + 256], theirs[at : at + 256]
-        hits = [cells.visits(x, most) == cells.home(y)[:, None] for x, y in ((a, b), (b, a))]
-        ranks.append(np.minimum(*(np.where(h.any(axis=1), h.argmax(axis=1) + 1, most + 1) for h in hits)))
+        hits = [cells.visits(x, most) == cells.home(y)[:, None] for x, y in ((a, b), (b, a))[: 1 + both]]
+        ranks.append(np.min([np.where(h.any(axis=1), h.argmax(axis=1) + 1, most + 1) for h in hits], axis=0))
     return min(most, int(np.quantile(np.concatenate(ranks), recall, method="higher")))
 
 
-def _search(points: DataFrame, asks, k: int, least: float, recall: float) -> DataFrame | None:
-    """(key, other, cosine): the k best points of every point that asks; None if there are no points."""
+def _search(points: DataFrame, asks: str | None, k: int, least: float, recall: float) -> DataFrame | None:
+    """(key, other, cosine): the k best points of every point that asks, by the column `asks` (all if it's None); None if there are no points."""
     n = points.count()
     centres = fit_centres(points, n)
     if not len(centres):
@@ -360,8 +360,8 @@ def _search(points: DataFrame, asks, k: int, least: float, recall: float) -> Dat
     # a centre of four times the intended number of vectors is divided by its first sign
     signs = np.clip(np.floor(np.log2(np.maximum(sizes, 1) / (2 * PER_CELL))), 0, 30).astype(np.int64)
     cells = Cells(centres, turn, signs)
-    visits = measured_visits(points, n, cells, k, least, recall)
-    entered = materialize(spread(points.select("key", "vector", asks.alias("asks"))).mapInArrow(_enter_cells(cells, visits), "place bigint, key bigint, vector array<float>, lives boolean, asks boolean"), "vector-cells")
+    visits = measured_visits(points, n, cells, k, least, recall, asks is None)
+    entered = materialize(spread(points.select("key", "vector", (F.lit(True) if asks is None else F.col(asks)).alias("asks"))).mapInArrow(_enter_cells(cells, visits), "place bigint, key bigint, vector array<float>, lives boolean, asks boolean"), "vector-cells")
     # cells where nobody lives, or nobody asks, go before anything is moved further
     both = entered.groupBy("place").agg(F.count("*").alias("count"), F.max("lives").alias("home"), F.max("asks").alias("asked")).where("home and asked")
     return (
@@ -381,14 +381,14 @@ def nearest_pairs(df: DataFrame, identifier: str, embedding: str, k: int = 10, l
     usable = materialize(usable_vectors(df, identifier, embedding, dim), "vectors")
     members, points = _points(usable)
     points = materialize(points, "vector-points")
-    near = _search(points, F.lit(True), k, -1.0 if least is None else least, recall)
+    near = _search(points, None, k, -1.0 if least is None else least, recall)
     if near is None:
         return spark.createDataFrame([], "id bigint, cosine double, neighbour bigint, rank int")
     best = top_n_per_group(near, ["key"], "cosine", "other", k).select("key", "other", "cosine")
     return _expand(members, best, k)
 
 
-def nearest_to(df: DataFrame, identifier: str, embedding: str, every: int = 100, k: int = 10, dim: int | None = None, recall: float = 0.97) -> DataFrame:
+def nearest_to(df: DataFrame, identifier: str, embedding: str, every: int = 100, k: int = 10, dim: int | None = None, recall: float = 0.93) -> DataFrame:
     """(id, cosine, neighbour, rank): the `k` most similar others of every usable vector whose id is divisible by `every`,
     against all usable vectors, in order of similarity, ties by neighbour. Rows, nulls, empty tables and `recall` are as in nearest_pairs()."""
     spark = df.sparkSession
@@ -397,7 +397,7 @@ def nearest_to(df: DataFrame, identifier: str, embedding: str, every: int = 100,
     points = materialize(points, "vector-points")
     asking = members.where(F.col("id") % every == 0)
     asked = points.join(asking.select("key", F.lit(True).alias("asked")).distinct(), "key", "left")
-    near = _search(materialize(asked.withColumn("asked", F.coalesce("asked", F.lit(False))), "vector-asked"), F.col("asked"), k, -1.0, recall)
+    near = _search(materialize(asked.withColumn("asked", F.coalesce("asked", F.lit(False))), "vector-asked"), "asked", k, -1.0, recall)
     if near is None:
         return spark.createDataFrame([], "id bigint, cosine double, neighbour bigint, rank int")
     best = top_n_per_group(near, ["key"], "cosine", "other", k).select("key", "other", "cosine")
