@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from troupe.llm import clusters, frequencies, languages, linkage, names, packing, set_join, sets, terms, tokens, top_n, vectors
+from troupe.llm import clusters, frequencies, graphs, languages, linkage, names, packing, set_join, sets, terms, tokens, top_n, vectors
 
 
 def rows(df):
@@ -213,36 +213,45 @@ def test_clusters_that_are_not_transitive_are_divided(spark, monkeypatch):
     assert by and len({r.id for r in found}) == len(found)
 
 
-@pytest.mark.parametrize("many", [20_000_000, 0])
-def test_wide_clusters_are_divided_too(spark, monkeypatch, many):
-    import pyarrow as pa
-
-    monkeypatch.setattr(clusters, "WIDE", 10)
-    monkeypatch.setattr(clusters, "MANY", many)
-    data = [(i, list(range(i % 7, i % 7 + 8))) for i in range(150)]
-    table = pa.table({"cluster": pa.array([1] * 150), "key": pa.array(range(150)), "copies": pa.array([1 + i % 3 for i in range(150)]), "tokens": pa.array([x for _, x in data], pa.list_(pa.int64()))})
-    found = [r for b in clusters._divide(0.5)(iter(table.to_batches())) for r in zip(b.column("label").to_pylist(), b.column("key").to_pylist())]
-    assert sorted(k for _, k in found) == list(range(150))
-    for label in {c for c, _ in found}:
-        group = [set(data[k][1]) for c, k in found if c == label]
-        assert all(len(a & b) >= 0.5 * len(a | b) for a, b in itertools.combinations(group, 2))
-
-
-@pytest.mark.parametrize("many", [20_000_000, 0])
-def test_wide_clusters_are_divided_by_the_rule_of_small_ones(monkeypatch, many):
-    import pyarrow as pa
-
+@pytest.mark.parametrize("pairs", [200_000, 0])
+def test_clusters_are_divided_by_their_conflicts(spark, monkeypatch, pairs):
+    """The same groups whether a cluster's conflicts are solved in one task or by connected parts; every group is mutually similar, and one with no
+    conflicts loses nothing."""
+    monkeypatch.setattr(clusters, "PAIRS", pairs)
     rng = random.Random(4)
-    monkeypatch.setattr(clusters, "MANY", many)
-    # key 0 is an outlier of many copies, similar to few of the large group
-    data = [(list(range(10)) + [50, 51, 52, 53, 54, 55, 56, 57], 90)] + [(sorted(rng.sample(range(14), rng.randrange(8, 13))), rng.randrange(1, 4)) for _ in range(160)]
-    table = pa.table({"cluster": pa.array([1] * 161), "key": pa.array(range(161)), "copies": pa.array([c for _, c in data]), "tokens": pa.array([x for x, _ in data], pa.list_(pa.int64()))})
-
-    def divided(wide):
-        monkeypatch.setattr(clusters, "WIDE", wide)
-        return sorted(r for b in clusters._divide(0.5)(iter(table.to_batches())) for r in zip(b.column("label").to_pylist(), b.column("key").to_pylist()))
+    sets_ = {k: frozenset(rng.sample(range(14), rng.randrange(8, 13))) for k in range(160)} | {200 + k: frozenset(range(4, 14)) for k in range(3)}
+    conflicts = [(1, a, 1, b, 1) for a, b in itertools.combinations(sorted(sets_), 2) if 2 * len(sets_[a] & sets_[b]) < len(sets_[a] | sets_[b])]
+    df = spark.createDataFrame(conflicts, "cluster bigint, a bigint, copies_a bigint, b bigint, copies_b bigint")
+    got = {r.key: r.level for r in clusters._levels(df, 4).collect()}
+    assert set(got) == {x for c in conflicts for x in (c[1], c[3])} and max(got.values()) > 0
+    by: dict[int, list[int]] = {}
+    for k in sets_:
+        by.setdefault(got.get(k, 0), []).append(k)
+    assert not any(got.get(a, 0) == got.get(b, 0) for _, a, _, b, _ in conflicts)
+    graph: dict[int, set[int]] = {}
+    for _, a, _, b, _ in conflicts:
+        graph.setdefault(a, set()).add(b)
+        graph.setdefault(b, set()).add(a)
+    assert got == clusters.levels_of(graph, dict.fromkeys(graph, 1))
+
+
+def test_trees_merge_and_leave_when_they_are_full(monkeypatch):
+    """Features add up however the records are dealt over trees, and balls stay within the radius."""
+    import pyarrow as pa
 
-    assert len({c for c, _ in divided(1500)}) > 1 and divided(10) == divided(1500)
+    monkeypatch.setattr(clusters, "ENTRIES", 7)
+    rng = random.Random(8)
+    data = {k: sorted({100 * (k % 5) + rng.randrange(12) for _ in range(10)}) for k in range(200)}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(data), pa.int64()), pa.array([1 + k % 3 for k in data], pa.int64()), pa.array(list(data.values()), pa.list_(pa.int64()))], ["key", "weight", "tokens"])
+    leaves = list(clusters._grow(0.25)(iter([batch.slice(0, 90), batch.slice(90)])))
+    merged = list(clusters._grow(0.25)(iter(leaves)))
+    monkeypatch.setattr(clusters, "ENTRIES", 10_000)
+    whole = list(clusters._grow(0.25)(iter(leaves)))
+    total = sum(1 + k % 3 for k in data)
+    for got in (leaves, merged, whole):
+        table = pa.Table.from_batches(got)
+        assert sum(table.column("weight").to_pylist()) == total and max(table.column("radius").to_pylist()) <= 0.25 + 1e-9
+    assert sum(x.num_rows for x in whole) <= sum(x.num_rows for x in leaves) < 200
 
 
 def test_large_groups_of_entries_merge_as_small_ones():
@@ -527,5 +536,5 @@ def test_links_propagate_until_they_repeat(spark, monkeypatch, recwarn, cycle):
 
 def test_connected_components(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40) if i != 20] + [("x", "x"), (None, "y")]
-    got = {r.node: r.component for r in linkage.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    got = {r.node: r.component for r in graphs.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"n{i:03}"] for i in range(21)} == {"n000"} and {got[f"n{i:03}"] for i in range(21, 41)} == {"n021"} and got["x"] == "x"

@@ -1,16 +1,18 @@
-"""Grouping set-valued records into clusters of mutually similar records, with cluster-feature trees.
+"""Grouping set-valued records into clusters of mutually similar records, with mergeable cluster-feature trees.
 
-1. Every partition feeds its distinct sets into a cluster-feature tree. A leaf entry is a ball: its members share
+1. Every partition feeds its distinct sets into cluster-feature trees. A leaf entry is a ball: its members share
    at least 1 - r/2 of their union with its medoid, so that any two of them share at least 1 - r (set distance is a
-   metric). An entry keeps its weight, linear sum and square sum, which add up when entries are merged; a large
-   cluster shrinks to a few entries per partition before anything is moved.
-2. The entries are reduced by agglomeration: entries that may belong together meet under one of the rarer terms of
-   their medoids (two sets that share half of their union have one of those in common), and are merged by Ward's
-   criterion as long as the medoids remain mutually similar.
-3. One pass over all records assigns each to the cluster of its entry; sizes and the members nearest to the
-   centroid describe a cluster.
-4. An exact check compares all members of a cluster. One that isn't mutually similar is divided into its largest
-   mutually similar groups.
+   metric). An entry keeps its weight, linear sum, square sum and radius, and only these leave the partition. A tree
+   that is full leaves it too, and another begins, so that a task's memory doesn't grow with its rows.
+2. The leaf summaries are reduced: they are brought together by a min-hash of their medoids and fed into further
+   trees, which add up the features of entries whose balls fit into one; each round has another hash.
+3. Ward agglomeration of the leaves: entries meet under one of the rarer terms of their medoids (two sets that share
+   half of their union have one of those in common), and are merged by Ward's criterion as long as the medoids remain
+   mutually similar.
+4. One full pass assigns every record to the cluster of the medoid most similar to it; sizes and the members nearest
+   to the centroid describe a cluster.
+5. An exact check, by blocks, finds the pairs of a cluster that aren't similar, and its members are divided by these
+   conflicts alone, those with fewest first.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from troupe.llm.graphs import connected_components
 from troupe.llm.sets import Sets, blocked, classes, grouped, pairs_within, similar, term_sets
 from troupe.runtime import materialize, width
 
-DIM, FANOUT, BLOCK, TYPICAL = 64, 24, 2048, 3
-#: Entries of a group whose similar pairs are held, and sets of a cluster that are divided by these: beyond, the pairs in conflict are held,
-#: and those of one set at a time where even they are more than MANY. Results don't depend on it. Entries of a token that meet in one group.
-SMALL, SALT, WIDE, MANY = 256, 4096, 1500, 20_000_000
+#: Places of a set's vector, children of a node, entries of a tree, rounds of reducing, rows of a block, typical members.
+DIM, FANOUT, ENTRIES, ROUNDS, BLOCK, TYPICAL = 64, 24, 20_000, 2, 2048, 3
+#: Entries of a group whose similar pairs are held (beyond, the pairs in conflict are), and conflicts of a cluster that are solved in one task
+#: (beyond, connected conflicts are). Results depend on neither. Entries of a token that meet in one group.
+SMALL, PAIRS, SALT = 256, 200_000, 4096
 
 
 def _vectors(sets: Sets) -> np.ndarray:
@@ -57,37 +61,42 @@ class Tree:
 
     def __init__(self, radius: float):
         self.radius, self.root = radius, Tree.Node(True)
-        # of every entry: medoid set, key of the medoid, weight, linear sum, square sum
+        # of every entry: medoid set, key of the medoid, weight, linear sum, square sum, radius
         self.sets: list[frozenset] = []
         self.keys: list[int] = []
         self.weights: list[int] = []
         self.linear: list[np.ndarray] = []
         self.square: list[float] = []
+        self.radii: list[float] = []
 
-    def add(self, key: int, members: frozenset, vector: np.ndarray, weight: int) -> int:
-        """The entry that takes the record in."""
+    def add(self, key: int, members: frozenset, weight: int, linear: np.ndarray, square: float, radius: float = 0.0) -> int:
+        """The entry that takes a record, or the features of another tree's entry, in."""
+        direction = linear / max(float(np.sqrt(linear @ linear)), 1e-9)
         path, node = [], self.root
         while True:
-            at = int(np.argmax(self._near(node, vector))) if node.children else -1
+            at = int(np.argmax(self._near(node, direction))) if node.children else -1
             path.append((node, at))
             if node.leaf:
                 break
             node = node.children[at]
         entry = node.children[at] if at >= 0 else -1
-        if entry < 0 or not self._within(entry, members):
-            entry = len(self.keys)
+        reach = self._distance(entry, members) + radius if entry >= 0 else np.inf
+        if reach > self.radius + 1e-9:
+            entry, reach = len(self.keys), radius
             self.sets.append(members)
             self.keys.append(key)
             self.weights.append(0)
             self.linear.append(np.zeros(DIM, np.float32))
             self.square.append(0.0)
+            self.radii.append(0.0)
             path[-1] = (node, len(node.children))
             node.children.append(entry)
         self.weights[entry] += weight
-        self.linear[entry] += vector * weight
-        self.square[entry] += weight
+        self.linear[entry] += linear
+        self.square[entry] += square
+        self.radii[entry] = max(self.radii[entry], reach)
         for node, at in path:
-            node.sums[at] += vector * weight
+            node.sums[at] += linear
         self._split([n for n, _ in path])
         return entry
 
@@ -95,10 +104,10 @@ class Tree:
         sums = node.sums[: len(node.children)]
         return sums @ vector / np.maximum(np.sqrt(np.einsum("ij,ij->i", sums, sums)), 1e-9)
 
-    def _within(self, entry: int, members: frozenset) -> bool:
+    def _distance(self, entry: int, members: frozenset) -> float:
         medoid = self.sets[entry]
         shared = len(medoid & members)
-        return shared >= (1 - self.radius) * (len(medoid) + len(members) - shared) - 1e-9
+        return 1 - shared / (len(medoid) + len(members) - shared)
 
     def _split(self, path: list[Tree.Node]) -> None:
         for depth in range(len(path) - 1, -1, -1):
@@ -131,36 +140,40 @@ class Tree:
             up.sums[len(up.children) - 1] = parts[1].sums[: len(parts[1].children)].sum(axis=0)
 
 
-_ENTRY = "entry bigint, key bigint, weight bigint, linear array<float>, square double"
+_ENTRY = "key bigint, weight bigint, linear array<float>, square double, radius double, tokens array<bigint>"
 
 
 def _grow(radius: float):
-    """Classes (key, id, copies, tokens) of a partition to rows that say which entry took each; the row of an entry's
-    medoid, whose key is the entry's, carries the entry's features."""
+    """Records (key, weight, tokens), or entries with the rest of their features, to the entries of the trees that take them in."""
+
+    def entries(tree: Tree) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(tree.keys), 8192):
+            part = slice(at, at + 8192)
+            linear = np.stack(tree.linear[part])
+            columns = [
+                pa.array(tree.keys[part], pa.int64()), pa.array(tree.weights[part], pa.int64()), pa.ListArray.from_arrays(np.arange(len(linear) + 1, dtype=np.int32) * DIM, linear.ravel()),
+                pa.array(tree.square[part], pa.float64()), pa.array(tree.radii[part], pa.float64()), pa.array([sorted(x) for x in tree.sets[part]], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "weight", "linear", "square", "radius", "tokens"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, taken = Tree(radius), [], []
+        tree = Tree(radius)
         for batch in batches:
             if not batch.num_rows:
                 continue
             sets = Sets(batch.column("tokens"))
-            vectors = _vectors(sets)
-            for i, (key, copies) in enumerate(zip(batch.column("key").to_pylist(), batch.column("copies").to_pylist())):
-                keys.append(key)
-                taken.append(tree.add(key, sets.members(i), vectors[i], copies))
-        for at in range(0, len(keys), 8192):
-            part = slice(at, at + 8192)
-            own = [tree.keys[e] == k for k, e in zip(keys[part], taken[part])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([tree.keys[e] for e in taken[part]], pa.int64()),
-                    pa.array(keys[part], pa.int64()),
-                    pa.array([tree.weights[e] if o else None for e, o in zip(taken[part], own)], pa.int64()),
-                    pa.array([tree.linear[e] if o else None for e, o in zip(taken[part], own)], pa.list_(pa.float32())),
-                    pa.array([tree.square[e] if o else None for e, o in zip(taken[part], own)], pa.float64()),
-                ],
-                ["entry", "key", "weight", "linear", "square"],
-            )
+            keys, weights = batch.column("key").to_pylist(), batch.column("weight").to_pylist()
+            if "linear" in batch.schema.names:
+                linear = batch.column("linear").flatten().to_numpy().reshape(-1, DIM)
+                square, radii = batch.column("square").to_pylist(), batch.column("radius").to_pylist()
+            else:
+                linear, square, radii = _vectors(sets) * np.array(weights, np.float32)[:, None], weights, [0.0] * len(keys)
+            for i, key in enumerate(keys):
+                tree.add(key, sets.members(i), weights[i], linear[i], square[i], radii[i])
+                if len(tree.keys) >= ENTRIES:
+                    yield from entries(tree)
+                    tree = Tree(radius)
+        yield from entries(tree)
 
     return kernel
 
@@ -379,162 +392,144 @@ def _uncertain(sets: Sets, at: int, end: int, threshold: float) -> Iterator[tupl
         yield i + top + at, j + top + at
 
 
-def _conflicts(threshold: float):
-    """Rows (cell, cluster, key, tokens) sorted by cell to the clusters that hold a pair that isn't similar."""
+def _assign(threshold: float):
+    """Rows (group, home, key, cluster, tokens) sorted by group to (key, cluster, share): for each record the medoid of its group most similar
+    to it, if any is similar; ties by the smaller cluster."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in grouped(batches):
             sets = Sets(table.column("tokens"))
-            maps = sets.bitmaps()
-            cluster, keys = table.column("cluster").to_numpy(), table.column("key").to_numpy()
-            broken = []
+            maps, keys, cluster = sets.bitmaps(), table.column("key").to_numpy(), table.column("cluster").to_numpy()
+            home = table.column("home").to_numpy(zero_copy_only=False)
+            left, right = [np.empty(0, int)], [np.empty(0, int)]
             for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                for i, j in _uncertain(sets, at, end, threshold):
-                    differ = keys[i] != keys[j]
-                    i, j = i[differ], j[differ]
-                    if len(similar(sets, maps, i, j, threshold)[0]) < len(i):
-                        broken.append(cluster[at])
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(broken, pa.int64())], ["cluster"])
+                medoids, records = at + np.flatnonzero(home[at:end]), at + np.flatnonzero(~home[at:end])
+                left.append(np.repeat(records, len(medoids)))
+                right.append(np.tile(medoids, len(records)))
+            left, right = np.concatenate(left), np.concatenate(right)
+            for top in range(0, len(left), 1_000_000):
+                i, j, share = similar(sets, maps, left[top : top + 1_000_000], right[top : top + 1_000_000], threshold)
+                order = np.lexsort((cluster[j], -share, keys[i]))
+                i, j, share = i[order], j[order], share[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[i][1:] != keys[i][:-1]])) if len(i) else np.empty(0, int)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i[first]]), pa.array(cluster[j[first]]), pa.array(share[first])], ["key", "cluster", "share"])
 
     return kernel
 
 
-def _divide(threshold: float):
-    """Whole clusters (cluster, key, copies, tokens), sorted, into mutually similar groups: again and again a record starts a group,
-    which takes in order those records that are similar to all in it. That is the record, and always the next one, with most similar
-    records left, which is the one with fewest that aren't: up to WIDE sets the former are counted, in larger clusters the latter."""
-
-    def linked_groups(sets: Sets, maps: np.ndarray, keys: np.ndarray, copies: np.ndarray, at: int, end: int) -> Iterator[list[int]]:
-        linked: dict[int, set[int]] = {i: set() for i in range(at, end)}
-        for i, j in pairs_within(np.array([at, end])):
-            i, j, _ = similar(sets, maps, i, j, threshold)
-            for a, b in zip(i.tolist(), j.tolist()):
-                linked[a].add(b)
-                linked[b].add(a)
-
-        def rank(x: int, among: set[int]) -> tuple[int, int]:
-            return -sum(int(copies[y]) for y in linked[x] & among) - int(copies[x]), int(keys[x])
-
-        left = set(linked)
-        while left:
-            seed = min(left, key=lambda x: rank(x, left))
-            group, allowed = [seed], linked[seed] & left
-            while allowed:
-                best = min(allowed, key=lambda x: rank(x, allowed))
-                group.append(best)
-                allowed &= linked[best]
-            left -= set(group)
-            yield group
-
-    def conflicts(sets: Sets, maps: np.ndarray, copies: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Of every set the records that aren't similar to it; and all such pairs as bounds and sets, counted from `at`, unless more than MANY."""
-        n, held = end - at, 0
-        left, right, against = [], [], np.zeros(n)
-        for i, j in _uncertain(sets, at, end, threshold):
-            good = similar(sets, maps, i, j, threshold)
-            bad = np.setdiff1d(i * end + j, good[0] * end + good[1], assume_unique=True)
-            i, j = bad // end - at, bad % end - at
-            against += np.bincount(i, copies[at + j], n) + np.bincount(j, copies[at + i], n)
-            held += len(bad)
-            if held > MANY:
-                left, right = [], []
-            else:
-                left.append(i.astype(np.int32))
-                right.append(j.astype(np.int32))
-        if held > MANY:
-            return against, None, None
-        i, j = (np.concatenate([np.zeros(0, np.int32), *x, *y]) for x, y in ((left, right), (right, left)))
-        order = np.argsort(i, kind="stable")
-        return against, np.searchsorted(i[order], np.arange(n + 1)), j[order]
-
-    def wide_groups(sets: Sets, maps: np.ndarray, keys: np.ndarray, copies: np.ndarray, at: int, end: int) -> Iterator[list[int]]:
-        own, weight = keys[at:end], copies[at:end].astype(float)
-        against, starts, others = conflicts(sets, maps, copies, at, end)
-
-        def opposed(x: int, among: np.ndarray) -> np.ndarray:
-            if starts is not None:
-                row = others[starts[x] : starts[x + 1]]
-                return row[among[row]]
-            rows = np.setdiff1d(np.flatnonzero(among), [x], assume_unique=True)
-            return np.setdiff1d(rows, similar(sets, maps, np.full(len(rows), x + at), rows + at, threshold)[1] - at, assume_unique=True)
-
-        def without(counts: np.ndarray, gone: np.ndarray, stay: np.ndarray) -> None:
-            """Counts what is left against those that stay, from whichever of both are fewer."""
-            rows = np.flatnonzero(stay)
-            if len(gone) <= len(rows):
-                for x in gone.tolist():
-                    counts[opposed(x, stay)] -= weight[x]
-            else:
-                for x in rows.tolist():
-                    counts[x] = weight[opposed(x, stay)].sum()
-
-        left = np.ones(end - at, bool)
-        while left.any():
-            group, allowed, counts = [], left.copy(), against.copy()
-            while len(rows := np.flatnonzero(allowed)):
-                fewest = rows[counts[rows] == counts[rows].min()]
-                if counts[fewest[0]] == 0:  # they bar nothing, so all of them follow
-                    group += fewest.tolist()
-                    allowed[fewest] = False
-                    continue
-                best = int(fewest[np.argmin(own[fewest])])
-                group.append(best)
-                allowed[best] = False
-                barred = opposed(best, allowed)
-                allowed[barred] = False
-                without(counts, barred, allowed)
-            left[group] = False
-            without(against, np.array(group), left)
-            yield [x + at for x in group]
+def _conflicts(threshold: float):
+    """Rows (cell, cluster, key, copies, tokens) sorted by cell to the pairs (cluster, a, copies_a, b, copies_b) that aren't similar."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in grouped(batches):
             sets = Sets(table.column("tokens"))
-            maps, keys, copies = sets.bitmaps(), table.column("key").to_numpy(), table.column("copies").to_numpy()
-            names, labels = [], []
+            maps = sets.bitmaps()
+            cluster, keys, copies = (table.column(c).to_numpy() for c in ("cluster", "key", "copies"))
             for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                for group in (linked_groups if end - at <= WIDE else wide_groups)(sets, maps, keys, copies, at, end):
-                    names += keys[group].tolist()
-                    labels += [int(keys[group].min())] * len(group)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(labels, pa.int64())], ["key", "label"])
+                for i, j in _uncertain(sets, at, end, threshold):
+                    differ = keys[i] != keys[j]
+                    i, j = i[differ], j[differ]
+                    good = similar(sets, maps, i, j, threshold)
+                    bad = np.setdiff1d(i * np.int64(len(keys)) + j, good[0] * np.int64(len(keys)) + good[1], assume_unique=True)
+                    i, j = bad // len(keys), bad % len(keys)
+                    low = keys[i] < keys[j]
+                    i, j = np.where(low, i, j), np.where(low, j, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cluster[i], keys[i], copies[i], keys[j], copies[j])], ["cluster", "a", "copies_a", "b", "copies_b"])
 
     return kernel
 
 
+def levels_of(conflicts: dict[int, set[int]], copies: dict[int, int]) -> dict[int, int]:
+    """The group, counted from 0, of every record that is in conflict with another: again and again a group takes in the record that fewest
+    of those left are in conflict with (by their copies, ties by key), which bars these from the group."""
+    left, found, level = set(conflicts), {}, 0
+    while left:
+        allowed = set(left)
+        against = {x: sum(copies[y] for y in conflicts[x] & allowed) for x in allowed}
+        heap = [(n, x) for x, n in against.items()]
+        heapq.heapify(heap)
+        while heap:
+            n, x = heapq.heappop(heap)
+            if x not in allowed or against[x] != n:
+                continue
+            allowed.remove(x)
+            left.remove(x)
+            found[x] = level
+            for barred in conflicts[x] & allowed:
+                allowed.remove(barred)
+                for y in conflicts[barred] & allowed:
+                    against[y] -= copies[barred]
+                    heapq.heappush(heap, (against[y], y))
+        level += 1
+    return found
+
+
+def _divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conflicts (unit, a, copies_a, b, copies_b) sorted by unit to (key, level)."""
+    for table, bounds in grouped(batches):
+        a, wa, b, wb = (table.column(c).to_pylist() for c in ("a", "copies_a", "b", "copies_b"))
+        found: dict[int, int] = {}
+        for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            conflicts: dict[int, set[int]] = {}
+            copies: dict[int, int] = {}
+            for x, n, y, m in zip(a[at:end], wa[at:end], b[at:end], wb[at:end]):
+                conflicts.setdefault(x, set()).add(y)
+                conflicts.setdefault(y, set()).add(x)
+                copies[x], copies[y] = n, m
+            found |= levels_of(conflicts, copies)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int32())], ["key", "level"])
+
+
+def _levels(conflicts: DataFrame, parts: int) -> DataFrame:
+    """(key, level) of every record in conflict. Records whose conflicts aren't connected don't decide about one another, so that a cluster of
+    many conflicts is divided by its connected conflicts, in as many tasks."""
+    sizes = conflicts.groupBy("cluster").agg((F.count("*") > PAIRS).alias("many"))
+    known = conflicts.join(sizes, "cluster")
+    units = known.where("not many").select(F.col("cluster").alias("unit"), "a", "copies_a", "b", "copies_b")
+    if not sizes.where("many").isEmpty():
+        wide = known.where("many")
+        joined = connected_components(wide.select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("unit"))
+        units = units.unionByName(wide.join(joined, "a").select("unit", "a", "copies_a", "b", "copies_b"))
+    return units.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_divide, "key bigint, level int")
+
+
 def similarity_clusters(df: DataFrame, identifier: str, terms: str, threshold: float = 0.5, least: int = 3) -> DataFrame:
     """(cluster_id, id, size, closeness, typical): the records of every cluster of at least `least` records of which any
     two share at least `threshold` of the union of their terms. cluster_id is the smallest id in the cluster, size its
     number of records, closeness the cosine to the cluster's centroid in a fixed projection of the sets, and typical the
     rank of the record by closeness (ties by id) where it is among the first three, else null.
 
-    Clusters don't overlap. Where similarity isn't transitive, larger groups go first and ties fall to the smaller key
-    of the set. Records without terms, with null arrays or null ids are in no cluster; a repeated id counts once; exact
+    Clusters don't overlap. Where similarity isn't transitive, records with fewest conflicts go first and ties fall to the
+    smaller key of the set. Records without terms, with null arrays or null ids are in no cluster; a repeated id counts once; exact
     copies are one point of several records; an empty table gives an empty result."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    spark = df.sparkSession
-    parts = width(spark)
     sets = materialize(term_sets(df, identifier, terms), "cluster-sets")
-    points = materialize(classes(sets).select("key", "id", "copies", "tokens"), "cluster-points")
-
-    # 1. trees
-    grown = materialize(points.repartition(parts, "key").mapInArrow(_grow((1 - threshold) / 2), _ENTRY), "cluster-entries")
-    entries = grown.where("key = entry").join(points.select("key", "tokens"), "key").select("entry", "weight", "linear", "tokens")
-
-    # 2. entries meet under the rarer terms of their medoids
-    each = entries.select("entry", F.explode("tokens").alias("token"))
-    rarity = each.groupBy("token").count()
-    rare = each.join(rarity, "token").groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("found"))
-    prefix = F.size("found") - F.ceil(F.lit(threshold) * F.size("found") - 1e-9).cast("int") + 1
+    parts = width(sets)
+    # a set with its rarer terms, of which two similar sets have one in common
+    distinct = classes(sets).select("key", "copies", "tokens")
+    each = distinct.select("key", F.explode("tokens").alias("token"))
+    ranked = each.join(each.groupBy("token").count(), "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("found"))
+    rarer = F.slice("found", F.lit(1), F.size("found") - F.ceil(F.lit(threshold) * F.size("found") - 1e-9).cast("int") + 1)
+    points = materialize(distinct.join(ranked.select("key", F.filter(rarer, lambda x: x["count"] > 1).alias("rare")), "key"), "cluster-points")
+
+    # 1. trees, and 2. their reduction
+    radius = (1 - threshold) / 2
+    grown = points.select("key", F.col("copies").alias("weight"), "tokens").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_grow(radius), _ENTRY)
+    for k in range(ROUNDS):
+        grown = materialize(grown, f"cluster-leaves-{k}")
+        grown = grown.repartition(parts, F.array_min(F.transform("tokens", lambda x, k=k: F.xxhash64(x, F.lit(k))))).sortWithinPartitions("key").mapInArrow(_grow(radius), _ENTRY)
+    entries = materialize(grown.select(F.col("key").alias("entry"), "weight", "linear", "tokens"), "cluster-entries")
+
+    # 3. entries meet under the rarer terms of their medoids
     salts = F.ceil(F.col("x.count") / F.lit(SALT)).cast("int")
-    meeting = rare.select("entry", F.explode(F.slice("found", F.lit(1), prefix)).alias("x")).where("x.count > 1")
-    meeting = meeting.select("entry", F.col("x.token").alias("token"), (salts > 1).alias("hot"), F.pmod(F.xxhash64("entry"), salts).alias("salt"))
+    terms_of = entries.select("entry").join(points.select(F.col("key").alias("entry"), F.explode("rare").alias("x")), "entry")
+    meeting = terms_of.select("entry", F.col("x.token").alias("token"), (salts > 1).alias("hot"), F.pmod(F.xxhash64("entry"), salts).alias("salt"))
     kind = "token bigint, hot boolean, entry bigint, label bigint"
 
     def together(rows: DataFrame, group: Column, salted: bool) -> DataFrame:
         wide = rows.join(entries, "entry").select(group.alias("group"), "hot", "token", "entry", "weight", "linear", "tokens")
-        return wide.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_agglomerate(threshold, salted), kind)
+        return wide.repartition(parts, "group").sortWithinPartitions("group", "entry").mapInArrow(_agglomerate(threshold, salted), kind)
 
     # a token of many entries meets in several groups first, whose clusters then meet by one member of each
     first = materialize(together(meeting, F.xxhash64("token", "salt"), True), "cluster-first")
@@ -542,27 +537,26 @@ def similarity_clusters(df: DataFrame, identifier: str, terms: str, threshold: f
     second = together(heads, F.col("token"), False).select("token", F.col("entry").alias("label"), F.col("label").alias("to"))
     met = first.join(second, ["token", "label"], "left").select("entry", F.coalesce("to", "label").alias("label"))
     labels = met.groupBy("entry").agg(F.min("label").alias("label"))
-
-    # 3. every distinct set to the cluster of its entry
-    placed = grown.select("entry", "key").join(labels, "entry", "left").select("key", F.coalesce("label", "entry").alias("cluster"))
-    sized = placed.join(points, "key")
+    medoids = entries.select("entry", "tokens").join(labels, "entry", "left").select(F.col("entry").alias("key"), F.coalesce("label", "entry").alias("cluster"), "tokens")
+
+    # 4. every distinct set to the cluster of the medoid most similar to it; one that shares no term with another is its own medoid
+    every = F.explode(F.sequence(F.lit(0), salts - 1))
+    homes = medoids.join(points.select("key", F.explode("rare").alias("x")), "key").select(F.lit(True).alias("home"), "key", "cluster", "tokens", F.col("x.token").alias("token"), every.alias("salt"))
+    asking = points.select("key", "tokens", F.explode("rare").alias("x")).select(F.lit(False).alias("home"), "key", F.lit(0).cast("bigint").alias("cluster"), "tokens", F.col("x.token").alias("token"), F.pmod(F.xxhash64("key", F.lit(3)), salts).cast("int").alias("salt"))
+    meet = homes.unionByName(asking).select(F.xxhash64("token", "salt").alias("group"), "home", "key", "cluster", "tokens")
+    near = meet.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_assign(threshold), "key bigint, cluster bigint, share double")
+    placed = near.groupBy("key").agg(F.max_by("cluster", F.struct("share", -F.col("cluster"))).alias("cluster"))
+    sized = points.select("key", "copies", "tokens").join(placed, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     counts = sized.groupBy("cluster").agg(F.sum("copies").alias("size"), F.count("*").alias("distinct"))
     member = materialize(sized.join(counts.where(F.col("size") >= least), "cluster"), "cluster-members")
 
-    # 4. exact check
-    cells = blocked(member.where("distinct > 1"), "cluster", "distinct", BLOCK).select("cell", "cluster", "key", "tokens")
-    broken = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_conflicts(threshold), "cluster bigint").distinct()
-    broken = materialize(broken, "cluster-broken")
-    whole = member.join(broken, "cluster", "left_anti").select("cluster", "key", "tokens", "copies")
-    divided = (
-        member.join(broken, "cluster", "left_semi")
-        .select("cluster", "key", "copies", "tokens")
-        .repartition(parts, "cluster")
-        .sortWithinPartitions("cluster", "key")
-        .mapInArrow(_divide(threshold), "key bigint, label bigint")
-    )
-    again = divided.join(points, "key").select(F.xxhash64("label", F.lit(1)).alias("cluster"), "key", "tokens", "copies")
-    settled = materialize(whole.unionByName(again), "cluster-settled").join(sets.select("id", "key"), "key")
+    # 5. exact check
+    cells = blocked(member.where("distinct > 1"), "cluster", "distinct", BLOCK).select("cell", "cluster", "key", "copies", "tokens")
+    pair = "cluster bigint, a bigint, copies_a bigint, b bigint, copies_b bigint"
+    conflicts = materialize(cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_conflicts(threshold), pair).distinct(), "cluster-conflicts")
+    apart = _levels(conflicts, parts)
+    again = member.join(apart, "key", "left").select(F.xxhash64("cluster", F.coalesce("level", F.lit(0))).alias("cluster"), "key", "tokens")
+    settled = materialize(again, "cluster-settled").join(sets.select("id", "key"), "key")
 
     # description of every cluster
     vectors = settled.mapInArrow(_placed_vectors, "cluster bigint, id bigint, vector array<float>")
