@@ -517,6 +517,17 @@ def test_links_of_a_frequent_full_name(spark, monkeypatch):
     assert {(10, 110), (11, 111), (12, 112)} <= got and {x for x, _ in got} == {10, 11, 12, 20}
 
 
+def test_links_that_only_neighbours_decide(spark):
+    """Works whose titles don't join: two of their entities match by their native names, and only these matches bring in the others, whose
+    names alone aren't enough, and not their namesakes elsewhere."""
+    left = [(1, "Ken Sato", "佐藤健", "male", "Alpha"), (2, "Rei Oda", "小田玲", "female", "Alpha"), (3, "Aki Mori", None, "female", "Alpha"), (4, "Jun Abe", None, "male", "Alpha"), (9, "Aki Mori", None, "female", "Elsewhere")]
+    right = [(7, "Omega", 101, "Ken Sato", "佐藤健", "male"), (7, "Omega", 102, "Rei Oda", "小田玲", "female"), (7, "Omega", 103, "Aki Mori", None, "female"), (7, "Omega", 104, "Jun Abbe", None, "male"), (8, "Far Off", 109, "Jun Abe", None, "male")]
+    a = spark.createDataFrame(left, "id bigint, name string, native_name string, gender string, t1 string")
+    b = spark.createDataFrame(right, "work bigint, title string, cid bigint, name string, native_name string, gender string")
+    pairs = lambda on: {(r.a, r.b) for r in linkage.link_entities(a, b, "id", "cid", "name", "native_name", "gender", ["t1"], "title", "work", propagate=on).collect()}
+    assert pairs(False) == {(1, 101), (2, 102)} and pairs(True) == {(1, 101), (2, 102), (3, 103), (4, 104)}
+
+
 @pytest.mark.parametrize("cycle", [False, True])
 def test_links_propagate_until_they_repeat(spark, monkeypatch, recwarn, cycle):
     calls = []

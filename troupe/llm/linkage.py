@@ -29,6 +29,8 @@ from troupe.runtime import materialize, spread
 BIAS, PRUNE, RARE = -3.5, 0.25, 64
 WORK, WORK_SUPPORT, NO_WORK, OTHER_WORK = 2.2, 1.5, -0.5, -4.0
 NATIVE_SAME, NATIVE_OTHER, GENDER_SAME, GENDER_OTHER = 4.5, -6.0, 0.7, -4.0
+#: Pairs of one key that a task makes.
+MEETING = 250_000
 #: A further record of one entity must agree at least so well in its name.
 SECOND = 0.85
 
@@ -102,7 +104,12 @@ def _candidates(left: DataFrame, right: DataFrame) -> tuple[DataFrame, tuple[Dat
     shared = a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key")
     shared = materialize(shared.withColumn("hot", F.col("key").startswith("f") & ((F.col("na") > RARE) | (F.col("nb") > RARE))), "link-shared")
     rarity = (1 / (1 + F.log(F.col("na").cast("double") * F.col("nb")))).alias("rarity")
-    met, frequent = a.join(shared.where("not hot").select("key", rarity), "key").join(b, "key").select("a", "b", "rarity"), None
+    # the pairs of a key that very many share are made by several tasks
+    salts = F.greatest(F.ceil(F.col("na").cast("double") * F.col("nb") / F.lit(MEETING)), F.lit(1)).cast("int")
+    known_keys = shared.where("not hot").select("key", rarity, salts.alias("salts"))
+    ours = a.join(known_keys, "key").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    theirs = b.join(known_keys.select("key", "salts"), "key").select("key", "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met, frequent = ours.join(theirs, ["key", "salt"]).select("a", "b", "rarity"), None
     if not shared.where("hot").isEmpty():
         # a full name that many have is evidence enough only with a work in common, where the other keys or the matches of the works
         # bring pairs together, or where a work is unknown and genders agree
@@ -142,14 +149,15 @@ def _best(scored: DataFrame) -> DataFrame:
 
 
 def link_entities(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, own: str, gender: str, left_titles: list[str], right_title: str, right_work: str, version: str | None = None
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, own: str, gender: str, left_titles: list[str], right_title: str, right_work: str, version: str | None = None, propagate: bool = True,
 ) -> DataFrame:
     """(a, b, confidence): pairs of `left_id` and `right_id` that are one entity, each pair once.
 
     left has one row per entity (repeated ids: the latest by `version`) with any number of title columns, right one
     row per entity and work. Names and titles are plain text or JSON objects as text. Nulls and blanks are no
     evidence; rows with a null id are left out; rows whose name and native name are both missing match nothing; an
-    entity that is entered on the left under two ids gives two pairs; empty tables give an empty result."""
+    entity that is entered on the left under two ids gives two pairs; empty tables give an empty result. Without `propagate` the pairs are
+    those of the first round, before the works have learnt from one another's entities. Confidence is the logistic of the summed evidence."""
     order = F.struct(F.col(version) if version else F.lit(0), F.xxhash64(F.col(name), F.col(own)))
     payload = F.struct(F.col(name).alias("name"), F.col(own).alias("own"), F.col(gender).alias("gender"), F.array(*left_titles).alias("titles"))
     ours = left.where(F.col(left_id).isNotNull()).groupBy(F.col(left_id).cast("bigint").alias("id")).agg(F.max_by(payload, order).alias("x")).select("id", "x.*")
@@ -184,7 +192,10 @@ def link_entities(
         sides = _with_sides(pairs, a, b)
         compared = sides.select("a", "b", "tokens_a", "native_a", "gender_a", "tokens_b", "native_b", "gender_b").mapInArrow(_compare, "a bigint, b bigint, alike double, same_native boolean, own double")
         edges = materialize(compared.join(sides.select("a", "b", "works_a", "works_b"), ["a", "b"]).where("own > -6"), "link-compared")
-        crossed = edges.select("a", "b", F.explode("works_a").alias("x"), "works_b").select("a", "b", "x", F.explode("works_b").alias("y"))
+        # entities with works in common meet in these alone
+        common = F.transform(F.array_intersect("works_a", "works_b"), lambda x: F.struct(x.alias("x"), x.alias("y")))
+        cross = F.flatten(F.transform("works_a", lambda x: F.transform("works_b", lambda y: F.struct(x.alias("x"), y.alias("y")))))
+        crossed = edges.select("a", "b", F.explode(F.when(F.size(common) > 0, common).otherwise(cross)).alias("w")).select("a", "b", "w.x", "w.y")
         return edges, materialize(crossed, "link-crossed")
 
     edges, crossed = compared_pairs(pairs)
@@ -194,6 +205,8 @@ def link_entities(
     support, before, states = None, None, set()
     while True:
         matches = materialize(_best(_scored(edges, crossed, support)), "link-matches")
+        if not propagate:
+            break
         over = before is not None and matches.select("a", "b").exceptAll(before).isEmpty() and before.exceptAll(matches.select("a", "b")).isEmpty()
         state = tuple(matches.agg(F.count("*"), *[F.sum(F.xxhash64("a", "b", F.lit(k)).cast("decimal(20,0)")) for k in (0, 1)]).head())
         if not over and state in states:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 # fixed values: words that stand before or after a name without being part of it
 HONORIFICS = frozenset(
@@ -40,6 +41,7 @@ def _unaccented(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=1 << 16)
 def canonical(word: str) -> str:
     """A romanised word without marks of length, in one spelling of its syllables."""
     word = _unaccented(word.lower())
@@ -107,6 +109,7 @@ def title_key(title: str | None) -> str | None:
     return text.replace(" ", "").replace("_", "") or None
 
 
+@lru_cache(maxsize=1 << 18)
 def distance(a: str, b: str, most: int = 2) -> int:
     """Edits, swaps of neighbours included, between two words; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
