@@ -118,7 +118,7 @@ def test_shares_sum_to_one(spark, rows):
 
 def _tagged(spark, *docs):
     rows = [(d, i, t, p) for d, doc in enumerate(docs) for i, (t, p) in enumerate(doc)]
-    return ngrams.tagged_documents(spark.createDataFrame(rows, "doc_id int, token_no int, token string, tag string"))
+    return ngrams.tagged_tokens(spark.createDataFrame(rows, "doc_id int, token_no int, token string, tag string"))
 
 
 def test_windows_bridge_short_words(spark):

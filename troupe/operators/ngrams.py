@@ -30,83 +30,64 @@ def _is(tag: Column, tags: tuple[str, ...]) -> Column:
     return tag.isin(*tags)
 
 
-def tagged_documents(pos_tags: DataFrame, doc: str = "doc_id", least_chars: int = 3) -> DataFrame:
-    """(doc_id, tokens): per document the tokens of at least `least_chars` characters in order, with the place they had among all tokens,
-    so that windows bridge short words while spans don't forget them. What a window asks of its tokens is worked out here, once
-    for each token and in generated code."""
+def tagged_tokens(pos_tags: DataFrame, doc: str = "doc_id", least_chars: int = 3, most: int = 6) -> DataFrame:
+    """(doc_id, k, word, adjective, reach, before, phrases): the tokens of at least `least_chars` characters of every document, in order, so that
+    windows bridge short words; `phrases` are the windows of 2 to `most` tokens that begin at a token and may be phrases, `reach` is the place
+    of the last token of the longest of them (0 if there is none), and `before` the furthest reach of any earlier token.
+
+    A window may be a phrase if it has no stop words and no equal neighbours, nouns, adjectives and gerunds only, and a noun if it has a gerund.
+    All of it is one pass over tokens that are sorted within their document; no two windows are ever compared."""
     kept = pos_tags.where((F.length("token") >= least_chars) & ~F.col("token").rlike("^[0-9]+$"))
-    word = F.lower("token")
-    known = ~word.isin(*_NO_PHRASE_WORDS)
-    token = F.struct(
-        F.col("token_no").cast("int").alias("at"), word.alias("word"), (known & _is(F.col("tag"), ALLOWED)).alias("ok"), (known & _is(F.col("tag"), ADJECTIVES)).alias("adjective"),
-        _is(F.col("tag"), NOUNS).alias("noun"), (F.col("tag") == "VBG").alias("gerund"),
+    word, known = F.lower("token"), ~F.lower("token").isin(*_NO_PHRASE_WORDS)
+    rows = kept.select(
+        doc, F.col("token_no").cast("int").alias("token_no"), word.alias("word"), (known & _is(F.col("tag"), ALLOWED)).alias("ok"),
+        (known & _is(F.col("tag"), ADJECTIVES)).alias("adjective"), _is(F.col("tag"), NOUNS).alias("noun"), (F.col("tag") == "VBG").alias("gerund"),
     )
-    return kept.groupBy(doc).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
-
-
-def allowed_sequence(window: Column) -> Column:
-    """Whether a window of tokens may be a phrase: no stop words, no equal neighbours, nouns, adjectives and gerunds only; gerunds
-    need a noun."""
-    repeated = F.exists(F.sequence(F.lit(1), F.size(window) - 1), lambda i: F.get(window, i - 1)["word"] == F.get(window, i)["word"])
-    return F.forall(window, lambda t: t["ok"]) & ~repeated & (~F.exists(window, lambda t: t["gerund"]) | F.exists(window, lambda t: t["noun"]))
-
-
-def _phrases(tokens: Column, most: int) -> Column:
-    """Windows of 2 to `most` tokens that may be phrases: first and last place, term, and whether they hold an adjective."""
-
-    def of(size: int) -> Column:
-        starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-        wide = F.filter(F.transform(starts, lambda i: F.slice(tokens, i, F.lit(size))), allowed_sequence)
-        return F.transform(
-            wide,
-            lambda w: F.struct(
-                F.element_at(w, 1)["at"].alias("first"),
-                F.element_at(w, -1)["at"].alias("last"),
-                F.lit(size).alias("size"),
-                F.array_join(F.transform(w, lambda t: t["word"]), " ").alias("term"),
-                F.exists(w, lambda t: t["adjective"]).alias("adjective"),
-            ),
-        )
-
-    return F.flatten(F.array(*[of(size) for size in range(2, most + 1)]))
-
-
-def suppressed_adjectives(documents: DataFrame, doc: str = "doc_id", most: int = 6, threshold: float = 0.80) -> DataFrame:
-    """(adjective, standalone_docs, blocked_docs, ratio): adjectives that mostly modify something. An occurrence is blocked if a phrase
-    of two or more words with an adjective covers it; a document may count on both sides."""
-    rows = documents.select(doc, "tokens", _phrases(F.col("tokens"), most).alias("phrases"))
-    blocking = rows.select(doc, F.filter("phrases", lambda p: p["adjective"]).alias("phrases"), F.explode("tokens").alias("t"))
-    found = blocking.where("t.adjective").select(
-        doc, F.col("t.word").alias("adjective"), F.exists("phrases", lambda p: (p["first"] <= F.col("t.at")) & (F.col("t.at") <= p["last"])).alias("blocked")
-    )
-    counts = found.groupBy("adjective").agg(
-        F.count_distinct(F.when(~F.col("blocked"), F.col(doc))).alias("standalone_docs"), F.count_distinct(F.when(F.col("blocked"), F.col(doc))).alias("blocked_docs")
-    )
+    order = Window.partitionBy(doc).orderBy("token_no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    # a run ends before a word that is no part of a phrase and before one that repeats its neighbour
+    broken = ~F.col("ok") | F.coalesce(F.lag("word").over(order) == F.col("word"), F.lit(False))
+    rows = rows.withColumn("k", F.row_number().over(order)).withColumn("run", F.when(F.col("ok"), F.sum(broken.cast("int")).over(so_far)))
+    ahead = [(F.lead("run", n).over(order).alias(f"run{n}"), F.lead(F.struct("word", "adjective", "noun", "gerund"), n).over(order).alias(f"t{n}")) for n in range(1, most)]
+    rows = rows.select("*", *[x for pair in ahead for x in pair])
+    found, term, flags = [], F.col("word"), [F.col(c) for c in ("adjective", "noun", "gerund")]
+    for n in range(1, most):
+        term = F.concat_ws(" ", term, F.col(f"t{n}.word"))
+        flags = [f | F.col(f"t{n}.{c}") for f, c in zip(flags, ("adjective", "noun", "gerund"))]
+        fit = (F.col(f"run{n}") == F.col("run")) & (flags[1] | ~flags[2])
+        found.append(F.when(fit, F.struct((F.col("k") + n).alias("last"), F.lit(n + 1).alias("size"), term.alias("term"), flags[0].alias("adjective"))))
+    rows = rows.select(doc, "token_no", "k", "word", "adjective", F.array_compact(F.array(*found)).alias("phrases"))
+    rows = rows.withColumn("reach", F.coalesce(F.try_element_at("phrases", F.lit(-1))["last"], F.lit(0)))
+    before = F.coalesce(F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select(doc, "k", "word", "adjective", "reach", before.alias("before"), "phrases")
+
+
+def suppressed_adjectives(tokens: DataFrame, doc: str = "doc_id", threshold: float = 0.80) -> DataFrame:
+    """(adjective, standalone_docs, blocked_docs, ratio) of tagged_tokens(): adjectives that mostly modify something. An occurrence is blocked if a
+    phrase of two or more words covers it; a document may count on both sides."""
+    blocked = F.greatest("reach", "before") >= F.col("k")
+    each = tokens.where("adjective").groupBy(F.col("word").alias("adjective"), doc).agg(F.max((~blocked).cast("int")).alias("standalone"), F.max(blocked.cast("int")).alias("blocked"))
+    counts = each.groupBy("adjective").agg(F.sum("standalone").alias("standalone_docs"), F.sum("blocked").alias("blocked_docs"))
     ratio = F.col("blocked_docs") / (F.col("standalone_docs") + F.col("blocked_docs"))
     return counts.withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
 
 
-def descriptor_ngrams(documents: DataFrame, suppressed: DataFrame | None = None, doc: str = "doc_id", most: int = 6) -> DataFrame:
-    """(doc_id, term, occurrences): the descriptors of every document. Candidates are adjectives that aren't suppressed and phrases; one
-    inside a longer candidate is dropped by its place, and phrases that hold an adjective suppress without being descriptors."""
-    t = F.col("tokens")
-    single = F.transform(
-        F.filter(t, lambda x: x["adjective"]),
-        lambda x: F.struct(x["at"].alias("first"), x["at"].alias("last"), F.lit(1).alias("size"), x["word"].alias("term"), F.lit(False).alias("adjective")),
-    )
-    rows = documents.select(doc, single.alias("single"), _phrases(t, most).alias("phrases"))
-    inside = lambda c: F.exists("phrases", lambda p: (c["size"] < p["size"]) & (p["first"] <= c["first"]) & (c["last"] <= p["last"]))
-    kept = rows.select(doc, F.explode(F.filter(F.concat("single", "phrases"), lambda c: ~c["adjective"] & ~inside(c))).alias("c"))
-    terms = kept.select(doc, F.col("c.term").alias("term"), F.col("c.size").alias("size"))
+def descriptor_ngrams(tokens: DataFrame, suppressed: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
+    """(doc_id, term, occurrences) of tagged_tokens(): the descriptors of every document. Candidates are adjectives that aren't suppressed and
+    phrases; one inside a longer candidate is dropped by its place, and phrases that hold an adjective suppress without being descriptors."""
+    single = F.when(F.col("adjective"), F.struct(F.col("k").alias("last"), F.lit(1).alias("size"), F.col("word").alias("term"), F.lit(False).alias("adjective")))
+    # a longer phrase around a candidate begins before it and reaches as far, or begins with it and reaches further
+    alone = lambda c: ~c["adjective"] & (F.col("before") < c["last"]) & (F.col("reach") <= c["last"])
+    terms = tokens.select(doc, F.explode(F.filter(F.concat(F.array_compact(F.array(single)), "phrases"), alone)).alias("c")).select(doc, "c.term", "c.size")
     if suppressed is not None:
         # the size of the table decides how it is joined
         terms = terms.join(suppressed.select(F.col("adjective").alias("term"), F.lit(1).alias("size")), ["term", "size"], "left_anti")
     return terms.groupBy(doc, "term").agg(F.count("*").alias("occurrences"))
 
 
-def term_documents(ngrams: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(term, docs, occurrences) of (doc_id, term, occurrences)."""
-    return ngrams.groupBy("term").agg(F.count_distinct(doc).alias("docs"), F.sum("occurrences").alias("occurrences"))
+def term_documents(ngrams: DataFrame) -> DataFrame:
+    """(term, docs, occurrences) of (doc_id, term, occurrences), one row for each document and term."""
+    return ngrams.groupBy("term").agg(F.count("*").alias("docs"), F.sum("occurrences").alias("occurrences"))
 
 
 def tf_idf(counts: DataFrame, doc: str, term: str, count: str, n_docs: DataFrame, min_df: int = 3, max_df: float = 0.45, max_features: int = 30_000) -> DataFrame:

@@ -22,6 +22,31 @@ def normalized_descriptions(spark, sf_dir):
     return kept.join(chars, "character_id", "left").select("doc_id", "character_id", F.coalesce("favourites", F.lit(0)).alias("favourites"), "n_words", F.sha2("norm", 256).alias("norm_hash"))
 
 
+# the compatibility characters that these texts have, and the one entity
+_COMPAT = [("&quot;", '"'), ("&QUOT;", '"')]
+_MARKUP = [(r"\[([^\]]+)\]\(https?://[^)]+\)", r"\1"), (r"(?i)\[/?(?:b|i|u|s|center|spoiler|url(?:=[^\]]+)?)\]", " "), ("<[^>]+>", " "), (r"https?://\S+", " ")]
+_WIDE = [("，", ","), ("：", ":"), ("\u00a0", " "), ("½", "12"), ("Ⅳ", "IV"), ("②", "2"), ("…", "..."), ("\u3000", " "), ("¼", "14"), ("³", "3"), ("¨", " "), ("ª", "a"), ("º", "o")]
+
+
+def _f1_sql() -> str:
+    x = "coalesce(text, '')"
+    for a, b in _COMPAT:
+        x = f"replace({x}, '{a}', '{b}')"
+    for a, b in _MARKUP:
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    for a, b in _WIDE:
+        x = f"replace({x}, '{a}', '{b}')"
+    x = f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"
+    return f"regexp_replace({x}, '\\\\n|\\n|\\r', ' ', 'g')"
+
+
+_F1 = _f1_sql()
+SQL["normalized_descriptions"] = f"""
+  with n as (select doc_id, character_id, trim(regexp_replace(lower({_F1}), '\\s+', ' ', 'g')) norm from documents), c as (select id character_id, max(favourites) favourites from characters group by 1)
+  select doc_id, character_id, coalesce(favourites, 0) favourites, len(string_split(norm, ' '))::int n_words, sha256(norm) norm_hash from n left join c using (character_id)
+  where norm <> '' and len(string_split(norm, ' ')) >= 5"""
+
+
 def source_texts(spark, sf_dir):
     """Texts without markup and links, as they are given to validation: length and number of plain words."""
     norm = T.normalize_source("text")
@@ -145,20 +170,53 @@ SQL["clean_features"] = rf"""
 
 
 def _tagged(spark, sf_dir):
-    english = table(spark, sf_dir, "documents").where(F.lower(F.substring("lang", 1, 2)) == "en")
-    return materialize(ngrams.tagged_documents(rule_tags(english, "doc_id", "text")), "tagged")
+    """All texts with tags made by rules."""
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    return materialize(ngrams.tagged_tokens(rule_tags(rows, "doc_id", "text")), "tagged")
 
 
 def suppressed_adjectives(spark, sf_dir):
     return ngrams.suppressed_adjectives(_tagged(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
+def _in(values):
+    return "(" + ", ".join(f"'{x}'" for x in sorted(values)) + ")"
+
+
+# windows compared one by one: each of 2 to 6 tokens, and whether a longer one is around it
+_WINDOWS = f"""
+  n as (select doc_id, {_F1} norm from documents where text is not null),
+  w as (select doc_id, unnest(ws) token, generate_subscripts(ws, 1) - 1 token_no from (select doc_id, regexp_extract_all(norm, '[A-Za-z][A-Za-z0-9]*') ws from n)),
+  g as (select doc_id, token_no, token, lower(token) word, case when token_no > 0 and regexp_matches(token, '^[A-Z]') then 'NNP' when lower(token) in ('the', 'a', 'an', 'this', 'that', 'every') then 'DT'
+    when lower(token) in ('of', 'in', 'on', 'at', 'by', 'with', 'for', 'to', 'from', 'near') then 'IN' when lower(token) in ('he', 'she', 'they', 'it', 'him', 'her', 'them') then 'PRP'
+    when lower(token) like '%ing' then 'VBG' when lower(token) like '%ed' then 'VBD' when regexp_matches(lower(token), '(ous|ful|less|ive|able|ible|al|ic|ish|ern|ary)$') then 'JJ'
+    when lower(token) like '%ly' then 'RB' when regexp_matches(lower(token), '[^s]s$') then 'NNS' else 'NN' end tag from w where len(token) >= 3),
+  k as (select *, row_number() over (partition by doc_id order by token_no) k, word not in {_in(T.PHRASE_STOPWORDS | T.RESIDUES)} and tag in ('NN', 'NNS', 'JJ', 'VBG') ok,
+    word not in {_in(T.PHRASE_STOPWORDS | T.RESIDUES)} and tag = 'JJ' adj from g),
+  o as (select a.doc_id, a.k first, b.k as last, b.word, b.ok, b.adj, b.tag from k a join k b on a.doc_id = b.doc_id and b.k between a.k and a.k + 5 where a.ok),
+  c as (select doc_id, first, last, last - first + 1 size, string_agg(word, ' ') over p term, bool_and(ok) over p ok, bool_or(adj) over p adj, bool_or(tag = 'VBG') over p gerund, bool_or(tag in ('NN', 'NNS')) over p noun,
+    bool_or(word = before) over p again from (select *, lag(word) over (partition by doc_id, first order by last) before from o)
+    window p as (partition by doc_id, first order by last rows unbounded preceding)),
+  v as (select * from c where size >= 2 and ok and not coalesce(again, false) and (not gerund or noun)),
+  s as (select k.doc_id, k.k, k.word, exists (select 1 from v where v.doc_id = k.doc_id and v.first <= k.k and k.k <= v.last) blocked from k where adj),
+  sup as (select word adjective, count(distinct doc_id) filter (where not blocked) standalone_docs, count(distinct doc_id) filter (where blocked) blocked_docs from s group by 1)"""
+SQL["suppressed_adjectives"] = f"""
+  with {_WINDOWS} select adjective, standalone_docs, blocked_docs, round(blocked_docs / (standalone_docs + blocked_docs), 6) ratio from sup where blocked_docs / (standalone_docs + blocked_docs) >= 0.8"""
+
+
 def descriptor_ngrams(spark, sf_dir):
-    """Descriptors of all documents labelled English, with rule-made tags: terms by documents and occurrences."""
+    """Descriptors of all documents, with rule-made tags: terms by documents and occurrences."""
     tagged = _tagged(spark, sf_dir)
     return ngrams.term_documents(ngrams.descriptor_ngrams(tagged, ngrams.suppressed_adjectives(tagged)))
 
 
+SQL["descriptor_ngrams"] = f"""
+  with {_WINDOWS},
+  f as (select doc_id, word term from s where not blocked and word not in (select adjective from sup where blocked_docs / (standalone_docs + blocked_docs) >= 0.8)
+    union all select doc_id, term from v where not adj and not exists (select 1 from v u where u.doc_id = v.doc_id and u.size > v.size and u.first <= v.first and v.last <= u.last))
+  select term, count(distinct doc_id) docs, count(*) occurrences from f group by 1"""
+
+
 QUERIES |= {
     "normalized_descriptions": normalized_descriptions, "source_texts": source_texts, "ngram_counts": ngram_counts, "tfidf_words": tfidf_words, "tfidf_ngrams": tfidf_ngrams,
     "vocabulary_drift": vocabulary_drift, "feature_channels": feature_channels, "feature_kinds": feature_kinds, "clean_features": clean_features,
