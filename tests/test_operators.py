@@ -287,15 +287,34 @@ def test_lowdin_and_svd():
     assert np.allclose(left @ np.diag(values) @ (loadings.T @ x), b @ g @ x, atol=1e-8)
 
 
-def test_pivoted_cholesky():
+def test_pivots_are_those_of_a_cholesky_factor():
+    """Against the textbook: the Schur complements of the Gram matrix, one pivot after the other."""
     e = np.random.default_rng(2).standard_normal((12, 5))
-    for priority in ("residual", "row_sum", "row_sum_first", "row_sum_residual"):
-        sums = e @ e.sum(axis=0) - (e * e).sum(axis=1)
-        pivots, factors, residual = kernels.pivoted_cholesky(e, priority, sums - sums.min() + 0.1)
-        trace = [t for _, _, t in pivots]
-        assert all(a >= b for a, b in zip(trace, trace[1:])) and len({p for p, _, _ in pivots}) == len(pivots)
-        chosen = [p for p, _, _ in pivots]
-        assert np.allclose(factors[chosen] @ factors[chosen].T, e[chosen] @ e[chosen].T, atol=1e-8)
+    sums = kernels.shifted_sums(e)
+    assert sums.min() == 0 and sums.max() == 1
+    for priority in kernels.PRIORITIES:
+        got, left = kernels.pivots_by_deflation(e, priority, sums)
+        rest, chosen = e @ e.T, []
+        for k in range(5):
+            d = np.diag(rest).copy()
+            score = {"residual": d, "row_sum": sums, "row_sum_first": sums if k == 0 else d, "row_sum_residual": d * sums}[priority]
+            best = int(np.argmax(np.where((d > 1e-12) & ~np.isin(np.arange(12), chosen), score, -np.inf)))
+            rest = rest - np.outer(rest[:, best], rest[best]) / d[best]
+            chosen.append(best)
+            assert got[k][0] == best and got[k][1] == pytest.approx(d[best]) and got[k][2] == pytest.approx(np.diag(rest).sum(), abs=1e-9)
+        assert len(got) == 5 and np.allclose(left, 0, atol=1e-9)
+    # negative row sums: raw ones would choose otherwise
+    v = np.array([[3.0, 0], [-1, 0.2], [0, 2], [-1.5, 0]])
+    raw = v @ v.sum(axis=0) - np.square(v).sum(axis=1)
+    assert raw.min() < 0 and [x[0] for x in kernels.pivots_by_deflation(v, "row_sum_residual", kernels.shifted_sums(v))[0]] == [2, 3]
+    assert [x[0] for x in kernels.pivots_by_deflation(v, "row_sum_residual", raw)[0]] == [2, 1]
+
+
+def test_nearest_pivots_of_a_group_without_any(spark):
+    rows = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [-1.0, 0.1]), (2, 3, [0.0, 1.0])], "g int, k bigint, v array<double>")
+    pivots = spark.createDataFrame([(1, 1)], "g int, k bigint")
+    got = {r.k: (r.pivot_key, round(r.cosine, 3)) for r in kernels.nearest_pivots(rows, pivots, "g", "k", "v").collect()}
+    assert got == {1: (1, 1.0), 2: (1, -0.995), 3: (-1, 0.0)}
 
 
 def test_spectral_ward_and_mds():
@@ -315,15 +334,62 @@ def test_coherence():
     assert kernels.coherence(same) == pytest.approx(1) and kernels.variant_overlap(same, same) == pytest.approx(1) and kernels.coherence(np.eye(4)) == pytest.approx(0.25)
 
 
+def _plain_factors(x, h, rounds, sweeps=12, l1=0.0, l2=(0.0, 0.0)):
+    """The same alternation on one matrix, entry by entry."""
+    for k in range(rounds):
+        gram, w = h.T @ h, np.zeros((len(x), h.shape[1]))
+        for target, goal, g, a, b in ((w, x @ h, gram, l1, l2[0]),):
+            for _ in range(sweeps):
+                for c in range(g.shape[1]):
+                    for i in range(len(target)):
+                        target[i, c] = max(0.0, target[i, c] + (goal[i, c] - a - target[i] @ g[:, c] - b * target[i, c]) / (g[c, c] + b))
+        if k < rounds - 1:
+            goal, g, h = x.T @ w, w.T @ w, h.copy()
+            for _ in range(sweeps):
+                for c in range(g.shape[1]):
+                    for i in range(len(h)):
+                        h[i, c] = max(0.0, h[i, c] + (goal[i, c] - h[i] @ g[:, c] - l2[1] * h[i, c]) / (g[c, c] + l2[1]))
+    return w, h
+
+
 def test_factorisation(spark):
     rng = np.random.default_rng(3)
     x = rng.random((30, 2)) @ rng.random((2, 8))
     cells = spark.createDataFrame([(i, f"c{j}", float(x[i, j])) for i in range(30) for j in range(8)], "r int, c string, v double")
     w, h, errors = kernels.factorise(cells, "r", "c", "v", 2, rounds=20)
     assert all(b <= a + 1e-9 for a, b in zip(errors, errors[1:])) and errors[-1] < 0.05
-    assert all(min(r.weights) >= 0 for r in w.collect()) and min(map(min, h["weights"])) >= 0
-    got = kernels.reconstruction_diagnostics(cells.where("r > 0"), w, spark.createDataFrame(h, "c string, weights array<double>"), "r", "c", "v").collect()
-    assert {r.part: r.n for r in got} == {"zero": 8, "nonzero": 232}
+    rows = w.orderBy("r").collect()
+    assert all(min(r.weights) >= 0 for r in rows) and min(map(min, h["weights"])) >= 0
+    got = kernels.reconstruction_diagnostics(cells.where("r > 0"), w, h, "r", "c", "v")
+    assert (got["zero_n"], got["nonzero_n"], got["density"]) == (8, 232, pytest.approx(232 / 240))
+    p = np.array([r.weights for r in rows]) @ np.array(h["weights"].tolist()).T
+    for q in (50, 90, 99):
+        assert got[f"nonzero_q{q}"] == pytest.approx(np.quantile(p[1:], q / 100, method="lower"), rel=0.012)
+    y = x.copy()
+    y[0] = 0
+    assert got["error"] == pytest.approx(np.linalg.norm(y - p) / np.linalg.norm(y)) and got["nonzero_most"] == pytest.approx(p[1:].max())
+    assert kernels.factorise(cells.where("false"), "r", "c", "v", 2)[2] == []
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.002])
+def test_factorisation_equals_a_plain_version(spark, alpha):
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((25, 7)) < 0.4, rng.random((25, 7)), 0)
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i, j in zip(*np.nonzero(x))], "r int, c int, v double").repartition(3)
+    # where it starts: from the singular vectors of the whole matrix
+    u, s, v = np.linalg.svd(x)
+    start = np.zeros((7, 3))
+    start[:, 0] = np.sqrt(s[0]) * np.abs(v[0])
+    for c in (1, 2):
+        sides = [(np.maximum(a * u[:, c], 0), np.maximum(a * v[c], 0)) for a in (1, -1)]
+        left, right = max(sides, key=lambda z: np.linalg.norm(z[0]) * np.linalg.norm(z[1]))
+        start[:, c] = np.sqrt(s[c] * np.linalg.norm(left) * np.linalg.norm(right)) * right / np.linalg.norm(right)
+    start = np.where(start < 1e-6, x.mean(), start)
+    with pytest.warns(UserWarning, match="still moved"):
+        w, h, errors = kernels.factorise(cells, "r", "c", "v", 3, rounds=4, tolerance=-1.0, alpha=alpha, l1_ratio=0.0)
+    want_w, want_h = _plain_factors(x, start, 4, l2=(alpha * 7, alpha * 25))
+    assert np.allclose(np.array(h["weights"].tolist()), want_h, atol=1e-6) and np.allclose(np.array([r.weights for r in w.orderBy("r").collect()]), want_w, atol=1e-6)
+    assert errors[-1] == pytest.approx(np.linalg.norm(x - want_w @ want_h.T) / np.linalg.norm(x))
 
 
 def test_select_size(spark):
@@ -399,30 +465,6 @@ def test_repeated_and_empty_inputs(spark):
     assert vectors.similar_pairs(spark.createDataFrame([], "k bigint, v array<double>"), "k", "v", 0.5).count() == 0
 
 
-def test_event_factors_run_until_the_error_settles(spark, monkeypatch):
-    from troupe.plans import kernels as plans
-
-    seen, factorise = [], kernels.factorise
-
-    def watched(*args, **options):
-        seen.append(factorise(*args, **options))
-        return seen[-1]
-
-    monkeypatch.setattr(kernels, "factorise", watched)
-    assert plans.event_factors(spark, "/root/testdata/sf0.001").count() > 0
-    errors = seen[0][2]
-    print("rounds", len(errors), "errors", errors[7:8], errors[-1])
-    assert errors[-2] - errors[-1] < 1e-5
-
-
-def test_local_components_use_every_vector(spark):
-    from troupe.plans import kernels as plans
-
-    d = "/root/testdata/sf0.001"
-    terms = plans.local_components(spark, d).where("side = 'term'").select("key").distinct().count()
-    assert terms == spark.read.parquet(f"{d}/embeddings.parquet").count()
-
-
 def test_pivot_queries_have_no_rank_limit(spark):
     from troupe.plans import kernels as plans
 
@@ -430,5 +472,6 @@ def test_pivot_queries_have_no_rank_limit(spark):
     basis, near = plans.pivot_basis(spark, d), plans.nearest_pivots(spark, d)
     sizes = {r.label: min(r["count"], 64) for r in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().collect()}
     last = basis.groupBy("label").agg(F.max("rank").alias("rank"), F.min("trace_share").alias("left")).collect()
+    assert basis.count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
     assert all(r["rank"] == sizes[r["label"]] or r["left"] <= 1e-6 for r in last)
     assert near.groupBy("label").agg(F.count_distinct("pivot_key").alias("n")).agg(F.max("n")).head()[0] > 12
