@@ -375,7 +375,8 @@ def test_factorisation(spark):
 def test_factorisation_equals_a_plain_version(spark, alpha):
     rng = np.random.default_rng(9)
     x = np.where(rng.random((25, 7)) < 0.4, rng.random((25, 7)), 0)
-    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i, j in zip(*np.nonzero(x))], "r int, c int, v double").repartition(3)
+    x[x.sum(axis=1) == 0, 2] = 0.5
+    cells = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "r int, c int, v double").repartition(3)
     # where it starts: from the singular vectors of the whole matrix
     u, s, v = np.linalg.svd(x)
     start = np.zeros((7, 3))

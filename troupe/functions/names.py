@@ -103,3 +103,10 @@ def address(base: str, key: str | Column) -> Column:
 def id_in_address(url: str | Column) -> Column:
     """The number after /anime/ in an address."""
     return F.nullif(F.regexp_extract(_col(url), r"/anime/(\d+)", 1), F.lit("")).try_cast("bigint")
+
+
+def cache_key(*parts: str | Column) -> Column:
+    """The slugs of names, numbers and settings, joined by underscores: what a stored result is called."""
+    from troupe.functions.text import slug
+
+    return F.concat_ws("_", *[slug(_col(p).cast("string")) for p in parts])

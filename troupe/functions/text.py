@@ -176,7 +176,12 @@ def padded(values: str | Column, size: int = 4) -> Column:
 def evidence_supported(evidence: str | Column, description: str | Column) -> Column:
     """Whether the evidence is in the description, or all its fragments of 4 characters and more between ellipses are, in
     order and without overlap; both in lower case, the description normalised by normalize_source()."""
-    e, d = F.lower(normalize_evidence(evidence)), F.lower(normalize_source(description))
+    return evidence_in(evidence, F.lower(normalize_source(description)))
+
+
+def evidence_in(evidence: str | Column, normal: str | Column) -> Column:
+    """evidence_supported() for a description that is normalised and in lower case already, which one of many tags is."""
+    e, d = F.lower(normalize_evidence(evidence)), _col(normal)
     parts = F.transform(F.split(e, r"(?:\.\.\.|…)+"), lambda x: F.btrim(normalize_source(x), F.lit(" .")))
     parts = F.filter(parts, lambda x: F.length(x) >= 4)
 

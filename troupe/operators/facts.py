@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troupe.functions.names import address, display_name, display_title, first_year
+from troupe.runtime import materialize
 
 KEPT_TITLES = 8
 
@@ -102,3 +103,26 @@ def payload(role: str = "character_role", score: Column | None = None) -> list[C
         address("https://example.org/anime/", first["anime_id"]).alias("anime_url"),
         *([F.round(score, 5).alias("score")] if score is not None else []),
     ]
+
+
+def unique_characters(roles: DataFrame, order: Column) -> DataFrame:
+    """(character_id, attributes, people, place) of roles (character_id, name, native_name, gender, first_anime, favourites, site_url, seiyuu_id,
+    seiyuu_name, seiyuu_native_name): every character once with the attributes of its first role by `order`, and the distinct voice actors
+    (seiyuu_id, name, native_name) in the order in which they are met; `place` is by favourites descending, then name, then id."""
+    attributes = ["name", "native_name", "gender", "first_anime", "favourites", "site_url"]
+    person = F.struct("seiyuu_id", F.coalesce("seiyuu_name", F.lit("")).alias("name"), F.coalesce("seiyuu_native_name", F.lit("")).alias("native_name"))
+    each = roles.select("character_id", order.alias("_order"), F.struct(*attributes).alias("x"), person.alias("person")).groupBy("character_id", "person").agg(F.min("_order").alias("_order"), F.min_by("x", "_order").alias("x"))
+    met = F.array_sort(F.collect_list(F.struct("_order", "person")))
+    found = each.groupBy("character_id").agg(F.min_by("x", F.struct("_order", "person")).alias("x"), F.transform(met, lambda m: m["person"]).alias("people"))
+    found = found.select("character_id", "x.*", "people").withColumn("favourites", F.coalesce("favourites", F.lit(0)))
+    return in_order(found, F.desc("favourites"), F.asc("name"), F.asc("character_id"))
+
+
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """df with `place`, from 1, in the whole table's order. The rows are sorted over all partitions by range; only the partitions' sizes are
+    brought together to number them."""
+    placed = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    placed = materialize(placed, "ordered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before", "_first")
+    return placed.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_before", "_first")

@@ -77,10 +77,11 @@ def amplitude_prefix(df: DataFrame, group: str, index: str, value: str, mass: fl
     return rows.where(F.round(F.col("covered") - F.col("share"), 12) < mass).select(group, "place", index, value, "share", "covered")
 
 
-def top_positive(df: DataFrame, group: str, term: str, weight: str, top: int) -> DataFrame:
-    """The `top` terms of every group, then only the positive ones; ties by term."""
+def top_positive(df: DataFrame, group: str, term: str, weight: str, top: int | None) -> DataFrame:
+    """The `top` terms of every group (or all), then only the positive ones; ties by term."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(weight), term))
-    return df.withColumn("place", place).where((F.col("place") <= top) & (F.col(weight) > 0)).select(group, "place", term, weight)
+    ranked = df.withColumn("place", place)
+    return (ranked if top is None else ranked.where(F.col("place") <= top)).where(F.col(weight) > 0).select(group, "place", term, weight)
 
 
 def relative_weights(df: DataFrame, group: str, term: str, weight: str, top: int, keep) -> DataFrame:
@@ -99,3 +100,12 @@ def sample_profiles(profiles: DataFrame, entity: str, least_items: int = 10, lea
     """The first `limit` entities that have lanes and enough items and roles, by top score, items and roles; ties by entity."""
     fit = profiles.where((F.col("lanes") > 0) & (F.col("items") >= least_items) & (F.col("roles") >= least_roles))
     return fit.orderBy(F.desc("top_score"), F.desc("items"), F.desc("roles"), entity).limit(limit)
+
+
+def labelled_topics(topics: DataFrame, labels: DataFrame, topic: str, order: str) -> DataFrame:
+    """Topics with their label, description, confidence and evidence terms: of the labels of one topic the last by `order`; blanks and an empty list
+    where there is none."""
+    fields = ["label", "description", "confidence"]
+    last = labels.groupBy(topic).agg(F.max_by(F.struct(*fields, "evidence_terms"), order).alias("_x"))
+    blank = [F.coalesce(f"_x.{c}", F.lit("")).alias(c) for c in fields]
+    return topics.join(last, topic, "left").select(*topics.columns, *blank, F.coalesce("_x.evidence_terms", F.array().cast("array<string>")).alias("evidence_terms"))

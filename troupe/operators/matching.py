@@ -5,10 +5,10 @@ Overlap of key sets is never tested pair by pair: keys are exploded on both side
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from troupe.functions.names import keys_b, norm_b, title_tokens
+from troupe.functions.names import keys_b, norm_a, norm_b, title_tokens
 
 
 def map_works(roles: DataFrame, ids: DataFrame) -> DataFrame:
@@ -63,15 +63,28 @@ def best_candidates(local: DataFrame, candidates: DataFrame) -> DataFrame:
     return scored.groupBy("local_id").agg(best.alias("x")).select("local_id", "x.*")
 
 
+def of_persons(roles: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Roles of persons who share a name key with one of the `wanted` names (name)."""
+    keys = wanted.select(F.explode(keys_b("name")).alias("_key")).distinct()
+    persons = roles.select(name).distinct().withColumn("_key", F.explode(keys_b(name))).join(keys, "_key", "left_semi").select(name).distinct()
+    return roles.join(persons, name, "left_semi")
+
+
 def find_profiles(profiles: DataFrame, query: str, limit: int = 8) -> DataFrame:
     """Profiles (id, aliases array, place) that a search finds: an equal alias goes first, then one that contains the query or is
-    contained in it, each in profile order; a blank query finds nothing."""
-    wanted = norm_b(F.lit(query))
+    contained in it, each in profile order; a blank query finds nothing. The query is brought into the form that aliases have."""
+    wanted = norm_a(F.lit(query))
     alike = F.exists("aliases", lambda a: F.contains(a, wanted) | F.contains(wanted, a))
     rank = F.when(F.array_contains("aliases", wanted), 0).when(alike, 1)
     return profiles.withColumn("rank", F.when(wanted != "", rank)).where("rank is not null").orderBy("rank", "place").limit(limit)
 
 
+def suggested_profiles(profiles: DataFrame, query: str, limit: int = 8) -> DataFrame:
+    """The first profiles with an alias that contains what has been typed; none for a blank query."""
+    wanted = norm_a(F.lit(query))
+    return profiles.where((wanted != "") & F.exists("aliases", lambda a: F.contains(a, wanted))).orderBy("place").limit(limit)
+
+
 def order_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that only one of two row lists has, or that have another place in each: (key, place_left, place_right)."""
     both = left.select(key, F.col("place").alias("place_left")).join(right.select(key, F.col("place").alias("place_right")), key, "full_outer")
@@ -79,6 +92,7 @@ def order_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def first_deliveries(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of every key by `order`."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+    """The first row of every key by `order`, the columns in their order; combined before it is moved."""
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    return df.groupBy(*keys).agg(first.alias("_x")).select(*[F.col(c) if c in keys else F.col(f"_x.{c}").alias(c) for c in df.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from troupe.functions.names import address
 from troupe.functions.text import APOSTROPHE_WORD, evidence_supported, normalize_evidence, words
 
 # fixed values: field labels that alone are no evidence
@@ -111,12 +112,45 @@ def category_values(tags: DataFrame, item: str) -> DataFrame:
     return tags.where("tag is not null").groupBy("category").agg(F.count_distinct("tag").alias("tags"), F.count_distinct(item).alias("items"), F.count("*").alias("total"))
 
 
-def tag_union(sources: list[DataFrame]) -> DataFrame:
-    """(key, name, count) over sources (key, name, ref): the first name and the number of distinct references of each key."""
+def merged_counts(merged: DataFrame, item: str) -> DataFrame:
+    """(kind, name, tags) of merge_tags(): tags by category, by source and by group, and the distinct descriptors of every category."""
+    of = lambda kind, name: merged.select(name.alias("name")).groupBy("name").agg(F.count("*").alias("tags")).select(F.lit(kind).alias("kind"), "name", "tags")
+    rows = of("category", F.col("category")).unionByName(of("source", F.explode("sources"))).unionByName(of("group", F.explode("groups")))
+    return rows.unionByName(merged.groupBy(F.col("category").alias("name")).agg(F.count_distinct("tag").alias("tags")).select(F.lit("descriptors").alias("kind"), "name", "tags"))
+
+
+def value_union(sources: list[DataFrame]) -> DataFrame:
+    """(category, values) of sources (category, value): the distinct values of all of them, sorted."""
+    rows = sources[0]
+    for more in sources[1:]:
+        rows = rows.unionByName(more)
+    return rows.where("value is not null").distinct().groupBy("category").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+def group_values(matches: DataFrame, item: str, traits: str) -> tuple[DataFrame, DataFrame]:
+    """Of items with their match's traits (array of structs with grp and name, null without a match): (grp, values), the distinct names of each
+    group, sorted; and one row (matched, with_traits)."""
+    counts = matches.agg(F.count(F.col(traits)).alias("matched"), F.count_if(F.size(traits) > 0).alias("with_traits"))
+    rows = matches.select(F.explode(traits).alias("x")).select(F.col("x.grp").alias("category"), F.col("x.name").alias("value"))
+    return value_union([rows]).select(F.col("category").alias("grp"), "values"), counts
+
+
+def with_crosswalk(tags: DataFrame, crosswalk: DataFrame, key: str, order: str) -> DataFrame:
+    """Tags with the columns of the crosswalk's last row of their key by `order`; nulls where it has none."""
+    rest = [c for c in crosswalk.columns if c not in (key, order)]
+    last = crosswalk.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_x")).select(key, *[F.col(f"_x.{c}").alias(c) for c in rest])
+    return tags.join(last, key, "left")
+
+
+def tag_union(sources: list[DataFrame], base: str = "https://example.org/tag/") -> DataFrame:
+    """(key, name, tag_id, url, refs, uses) over sources (key, name, tag_id, ref): the first name and the first id of each key, the address made from
+    the id, the number of distinct references and of uses."""
     rows = sources[0].withColumn("seq", F.lit(0))
     for k, more in enumerate(sources[1:], 1):
         rows = rows.unionByName(more.withColumn("seq", F.lit(k)))
-    return rows.where("key <> ''").groupBy("key").agg(F.min_by("name", F.struct("seq", "name")).alias("name"), F.count_distinct("ref").alias("refs"), F.count("*").alias("uses"))
+    first_id = F.min_by(F.when(F.col("tag_id").isNotNull(), F.col("tag_id")), F.when(F.col("tag_id").isNotNull(), F.struct("seq", "name", "tag_id")))
+    found = rows.where("key <> ''").groupBy("key").agg(F.min_by("name", F.struct("seq", "name")).alias("name"), first_id.alias("tag_id"), F.count_distinct("ref").alias("refs"), F.count("*").alias("uses"))
+    return found.select("key", "name", "tag_id", address(base, "tag_id").alias("url"), "refs", "uses")
 
 
 def children(taxonomy: DataFrame) -> DataFrame:

@@ -193,6 +193,29 @@ def set_distances(items: DataFrame, item: str, group: str, weighted: bool = True
     return dealt.groupBy(group, "low", "high").applyInPandas(pairs, schema)
 
 
+def nearest_by_distance(distances: DataFrame, group: str, k: int = 8, itself: bool = True) -> DataFrame:
+    """(group, item, place, neighbour, distance): the k items of least distance to each, from distances (group, item_a, item_b, distance) of one
+    pair each; ties by neighbour. With `itself` an item is its own first neighbour, at distance 0."""
+    turned = distances.select(group, F.col("item_a").alias("item"), F.col("item_b").alias("neighbour"), "distance").unionByName(distances.select(group, F.col("item_b").alias("item"), F.col("item_a").alias("neighbour"), "distance"))
+    if itself:
+        turned = turned.unionByName(turned.select(group, "item", F.col("item").alias("neighbour"), F.lit(0.0).alias("distance")).distinct())
+    place = F.row_number().over(Window.partitionBy(group, "item").orderBy(F.round("distance", 9), F.col("item") != F.col("neighbour"), "neighbour"))
+    return turned.withColumn("place", place).where(F.col("place") <= k).select(group, "item", "place", "neighbour", "distance")
+
+
+def similarity_summary(df: DataFrame, vector: str, group: str, pairs: DataFrame) -> DataFrame:
+    """(group, n, pairs, nonzero, density, mean_all, mean, most) of unit vectors' similarities: `pairs` (group, similarity) are those at or above
+    the threshold, the matrix with both their entries and the diagonal is what counts as nonzero. mean_all is over all entries off the diagonal,
+    from the sum of the vectors, so that no pair is looked at; `mean` leaves exact copies out."""
+    rows = df.select(group, unit(vector).alias("v"))
+    sums = rows.select(group, F.posexplode("v").alias("k", "x")).groupBy(group, "k").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("d"), F.count("*").alias("n"))
+    sums = sums.groupBy(group).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("all"), F.sum("d").alias("diagonal"))
+    kept = pairs.groupBy(group).agg(F.count("*").alias("pairs"), F.avg(F.when(F.col("similarity") < 0.999999, F.col("similarity"))).alias("mean"), F.max("similarity").alias("most"))
+    both = sums.join(kept, group, "left").withColumn("pairs", F.coalesce("pairs", F.lit(0))).withColumn("nonzero", F.col("n") + 2 * F.col("pairs"))
+    off = F.when(F.col("n") > 1, (F.col("all") - F.col("diagonal")) / (F.col("n") * (F.col("n") - 1)))
+    return both.select(group, "n", "pairs", "nonzero", (F.col("nonzero") / (F.col("n") * F.col("n"))).alias("density"), off.alias("mean_all"), "mean", "most")
+
+
 def smoothed(rows: DataFrame, similarity: DataFrame, item: str, term: str) -> DataFrame:
     """(item, term, value): incidence (item, term, value) times a thresholded similarity (term_a < term_b, similarity) with its unit diagonal."""
     both = similarity.select(F.col("key_a").alias(term), F.col("key_b").alias("to"), "similarity").unionByName(similarity.select(F.col("key_b").alias(term), F.col("key_a").alias("to"), "similarity"))

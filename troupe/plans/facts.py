@@ -102,7 +102,55 @@ def unknown_characters(spark, sf_dir):
 
 SQL["unknown_characters"] = "select distinct character_id from credit_edges where seiyuu_id is not null and character_id not in (select id from characters where id is not null)"
 
+def ordered_roles(spark, sf_dir):
+    """Every role with its place by the entity's name and the character's name, then their ids."""
+    people = facts.first_by(facts.distinct_edges(table(spark, sf_dir, "credit_edges").where("seiyuu_id is not null")).select("seiyuu_id", F.coalesce("seiyuu_name", F.lit("")).alias("seiyuu_name")), ["seiyuu_id"], ["seiyuu_name"])
+    roles = facts.named_roles(_pairs(spark, sf_dir), table(spark, sf_dir, "characters")).select("seiyuu_id", "character_id", "name").join(people, "seiyuu_id")
+    return facts.in_order(roles, F.asc("seiyuu_name"), F.asc("name"), F.asc("seiyuu_id"), F.asc("character_id")).select("seiyuu_id", "character_id", "seiyuu_name", "name", "place")
+
+
+SQL["ordered_roles"] = f"""
+  with p as ({PAIRS}), d as ({DIMENSION}), s as (select seiyuu_id, min(coalesce(seiyuu_name, '')) seiyuu_name from credit_edges where seiyuu_id is not null group by 1),
+  r as (select p.seiyuu_id, p.character_id, coalesce(d.name, p.edge_name) as name, seiyuu_name from p left join d using (character_id) join s using (seiyuu_id))
+  select *, row_number() over (order by seiyuu_name, name, seiyuu_id, character_id) place from r"""
+
+_ROLE = """select character_id, seiyuu_id, coalesce(seiyuu_name, '') sn, coalesce(seiyuu_native_name, '') nn, min((ingested_at, coalesce(anime_id, 0), coalesce(anime_title, ''), coalesce(split, ''))) seq
+  from credit_edges where seiyuu_id is not null and character_id is not null group by 1, 2, 3, 4"""
+
+
+def unique_characters(spark, sf_dir):
+    """Characters of at least 5 favourites that are voiced, with their voice actors in the order in which they are met."""
+    edges = facts.distinct_edges(table(spark, sf_dir, "credit_edges").where("seiyuu_id is not null and character_id is not null"))
+    dims = facts.character_dimension(table(spark, sf_dir, "characters")).where("favourites >= 5")
+    order = F.struct("ingested_at", F.coalesce("anime_id", F.lit(0)), F.coalesce("anime_title", F.lit("")), F.coalesce("split", F.lit("")))
+    found = facts.unique_characters(edges.select("character_id", "seiyuu_id", "seiyuu_name", "seiyuu_native_name", "ingested_at", "anime_id", "anime_title", "split").join(dims, "character_id"), order)
+    people = F.array_join(F.transform("people", lambda x: F.concat_ws("/", x["seiyuu_id"].cast("string"), x["name"], x["native_name"])), "|")
+    return found.select("character_id", "name", "gender", "favourites", people.alias("people"), "place")
+
+
+SQL["unique_characters"] = f"""
+  with d as ({DIMENSION}), e as ({_ROLE}), p as (select character_id, string_agg(concat_ws('/', seiyuu_id::varchar, sn, nn), '|' order by seq, seiyuu_id, sn, nn) people from e group by 1)
+  select character_id, name, gender, favourites, people, row_number() over (order by favourites desc, name, character_id) place from d join p using (character_id) where favourites >= 5"""
+
+
+def roles_of_persons(spark, sf_dir):
+    """Credits of the persons who are called like one of three wanted: the first by id, names turned round."""
+    from troupe.operators.matching import of_persons
+
+    edges = table(spark, sf_dir, "credit_edges").where("seiyuu_name is not null")
+    first = edges.groupBy("seiyuu_id").agg(F.min("seiyuu_name").alias("name")).orderBy("seiyuu_id").limit(3)
+    wanted = first.select(F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"))
+    return of_persons(edges, "seiyuu_name", wanted).groupBy("seiyuu_id").agg(F.count_distinct("character_id").alias("characters"), F.count("*").alias("credits"))
+
+
+SQL["roles_of_persons"] = """
+  with w as (select seiyuu_id, min(seiyuu_name) as name from credit_edges where seiyuu_name is not null group by 1 order by 1 limit 3),
+  n as (select distinct seiyuu_name, list_sort(string_split(trim(regexp_replace(lower(regexp_replace(seiyuu_name, '[^A-Za-z0-9 ]+', ' ', 'g')), '\\s+', ' ', 'g')), ' ')) k from credit_edges where seiyuu_name is not null),
+  k as (select list_sort(string_split(trim(regexp_replace(lower(regexp_replace(name, '[^A-Za-z0-9 ]+', ' ', 'g')), '\\s+', ' ', 'g')), ' ')) k from w)
+  select seiyuu_id, count(distinct character_id) characters, count(*) credits from credit_edges where seiyuu_name in (select seiyuu_name from n where k in (select k from k)) group by 1"""
+
 QUERIES |= {
+    "ordered_roles": ordered_roles, "unique_characters": unique_characters, "roles_of_persons": roles_of_persons,
     "fact_roles": fact_roles, "entity_totals": entity_totals, "fact_counts": fact_counts, "character_dimension": character_dimension, "named_roles": named_roles,
     "popular_characters": popular_characters, "unknown_characters": unknown_characters,
 }

@@ -119,12 +119,12 @@ SQL["topic_relative_terms"] = f"""
 
 
 def topic_gaps(spark, sf_dir):
-    ranked = lanes.top_positive(_topic_terms(spark, sf_dir), "topic", "term", "weight", 1000)
+    ranked = lanes.top_positive(_topic_terms(spark, sf_dir), "topic", "term", "weight", None)
     return lanes.gaps(ranked, "topic", "place", "weight").select("topic", "place", "weight", "gap")
 
 
 SQL["topic_gaps"] = f"""
-  {_TT}, p as (select topic, weight, row_number() over (partition by topic order by weight desc, term) place from tt qualify place <= 1000 and weight > 0)
+  {_TT}, p as (select topic, weight, row_number() over (partition by topic order by weight desc, term) place from tt qualify weight > 0)
   select topic, place, weight, lead(weight) over (partition by topic order by place) - weight gap from p"""
 
 
@@ -152,7 +152,21 @@ SQL["lane_sizes"] = """
   select seiyuu_id, topic, count(*) characters, sum(topic_weight::decimal(18, 6))::double total, round(max(topic_weight) / sum(topic_weight::decimal(18, 6))::double, 6) most_share
   from r where topic_weight is not null and not isnan(topic_weight) group by 1, 2"""
 
+def labelled_topics(spark, sf_dir):
+    """The topics of the lanes with the labels that are known: nations stand for labels, delivered twice, of which the later counts."""
+    topics = table(spark, sf_dir, "lane_weights").where("topic is not null").groupBy("topic").agg(F.count_distinct("character_id").alias("characters"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("topic"), "n_name", "n_regionkey")
+    made = [nations.select("topic", F.lit(k).alias("seq"), label.alias("label"), F.lit(text).alias("description"), F.when(F.col("n_regionkey") > 1, "high").alias("confidence"), F.array(F.lower("n_name")).alias("evidence_terms")) for k, label, text in ((0, F.lit("older"), "x"), (1, F.col("n_name"), None))]
+    found = lanes.labelled_topics(topics, made[0].unionByName(made[1]), "topic", "seq")
+    return found.withColumn("evidence_terms", F.array_join("evidence_terms", ","))
+
+
+SQL["labelled_topics"] = """
+  with t as (select topic, count(distinct character_id) characters from lane_weights where topic is not null group by 1)
+  select topic, characters, coalesce(n_name, '') as label, '' description, case when n_regionkey > 1 then 'high' else '' end confidence, coalesce(lower(n_name), '') evidence_terms from t left join nation on n_nationkey = topic"""
+
 QUERIES |= {
+    "labelled_topics": labelled_topics,
     "lane_profiles": lane_profiles, "lane_evidence": lane_evidence, "lane_descriptors": lane_descriptors, "sample_profiles": sample_profiles, "topic_mass_terms": topic_mass_terms,
     "topic_top_terms": topic_top_terms, "topic_relative_terms": topic_relative_terms, "topic_gaps": topic_gaps, "amplitude_prefix": amplitude_prefix, "lane_sizes": lane_sizes,
 }

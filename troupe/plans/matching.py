@@ -137,18 +137,45 @@ SQL["best_candidates"] = f"""
   qualify row_number() over (partition by local_id order by n_traits desc, overlap desc, candidate_id) = 1"""
 
 
+def _profiles(spark, sf_dir):
+    rows = facts.character_dimension(table(spark, sf_dir, "characters"))
+    return rows.select(F.col("character_id").alias("place"), N.search_aliases("name", "native_name").alias("aliases"), "name")
+
+
+def _searches(spark, sf_dir):
+    """What is searched for: the first names with an accented letter, typed as they are, the first without, a part of a name, and a blank."""
+    rows = facts.character_dimension(table(spark, sf_dir, "characters")).where("name <> ''")
+    accented = rows.where(F.col("name").rlike("[À-ſ]"))
+    return [r["name"] for part in (accented, rows.where(~F.col("name").rlike("[^ -~]"))) for r in part.orderBy("character_id").select("name").limit(3).collect()] + ["Ruro", " ?! "]
+
+
+def _searched(spark, sf_dir, find):
+    found = None
+    for text in _searches(spark, sf_dir):
+        one = find(_profiles(spark, sf_dir), text).withColumn("search", F.lit(text))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def person_search(spark, sf_dir):
-    """Profiles that a search for a name finds."""
-    rows = facts.first_by(facts.distinct_edges(table(spark, sf_dir, "credit_edges")).select("seiyuu_id", F.coalesce("seiyuu_name", F.lit("")).alias("name")), ["seiyuu_id"], ["name"])
-    profiles = rows.select(F.col("seiyuu_id").alias("place"), N.search_aliases("name", F.lit("")).alias("aliases"), "name")
-    return matching.find_profiles(profiles, "crowd", 8).select(F.col("place").alias("seiyuu_id"), "name", "rank")
+    """Profiles that searches for names find: equal ones first."""
+    return _searched(spark, sf_dir, matching.find_profiles).select("search", F.col("place").alias("character_id"), "name", "rank")
+
+
+def person_suggestions(spark, sf_dir):
+    """Profiles that are suggested while a name is typed."""
+    return _searched(spark, sf_dir, matching.suggested_profiles).select("search", F.col("place").alias("character_id"), "name")
 
 
+_SEARCH = f"""{_DIM_NORM}, al as (select character_id, name, list_distinct(list_filter([na, nn, array_to_string(list_reverse(string_split(na, ' ')), ' ')], lambda x: x <> '')) al from n),
+  q0 as (select name search from (select * from d where regexp_matches(name, '[À-ſ]') order by character_id limit 3) union all select name from (select * from d where name <> '' and not regexp_matches(name, '[^ -~]') order by character_id limit 3)
+    union all select 'Ruro' union all select ' ?! '), q as (select search, {_A.format("search")} q from q0)"""
 SQL["person_search"] = f"""
-  with p as (select seiyuu_id, min(coalesce(seiyuu_name, '')) as name from credit_edges group by 1), n as (select *, {_A.format("name")} na from p),
-  a as (select *, list_filter([na, array_to_string(list_reverse(string_split(na, ' ')), ' ')], lambda x: x <> '') al from n),
-  r as (select seiyuu_id, name, case when list_contains(al, 'crowd') then 0 when len(list_filter(al, lambda x: contains(x, 'crowd') or contains('crowd', x))) > 0 then 1 end rank from a)
-  select * from r where rank is not null order by rank, seiyuu_id limit 8"""
+  with {_SEARCH}, r as (select search, character_id, name, case when list_contains(al, q) then 0 when len(list_filter(al, lambda x: contains(x, q) or contains(q, x))) > 0 then 1 end rank from q, al where q <> '')
+  select * from r where rank is not null qualify row_number() over (partition by search order by rank, character_id) <= 8"""
+SQL["person_suggestions"] = f"""
+  with {_SEARCH}, r as (select search, character_id, name from q, al where q <> '' and len(list_filter(al, lambda x: contains(x, q))) > 0)
+  select * from r qualify row_number() over (partition by search order by character_id) <= 8"""
 
 
 def name_order_check(spark, sf_dir):
@@ -166,6 +193,6 @@ SQL["name_order_check"] = """
   select character_id, l.place::int place_left, r.place::int place_right from l full join r using (character_id) where l.place is distinct from r.place"""
 
 QUERIES |= {
-    "name_keys": name_keys, "shared_names": shared_names, "work_crosswalk": work_crosswalk, "cast_matches": cast_matches, "best_candidates": best_candidates, "person_search": person_search,
+    "name_keys": name_keys, "shared_names": shared_names, "work_crosswalk": work_crosswalk, "cast_matches": cast_matches, "best_candidates": best_candidates, "person_search": person_search, "person_suggestions": person_suggestions,
     "name_order_check": name_order_check,
 }

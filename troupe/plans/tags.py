@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from troupe.functions.names import display_title
-from troupe.functions.text import tag_key
+from troupe.functions.names import display_name
+from troupe.functions.text import evidence_in, normalize_source, tag_key
 from troupe.operators import tags as T
 from troupe.plans import Query
 from troupe.runtime import table
@@ -66,46 +66,140 @@ SQL["clean_tags"] = f"""
     and not (len(regexp_extract_all(tag, '[a-z][a-z''-]*')) >= 2 and regexp_extract_all(tag, '[a-z][a-z''-]*')[1] in ('wears', 'loves', 'has', 'is', 'wanted', 'hates')) group by 1"""
 
 
-def supported_tags(spark, sf_dir):
-    """Tags whose evidence is in one of the character's texts, with the confidence as read."""
+def _normal_documents(spark, sf_dir):
+    """Each text of a character, normalised once."""
     docs = table(spark, sf_dir, "documents").where("character_id is not null and text is not null")
-    tags = _tags(spark, sf_dir).withColumn("evidence", F.coalesce("tag", F.lit("")))
-    texts = docs.select(F.col("character_id").alias(ITEM), "doc_id", "text")
+    return docs.select(F.col("character_id").alias(ITEM), "doc_id", F.lower(normalize_source("text")).alias("normal"))
+
+
+def supported_tags(spark, sf_dir):
+    """Tags whose evidence, or which themselves, are in one of the character's texts, with the confidence as read."""
+    tags = _tags(spark, sf_dir)
+    said = tags.select("*", F.explode(F.create_map(F.lit("evidence"), "evidence", F.lit("tag"), "tag")).alias("given_by", "given"))
     confidence = F.lower(F.trim(F.coalesce("confidence", F.lit("medium"))))
-    from troupe.functions.text import evidence_supported
+    found = said.join(_normal_documents(spark, sf_dir), ITEM).where(evidence_in("given", "normal"))
+    return found.select(ITEM, "doc_id", "category", "tag", "given_by", F.when(confidence.isin("high", "medium", "low"), confidence).otherwise("medium").alias("confidence")).distinct()
+
 
-    found = tags.join(texts, ITEM).where(evidence_supported("evidence", "text"))
-    return found.select(ITEM, "doc_id", "category", "tag", F.when(confidence.isin("high", "medium", "low"), confidence).otherwise("medium").alias("confidence")).distinct()
+_SPACE = r"[\s\p{Z}\x0b\x{85}]+"
+
+
+def _normal_sql(x: str) -> str:
+    for pattern in ("<[^>]+>", r"\[[^\]]+\]\([^)]+\)", r"https?://\S+"):
+        x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
+    return f"trim(regexp_replace({x}, '{_SPACE}', ' ', 'g'))"
+
+
+def _supported_sql(text: str, given: str) -> str:
+    """The evidence in the text, or its pieces as one pattern."""
+    e = f"lower(trim(trim(regexp_replace({given}, '{_SPACE}', ' ', 'g')), '\"''“”‘’'))"
+    pieces = f"list_filter(list_transform(regexp_split_to_array({e}, '(?:\\.\\.\\.|…)+'), lambda x: trim({_normal_sql('x')}, ' .')), lambda x: length(x) >= 4)"
+    pattern = f"'(?s)' || array_to_string(list_transform({pieces}, lambda x: regexp_escape(x)), '.*')"
+    return f"(coalesce({given}, '') <> '' and (contains({text}, {e}) or (len({pieces}) > 0 and regexp_matches({text}, {pattern}))))"
 
 
-_D = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\[[^\\]]+\\]\\([^)]+\\)', ' ', 'g'), 'https?://\\S+', ' ', 'g'), '[\\s\\p{Z}\\x0b\\x{85}]+', ' ', 'g'))"
-_E = "trim(trim(regexp_replace(tag, '[\\s\\p{Z}\\x0b\\x{85}]+', ' ', 'g')), '\"''“”‘’')"
 SQL["supported_tags"] = f"""
-  with {_LT}, d as (select character_id anilist_character_id, doc_id, lower({_D}) dd from documents where character_id is not null and text is not null)
-  select distinct anilist_character_id, doc_id, category, tag, case when lower(trim(coalesce(confidence, 'medium'))) in ('high', 'medium', 'low') then lower(trim(coalesce(confidence, 'medium'))) else 'medium' end confidence
-  from lt join d using (anilist_character_id) where coalesce(tag, '') <> '' and contains(dd, lower({_E}))"""
+  with {_LT}, d as (select character_id anilist_character_id, doc_id, lower({_normal_sql("text")}) dd from documents where character_id is not null and text is not null),
+  g as (select *, 'evidence' given_by, evidence given from lt union all select *, 'tag', tag from lt)
+  select distinct anilist_character_id, doc_id, category, tag, given_by, case when lower(trim(coalesce(confidence, 'medium'))) in ('high', 'medium', 'low') then lower(trim(coalesce(confidence, 'medium'))) else 'medium' end confidence
+  from g join d using (anilist_character_id) where {_supported_sql("dd", "given")}"""
 
 
-def merged_tags(spark, sf_dir):
-    """Model-made tags of three categories merged with the features of the same characters; the first confidence is kept."""
-    tags = _tags(spark, sf_dir).where("category in ('personality', 'appearance', 'role') and tag is not null and trim(tag) <> ''")
+def evidence_fragments(spark, sf_dir):
+    """Whether pieces of each text between ellipses support it: in their order, in the other, with a piece that isn't in it, and quoted alone."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", normalize_source("text").alias("n"))
+    one, two = F.trim(F.substring("n", 3, 12)), F.trim(F.substring("n", 40, 15))
+    ways = {"ordered": F.concat_ws(" ... ", one, two), "turned": F.concat_ws("…", two, one), "foreign": F.concat_ws("...", one, F.lit("zzzz qqqq")), "quoted": F.concat(F.lit("“"), two, F.lit("”"))}
+    return rows.select("doc_id", *[evidence_in(given, F.lower("n")).alias(name) for name, given in ways.items()])
+
+
+_W1, _W2 = "trim(substring(n, 3, 12))", "trim(substring(n, 40, 15))"
+SQL["evidence_fragments"] = f"""
+  with x as (select doc_id, {_normal_sql("text")} n from documents where text is not null), y as (select doc_id, lower(n) d, {_W1} || ' ... ' || {_W2} a, {_W2} || '…' || {_W1} b, {_W1} || '...' || 'zzzz qqqq' c, '“' || {_W2} || '”' e from x)
+  select doc_id, {_supported_sql("d", "a")} ordered, {_supported_sql("d", "b")} turned, {_supported_sql("d", "c")} as foreign, {_supported_sql("d", "e")} quoted from y"""
+
+
+def _merged(spark, sf_dir):
+    tags = _tags(spark, sf_dir).where("tag is not null and trim(tag) <> ''")
     first = tags.select(ITEM, F.lit("traits").alias("category"), F.lower("tag").alias("tag"), "confidence", F.lit("llm").alias("source"), "evidence", F.lit(None).cast("string").alias("grp")).distinct()
     rows = table(spark, sf_dir, "semantic_features").where("character_id is not null").groupBy("character_id").agg(F.max("features").alias("f")).select("character_id", F.explode("f").alias("f"))
     second = rows.where("f.feature is not null and trim(f.feature) <> ''").select(
         F.col("character_id").alias(ITEM), F.lit("traits").alias("category"), F.lower("f.feature").alias("tag"), F.lit("features").alias("confidence"), F.lit("features").alias("source"), F.lit(None).cast("string").alias("evidence"), F.col("f.kind").alias("grp")
     )
-    merged = T.merge_tags([first, second.distinct()], ITEM)
-    return merged.select(ITEM, "tag", "confidence", F.array_join("sources", ",").alias("sources"), F.size("evidence").alias("evidence"), F.array_join("groups", ",").alias("groups"))
+    return T.merge_tags([first, second.distinct()], ITEM)
 
 
-SQL["merged_tags"] = f"""
-  with {_LT}, a as (select distinct anilist_character_id, lower(tag) tag, confidence, 'llm' source, evidence, null::varchar grp, 0 seq from lt where category in ('personality', 'appearance', 'role') and tag is not null and trim(tag) <> ''),
+def merged_tags(spark, sf_dir):
+    """Model-made tags merged with the features of the same characters; the first confidence is kept."""
+    return _merged(spark, sf_dir).select(ITEM, "tag", "confidence", F.array_join("sources", ",").alias("sources"), F.size("evidence").alias("evidence"), F.array_join("groups", ",").alias("groups"))
+
+
+_MERGE = f"""{_LT}, a as (select distinct anilist_character_id, lower(tag) tag, confidence, 'llm' source, evidence, null::varchar grp, 0 seq from lt where tag is not null and trim(tag) <> ''),
   b as (select distinct character_id, lower(x.feature), 'features', 'features', null::varchar, x.kind, 1 from (select character_id, unnest(f) x from (select character_id, max(features) f from semantic_features where character_id is not null group by 1)) where x.feature is not null and trim(x.feature) <> ''),
-  u as (select * from a union all select * from b)
+  u as (select * from a union all select * from b)"""
+SQL["merged_tags"] = f"""
+  with {_MERGE}
   select anilist_character_id, tag, arg_min_null(confidence, (seq, coalesce(confidence, ''))) confidence, string_agg(distinct source, ',' order by source) sources, count(distinct evidence)::int evidence,
          coalesce(string_agg(distinct grp, ',' order by grp), '') groups from u group by 1, 2"""
 
 
+def merged_tag_counts(spark, sf_dir):
+    """Merged tags by category, source and group."""
+    return T.merged_counts(_merged(spark, sf_dir), ITEM)
+
+
+SQL["merged_tag_counts"] = f"""
+  with {_MERGE}, m as (select anilist_character_id, tag, list_distinct(list(source)) s, list_distinct(list(grp) filter (where grp is not null)) g from u group by 1, 2)
+  select 'category' kind, 'traits' as name, count(*) tags from m union all select 'source', x, count(*) from (select unnest(s) x from m) group by 2 union all select 'group', x, count(*) from (select unnest(g) x from m) group by 2
+  union all select 'descriptors', 'traits', count(distinct tag) from m"""
+
+
+def category_union(spark, sf_dir):
+    """Values of each category of tags together with those of the features' kinds: how many, and all of them as one hash."""
+    tags = _tags(spark, sf_dir).select("category", F.lower("tag").alias("value"))
+    rows = table(spark, sf_dir, "semantic_features").select(F.explode("features").alias("f")).select(F.col("f.kind").alias("category"), F.lower("f.feature").alias("value"))
+    return T.value_union([tags, rows]).where("category is not null").select("category", F.size("values").alias("n"), F.md5(F.array_join("values", "|")).alias("hash"))
+
+
+SQL["category_union"] = f"""
+  with {_LT}, v as (select category, lower(tag) v from lt where tag is not null union select x.kind, lower(x.feature) from (select unnest(features) x from semantic_features) where x.feature is not null)
+  select category, count(*)::int n, md5(string_agg(v, '|' order by v)) hash from v where category is not null group by 1"""
+
+
+def _matched_traits(spark, sf_dir):
+    rows = table(spark, sf_dir, "semantic_features").where("character_id is not null").groupBy("character_id").agg(F.max("features").alias("f"))
+    return rows.select("character_id", F.transform("f", lambda x: F.struct(x["kind"].alias("grp"), x["feature"].alias("name"))).alias("traits"))
+
+
+def trait_groups(spark, sf_dir):
+    """Distinct features of every kind: how many, and all of them as one hash."""
+    values, _ = T.group_values(_matched_traits(spark, sf_dir), "character_id", "traits")
+    return values.select("grp", F.size("values").alias("n"), F.md5(F.array_join("values", "|")).alias("hash"))
+
+
+def trait_counts(spark, sf_dir):
+    """Characters with a row of features, and those with any."""
+    return T.group_values(_matched_traits(spark, sf_dir), "character_id", "traits")[1]
+
+
+_TR = "r as (select character_id, max(features) f from semantic_features where character_id is not null group by 1)"
+SQL["trait_groups"] = f"with {_TR}, v as (select distinct x.kind grp, x.feature v from (select unnest(f) x from r) where x.feature is not null) select grp, count(*)::int n, md5(string_agg(v, '|' order by v)) hash from v group by 1"
+SQL["trait_counts"] = f"with {_TR} select count(f) matched, count(*) filter (where len(f) > 0) with_traits from r"
+
+
+def tags_with_characters(spark, sf_dir):
+    """Tags of characters with what the crosswalk, of which the last delivery counts, says about each: tags and named characters by category."""
+    cross = table(spark, sf_dir, "characters").where("id is not null").select(F.col("id").alias(ITEM), "updated_at", display_name("name").alias("name"), "favourites")
+    rows = T.with_crosswalk(_tags(spark, sf_dir), cross, ITEM, "updated_at")
+    return rows.groupBy("category").agg(F.count("*").alias("tags"), F.count_if(F.coalesce("name", F.lit("")) != "").alias("named"), F.sum(F.coalesce("favourites", F.lit(0))).alias("favourites"))
+
+
+SQL["tags_with_characters"] = f"""
+  with {_LT}, c as (select distinct on (id) id, name, favourites from characters where id is not null order by id, updated_at desc)
+  select category, count(*) tags, count(*) filter (where coalesce(case when ltrim(name) like '{{%' then coalesce(nullif(trim(name->>'$.full'), ''), nullif(trim(name->>'$.userPreferred'), ''), nullif(trim(name->>'$.romaji'), '')) else nullif(trim(name), '') end, '') <> '') named,
+    sum(coalesce(favourites, 0))::bigint favourites from lt left join c on id = anilist_character_id group by 1"""
+
+
 def group_verdicts(spark, sf_dir):
     """Features accepted and rejected by their kind."""
     rows = table(spark, sf_dir, "semantic_features").where("character_id is not null").groupBy("character_id").agg(F.max("features").alias("f")).select("character_id", F.explode("f").alias("f")).select("f.kind")
@@ -122,16 +216,17 @@ SQL["group_verdicts"] = """
 def tag_union(spark, sf_dir):
     """Tags of two sources by category:slug, the first name kept."""
     tags = _tags(spark, sf_dir).where("tag is not null")
-    first = tags.select(tag_key("category", "tag").alias("key"), F.col("tag").alias("name"), F.col(ITEM).alias("ref"))
-    grams = table(spark, sf_dir, "tfidf_vocabulary").select(tag_key(F.lit("role"), "ngram").alias("key"), F.col("ngram").alias("name"), F.col("term_index").cast("bigint").alias("ref"))
+    first = tags.select(tag_key("category", "tag").alias("key"), F.col("tag").alias("name"), F.lit(None).cast("bigint").alias("tag_id"), F.col(ITEM).alias("ref"))
+    grams = table(spark, sf_dir, "tfidf_vocabulary").select(tag_key(F.lit("role"), "ngram").alias("key"), F.col("ngram").alias("name"), F.col("term_index").cast("bigint").alias("tag_id"), F.col("term_index").cast("bigint").alias("ref"))
     return T.tag_union([first, grams])
 
 
 _KEY = "case when regexp_replace(regexp_replace(lower(trim(coalesce({1}, ''))), '\\s+', '_', 'g'), '[^a-z0-9_]+', '', 'g') <> '' then regexp_replace(lower(trim({0})), '\\s+', '_', 'g') || ':' || regexp_replace(regexp_replace(lower(trim({1})), '\\s+', '_', 'g'), '[^a-z0-9_]+', '', 'g') else '' end"
 SQL["tag_union"] = f"""
-  with {_LT}, u as (select {_KEY.format("category", "tag")} as key, tag as name, anilist_character_id ref, 0 seq from lt where tag is not null
-    union all select {_KEY.format("'role'", "ngram")}, ngram, term_index, 1 from tfidf_vocabulary)
-  select key, arg_min(name, (seq, name)) as name, count(distinct ref) refs, count(*) uses from u where key <> '' group by 1"""
+  with {_LT}, u as (select {_KEY.format("category", "tag")} as key, tag as name, null::bigint tag_id, anilist_character_id ref, 0 seq from lt where tag is not null
+    union all select {_KEY.format("'role'", "ngram")}, ngram, term_index::bigint, term_index, 1 from tfidf_vocabulary)
+  select key, arg_min(name, (seq, name)) as name, arg_min(tag_id, (seq, name, tag_id)) filter (where tag_id is not null) tag_id,
+    case when coalesce(arg_min(tag_id, (seq, name, tag_id)) filter (where tag_id is not null), 0) <> 0 then 'https://example.org/tag/' || (arg_min(tag_id, (seq, name, tag_id)) filter (where tag_id is not null)) else '' end url, count(distinct ref) refs, count(*) uses from u where key <> '' group by 1"""
 
 
 def tag_taxonomy(spark, sf_dir):
@@ -160,16 +255,17 @@ SQL["pending_items"] = """
 
 
 def missing_requests(spark, sf_dir):
-    """Titles the tagged characters name that no work has: set difference, compared in lower case."""
-    asked = table(spark, sf_dir, "tagged_characters").select(F.lower(display_title("first_anime")).alias("title")).where("title <> ''").distinct()
+    """Titles of the other catalogue that no credited work has: set difference, compared in lower case."""
+    asked = table(spark, sf_dir, "anidb_cast").select(F.lower(F.trim("anime_title")).alias("title")).where("title <> ''").distinct()
     return asked.exceptAll(table(spark, sf_dir, "credit_edges").select(F.lower("anime_title").alias("title")).where("title is not null").distinct())
 
 
 SQL["missing_requests"] = """
-  select distinct lower(trim(first_anime)) title from tagged_characters where trim(coalesce(first_anime, '')) <> '' and first_anime not like '{%'
+  select distinct lower(trim(anime_title)) title from anidb_cast where trim(coalesce(anime_title, '')) <> ''
   except select distinct lower(anime_title) from credit_edges where anime_title is not null"""
 
 QUERIES |= {
     "tag_counts": tag_counts, "tag_categories": tag_categories, "tag_membership": tag_membership, "clean_tags": clean_tags, "supported_tags": supported_tags, "merged_tags": merged_tags,
-    "group_verdicts": group_verdicts, "tag_union": tag_union, "tag_taxonomy": tag_taxonomy, "pending_items": pending_items, "missing_requests": missing_requests,
+    "merged_tag_counts": merged_tag_counts, "evidence_fragments": evidence_fragments, "category_union": category_union, "trait_groups": trait_groups, "trait_counts": trait_counts,
+    "tags_with_characters": tags_with_characters, "group_verdicts": group_verdicts, "tag_union": tag_union, "tag_taxonomy": tag_taxonomy, "pending_items": pending_items, "missing_requests": missing_requests,
 }

@@ -27,14 +27,17 @@ SQL["similar_vectors"] = f"with {_E} select a.vec_id key_a, b.vec_id key_b, roun
 
 
 def similarity_summary(spark, sf_dir):
-    """Per group: pairs at or above a threshold, and the mean of those, exact copies left out of it."""
+    """Per group: pairs at or above a threshold, nonzero entries, density, the mean of all and of the kept, exact copies left out."""
     pairs = V.similar_pairs(_emb(spark, sf_dir), "vec_id", "embedding", 0.2, 0.0, ["label"])
-    return pairs.groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.avg(F.when(F.col("similarity") < 0.999999, F.col("similarity"))), 6).alias("mean"), F.round(F.max("similarity"), 6).alias("most"))
+    found = V.similarity_summary(_emb(spark, sf_dir), "embedding", "label", pairs)
+    return found.select("label", "n", "pairs", "nonzero", *[F.round(c, 6).alias(c) for c in ("density", "mean_all", "mean", "most")])
 
 
 SQL["similarity_summary"] = f"""
-  with {_E}, p as (select a.label, least(greatest(list_inner_product(a.u, b.u), 0), 1) s from e a join e b on a.vec_id < b.vec_id and a.label = b.label)
-  select label, count(*) pairs, round(avg(s) filter (where s < 0.999999), 6) as mean, round(max(s), 6) most from p where s >= 0.2 group by 1"""
+  with {_E}, p as (select a.label, least(greatest(list_inner_product(a.u, b.u), 0), 1) s from e a join e b on a.vec_id < b.vec_id and a.label = b.label),
+  c as (select label, count(*) n from e group by 1), q as (select a.label, avg(list_inner_product(a.u, b.u)) m from e a join e b on a.vec_id <> b.vec_id and a.label = b.label group by 1),
+  k as (select label, count(*) pairs, avg(s) filter (where s < 0.999999) as mean, max(s) most from p where s >= 0.2 group by 1)
+  select label, n, pairs, n + 2 * pairs nonzero, round((n + 2 * pairs) / (n * n), 6) density, round(m, 6) mean_all, round(mean, 6) mean, round(most, 6) most from c join q using (label) join k using (label)"""
 
 
 def nearest_vectors(spark, sf_dir):
@@ -155,6 +158,18 @@ SQL["best_match_distances"] = f"""
   with {_SETS} select label, item_a, item_b, round(0.5 * (x.d + y.d), 6) distance from (select label, item_a, item_b, avg(c) d from l group by 1, 2, 3) x join (select label, item_a, item_b, avg(c) d from r group by 1, 2, 3) y using (label, item_a, item_b)"""
 
 
+def nearest_sets(spark, sf_dir):
+    """The 8 nearest sets of the same label to each set, itself first."""
+    found = V.nearest_by_distance(V.set_distances(_label_sets(spark, sf_dir), "item", "label"), "label")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+SQL["nearest_sets"] = f"""
+  with {_SETS}, d as (select label, item_a, item_b, 0.5 * (x.d + y.d) d from (select label, item_a, item_b, sum(w * c) d from l group by 1, 2, 3) x join (select label, item_a, item_b, sum(w * c) d from r group by 1, 2, 3) y using (label, item_a, item_b)),
+  b as (select label, item_a item, item_b neighbour, d from d union all select label, item_b, item_a, d from d), z as (select * from b union all select distinct label, item, item, 0.0 from b)
+  select label, item, row_number() over (partition by label, item order by round(d, 9), item <> neighbour, neighbour)::int place, neighbour, round(d, 6) distance from z qualify place <= 8"""
+
+
 def affinities(spark, sf_dir):
     """Affinity exp(-d / median) between the sets of a label, with the label's degrees' smallest, median and largest."""
     d = V.set_distances(_label_sets(spark, sf_dir), "item", "label")
@@ -174,5 +189,5 @@ SQL["affinities"] = f"""
 QUERIES |= {
     "similar_vectors": similar_vectors, "similarity_summary": similarity_summary, "nearest_vectors": nearest_vectors, "centred_norms": centred_norms, "gram_row_sums": gram_row_sums,
     "label_means": label_means, "fixed_pairs": fixed_pairs, "smoothed_membership": smoothed_membership, "popularity_weights": popularity_weights,
-    "soft_set_distances": soft_set_distances, "best_match_distances": best_match_distances, "affinities": affinities,
+    "soft_set_distances": soft_set_distances, "best_match_distances": best_match_distances, "nearest_sets": nearest_sets, "affinities": affinities,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -158,6 +158,47 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def cached_tables(spark: SparkSession, folder: str, build: Callable[[], dict[str, DataFrame]], names: list[str]) -> tuple[dict[str, DataFrame], bool]:
+    """The tables `names` of a folder, and whether they were there. Unless all of them are complete, all are built and written; a table is complete
+    once its commit has left its mark."""
+    at = {x: f"{folder}/{x}.parquet" for x in names}
+    there = all(exists(spark, f"{p}/_SUCCESS") for p in at.values())
+    if not there:
+        for name, df in build().items():
+            df.write.mode("overwrite").parquet(at[name])
+    return {x: spark.read.parquet(p) for x, p in at.items()}, there
+
+
+# fixed values: embedding models by their short names, with what goes before each text and what runs them
+PRESETS = {
+    "bge-large": ("BAAI/bge-large-en-v1.5", "", "sentence-transformers"),
+    "e5-large": ("intfloat/e5-large-v2", "query: ", "sentence-transformers"),
+    "gte-large": ("Alibaba-NLP/gte-large-en-v1.5", "", "sentence-transformers"),
+    "bge-small": ("BAAI/bge-small-en-v1.5", "", "sentence-transformers"),
+    "mxbai-embed-large": ("mxbai-embed-large", "", "ollama"),
+    "nomic-embed-text": ("nomic-embed-text", "", "ollama"),
+}
+
+
+def preset_texts(df: DataFrame, text: str, preset: str) -> DataFrame:
+    """df with `model` and `input`, the text as the preset's model is given it."""
+    model, prefix, _ = PRESETS[preset]
+    return df.withColumn("model", F.lit(model)).withColumn("input", F.concat(F.lit(prefix), F.col(text)))
+
+
+def same_vocabulary(stored: DataFrame, wanted: DataFrame, model: str | None = None) -> bool:
+    """Whether stored vectors (place, text, model) are of the wanted texts (place, text), in the same order, and of the model if one is given."""
+    if model is not None and not stored.where(~F.col("model").eqNullSafe(F.lit(model))).isEmpty():
+        return False
+    both = stored.select("place", F.col("text").alias("have")).join(wanted.select("place", F.col("text").alias("want")), "place", "full_outer")
+    return both.where(~F.col("have").eqNullSafe(F.col("want"))).isEmpty()
+
+
 def staged_vectors(vectors: DataFrame, wanted: DataFrame, text: str = "text", vector: str = "embedding") -> DataFrame:
     """(text, vector) at length 1 of every wanted text; raises if one has no vector, since nothing is computed here."""
     have = vectors.where(F.col(vector).isNotNull()).groupBy(text).agg(F.min(vector).alias(vector))
