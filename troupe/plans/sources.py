@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from troupe.functions.text import json_object
 from troupe.operators.tags import children
 from troupe.plans import Query
 from troupe.sources import readers as R
-from troupe.runtime import table
+from troupe import runtime
+from troupe.runtime import shared_dir, table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -44,13 +47,16 @@ SQL["xml_cast"] = """
 
 
 def xml_taxonomy(spark, sf_dir):
-    """A tag tree for every market segment as XML, parsed again: regions with their nations and the segments those are in."""
+    """A tag tree for every market segment as an XML file in a folder, which is read again: regions with their nations and the segments those are in."""
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     segments = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("file")).distinct()
     tag = F.concat(F.lit('<tag id="'), (F.col("n_nationkey") + 100).cast("string"), F.lit('" parentid="'), F.col("r_regionkey").cast("string"), F.lit('">'), _text("name", F.col("n_name")), F.lit("</tag>"))
     parent = F.concat(F.lit('<tag id="'), F.col("r_regionkey").cast("string"), F.lit('">'), _text("name", F.col("r_name")), F.lit("</tag>"))
     docs = nations.join(segments, "n_nationkey").groupBy("file").agg(F.concat(F.lit("<anime><tags>"), F.array_join(F.array_sort(F.collect_set(F.concat(tag, parent))), ""), F.lit("</tags></anime>")).alias("xml"))
-    return children(R.tag_tree_of(docs, "xml", "file"))
+    path = f"{shared_dir(spark)}/troupe/xml-{uuid.uuid4().hex}"
+    runtime._written.append(path)
+    docs.select(F.col("file"), F.col("xml").alias("value")).write.partitionBy("file").text(path)
+    return children(R.tag_tree_of(R.read_texts(spark, f"{path}/*"), "text", "file"))
 
 
 SQL["xml_taxonomy"] = "select r_name parent, n_name child, count(distinct c_mktsegment) child_files from nation join region on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by 1, 2"

@@ -28,7 +28,7 @@ _MARKUP = [(r"\[([^\]]+)\]\(https?://[^)]+\)", r"\1"), (r"(?i)\[/?(?:b|i|u|s|cen
 _WIDE = [("，", ","), ("：", ":"), ("\u00a0", " "), ("½", "12"), ("Ⅳ", "IV"), ("②", "2"), ("…", "..."), ("\u3000", " "), ("¼", "14"), ("³", "3"), ("¨", " "), ("ª", "a"), ("º", "o")]
 
 
-def _f1_sql() -> str:
+def _ascii_sql() -> str:
     x = "coalesce(text, '')"
     for a, b in _COMPAT:
         x = f"replace({x}, '{a}', '{b}')"
@@ -36,11 +36,11 @@ def _f1_sql() -> str:
         x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
     for a, b in _WIDE:
         x = f"replace({x}, '{a}', '{b}')"
-    x = f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"
-    return f"regexp_replace({x}, '\\\\n|\\n|\\r', ' ', 'g')"
+    return f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"
 
 
-_F1 = _f1_sql()
+_ASCII = _ascii_sql()
+_F1 = f"regexp_replace({_ASCII}, '\\\\n|\\n|\\r', ' ', 'g')"
 SQL["normalized_descriptions"] = f"""
   with n as (select doc_id, character_id, trim(regexp_replace(lower({_F1}), '\\s+', ' ', 'g')) norm from documents), c as (select id character_id, max(favourites) favourites from characters group by 1)
   select doc_id, character_id, coalesce(favourites, 0) favourites, len(string_split(norm, ' '))::int n_words, sha256(norm) norm_hash from n left join c using (character_id)

@@ -22,9 +22,9 @@ TAGS_XML = "tags struct<tag: array<struct<_id: bigint, _parentid: bigint, name:
 CATEGORIES = ("abilities", "accessories", "age range", "clothing", "disability", "entity", "habits", "looks", "nationality", "personality", "role")
 
 
-def read_json(spark: SparkSession, path: str, schema: str, records: str | None = None) -> DataFrame:
-    """A whole-file JSON document of a given schema; with `records`, one row for each element of that array."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: str, records: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON documents of a given schema, one for each file or, with `lines`, for each line; with `records`, one row for each element of that array."""
+    df = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return df.select(F.explode(records).alias("_r")).select("_r.*") if records else df
 
 
@@ -153,6 +153,11 @@ def tags_of_pages(df: DataFrame, key: str, page: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(page).alias("page")).mapInPandas(read, f"{key} {kind}, place int, category string, tag_id bigint, name string")
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the files of a folder, each whole; files that begin with _ or . are left out."""
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of gzip pages in a folder."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
@@ -199,8 +204,11 @@ def same_vocabulary(stored: DataFrame, wanted: DataFrame, model: str | None = No
     return both.where(~F.col("have").eqNullSafe(F.col("want"))).isEmpty()
 
 
-def staged_vectors(vectors: DataFrame, wanted: DataFrame, text: str = "text", vector: str = "embedding") -> DataFrame:
-    """(text, vector) at length 1 of every wanted text; raises if one has no vector, since nothing is computed here."""
+def staged_vectors(vectors: DataFrame, wanted: DataFrame, text: str = "text", vector: str = "embedding", fold: bool = False) -> DataFrame:
+    """(text, vector) at length 1 of every wanted text; raises if one has no vector, since nothing is computed here. With `fold` case doesn't
+    matter, and texts are in lower case."""
+    if fold:
+        vectors, wanted = (df.withColumn(text, F.lower(text)) for df in (vectors, wanted))
     have = vectors.where(F.col(vector).isNotNull()).groupBy(text).agg(F.min(vector).alias(vector))
     missing = wanted.select(text).distinct().join(have, text, "left_anti").limit(5).collect()
     if missing:
