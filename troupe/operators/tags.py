@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from troupe.functions.names import address
-from troupe.functions.text import APOSTROPHE_WORD, evidence_supported, normalize_evidence, words
+from troupe.functions.text import APOSTROPHE_WORD, evidence_in, normalize_evidence, words
 
 # fixed values: field labels that alone are no evidence
 METADATA_FIELD = r"(?i)^\s*(?:_+)?\s*(?:age|birthday|blood\s*type|classification|gender|grade|height|occupation|race|rank|species|status|weight)\s*:?\s*(?:_+)?"
@@ -63,10 +63,11 @@ def canonical_tags(tags: DataFrame, pos: DataFrame, lexicon: DataFrame) -> DataF
 
 
 def validated_tags(tags: DataFrame, texts: DataFrame, item: str) -> DataFrame:
-    """Tags (item, category, place, tag, evidence, confidence) whose evidence the item's text supports: the first of each (item, category,
-    tag), the evidence normalised and an unknown confidence read as medium. Items without a text have no valid tags."""
+    """Tags (item, category, place, tag, evidence, confidence) whose evidence one of the item's texts (item, normal: normalised and in lower case)
+    supports: the first of each (item, category, tag), the evidence normalised and an unknown confidence read as medium. Items without a
+    text have no valid tags."""
     confidence = F.lower(F.trim(F.coalesce("confidence", F.lit("medium"))))
-    rows = tags.join(texts.select(item, "text"), item).where(evidence_supported("evidence", "text") & (F.trim(F.coalesce("tag", F.lit(""))) != ""))
+    rows = tags.join(texts.select(item, "normal"), item).where(evidence_in("evidence", "normal") & (F.trim(F.coalesce("tag", F.lit(""))) != ""))
     rows = rows.select(item, "category", "place", F.col("tag"), normalize_evidence("evidence").alias("evidence"), F.when(confidence.isin("high", "medium", "low"), confidence).otherwise("medium").alias("confidence"))
     first = F.min_by(F.struct("evidence", "confidence"), F.struct("place", "evidence"))
     return rows.groupBy(item, "category", "tag").agg(first.alias("x")).select(item, "category", "tag", "x.evidence", "x.confidence")

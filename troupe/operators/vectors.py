@@ -14,7 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+#: Rows of a block, and blocks that a group of fewer rows is dealt into, so that there are pairs of blocks for several tasks.
+BLOCK, LEAST, FEW = 4096, 256, 4
+
+
+def _blocks(df: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, blocks): every row is copied as often as its group has blocks, so there are as few as their size allows."""
+    n = F.count("*")
+    return df.groupBy(*groups).agg(F.greatest(F.ceil(n / F.lit(BLOCK)), F.least(F.ceil(n / F.lit(LEAST)), F.lit(FEW)), F.lit(1)).cast("int").alias("blocks"))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -79,7 +86,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, low: float
     """(groups, key_a, key_b, similarity): pairs of rows, the smaller key first, whose cosine, clipped to [low, 1], is at least
     `least`; of one group if groups are given. Vectors of length 0 have cosine 0 to all. The diagonal, which is 1, is left out."""
     groups = groups or []
-    sizes = df.groupBy(*groups).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.lit(1)).cast("int").alias("blocks"))
+    sizes = _blocks(df, groups)
     rows = df.select(*groups, F.col(key).alias("key"), unit(vector).alias("v"))
     rows = rows.join(sizes, groups) if groups else rows.join(F.broadcast(sizes))
     dealt = _dealt(rows, "key", F.col("blocks"), groups).drop("blocks")
@@ -111,7 +118,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, low: float
 def nearest(df: DataFrame, key: str, vector: str, k: int, groups: list[str]) -> DataFrame:
     """(groups, key, neighbour, similarity, place): the k rows of the same group nearest by cosine to each row, itself left out; ties by
     neighbour. Blocks keep the k best of each row, so that no more than that ever leaves them."""
-    sizes = df.groupBy(*groups).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.lit(1)).cast("int").alias("blocks"))
+    sizes = _blocks(df, groups)
     rows = df.select(*groups, F.col(key).alias("key"), unit(vector).alias("v")).join(sizes, groups)
     dealt = _dealt(rows, "key", F.col("blocks"), groups).drop("blocks")
     kind = df.schema[key].dataType.simpleString()
@@ -170,25 +177,33 @@ def set_distances(items: DataFrame, item: str, group: str, weighted: bool = True
     dealt = _dealt(items.select(group, F.col(item).alias("key"), "weights", "vectors").join(sizes, group), "key", F.col("blocks"), [group]).drop("blocks")
     schema = f"{group} {items.schema[group].dataType.simpleString()}, item_a bigint, item_b bigint, distance double"
 
+    def side(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and sizes of the sets, and the weights and vectors of all of them, one after the other."""
+        sizes = rows["vectors"].map(len).to_numpy(dtype=np.int64)
+        flat = [x for v in rows["vectors"] for x in v]
+        vectors = np.stack(flat).astype(float) if flat else np.zeros((0, 1))
+        weights = np.concatenate([np.asarray(w, float) for w in rows["weights"]]) if weighted and flat else np.repeat(1 / np.maximum(sizes, 1), sizes)
+        return rows["key"].to_numpy(), sizes, weights, vectors
+
+    def one_way(cost: np.ndarray, weights: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """own x other: of every pair of sets, the weighted mean of the own vectors' least costs; 0 where either is empty."""
+        out = np.zeros((len(own), len(other)))
+        a, b = np.flatnonzero(own), np.flatnonzero(other)
+        if len(a) and len(b):
+            least = np.minimum.reduceat(cost, np.cumsum(other[b]) - other[b], axis=1)
+            out[np.ix_(a, b)] = np.add.reduceat(weights[:, None] * least, np.cumsum(own[a]) - own[a], axis=0)
+        return out
+
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = pdf["low"].iat[0], pdf["high"].iat[0]
-
-        def side(own: int) -> list[tuple]:
-            rows = pdf[pdf["own"] == own]
-            out = []
-            for k, w, v in zip(rows["key"], rows["weights"], rows["vectors"]):
-                vectors = np.stack([np.asarray(x, float) for x in v]) if len(v) else np.zeros((0, 1))
-                weights = np.asarray(w, float) if weighted else np.full(len(v), 1 / max(len(v), 1))
-                out.append((k, weights, vectors))
-            return out
-
-        out = []
-        left, right = side(first), side(second)
-        for ka, wa, va in left:
-            for kb, wb, vb in right:
-                if first != second or ka < kb:
-                    out.append((pdf[group].iat[0], min(ka, kb), max(ka, kb), soft_distance(wa, va, wb, vb)))
-        return pd.DataFrame(out, columns=[group, "item_a", "item_b", "distance"])
+        (ka, na, wa, va), (kb, nb, wb, vb) = (side(pdf[pdf["own"] == x]) for x in (first, second))
+        if not len(ka) or not len(kb):
+            return pd.DataFrame({group: [], "item_a": [], "item_b": [], "distance": []})
+        cost = np.clip(1.0 - va @ vb.T, 0.0, 2.0) if len(va) and len(vb) else np.zeros((len(va), len(vb)))
+        distance = 0.5 * (one_way(cost, wa, na, nb) + one_way(cost.T, wb, nb, na).T)
+        distance = np.where((na[:, None] == 0) != (nb[None, :] == 0), 1.0, distance)
+        i, j = np.nonzero(ka[:, None] < kb[None, :]) if first == second else (x.ravel() for x in np.indices(distance.shape))
+        return pd.DataFrame({group: pdf[group].iat[0], "item_a": np.minimum(ka[i], kb[j]), "item_b": np.maximum(ka[i], kb[j]), "distance": distance[i, j]})
 
     return dealt.groupBy(group, "low", "high").applyInPandas(pairs, schema)
 

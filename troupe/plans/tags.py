@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from troupe.functions.names import display_name
-from troupe.functions.text import evidence_in, normalize_source, tag_key
+from troupe.functions.tagging import rule_tag
+from troupe.functions.text import APOSTROPHE_WORD, evidence_in, normalize_source, tag_key, words
 from troupe.operators import tags as T
 from troupe.plans import Query
+from troupe.plans.text import _RULE_TAG
 from troupe.runtime import table
 
 QUERIES: dict[str, Query] = {}
@@ -90,9 +92,13 @@ def _normal_sql(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_SPACE}', ' ', 'g'))"
 
 
+def _evidence_sql(given: str) -> str:
+    return f"trim(trim(regexp_replace({given}, '{_SPACE}', ' ', 'g')), '\"\'\'“”‘’')"
+
+
 def _supported_sql(text: str, given: str) -> str:
     """The evidence in the text, or its pieces as one pattern."""
-    e = f"lower(trim(trim(regexp_replace({given}, '{_SPACE}', ' ', 'g')), '\"''“”‘’'))"
+    e = f"lower({_evidence_sql(given)})"
     pieces = f"list_filter(list_transform(regexp_split_to_array({e}, '(?:\\.\\.\\.|…)+'), lambda x: trim({_normal_sql('x')}, ' .')), lambda x: length(x) >= 4)"
     pattern = f"'(?s)' || array_to_string(list_transform({pieces}, lambda x: regexp_escape(x)), '.*')"
     return f"(coalesce({given}, '') <> '' and (contains({text}, {e}) or (len({pieces}) > 0 and regexp_matches({text}, {pattern}))))"
@@ -105,6 +111,28 @@ SQL["supported_tags"] = f"""
   from g join d using (anilist_character_id) where {_supported_sql("dd", "given")}"""
 
 
+def valid_tags(spark, sf_dir):
+    """Tags that are descriptors by rule-made tags, in their canonical form, and that their evidence, or else they themselves, support in a text
+    of their character: the first of each."""
+    tags = _tags(spark, sf_dir).where("tag is not null")
+    tokens = tags.select(F.explode(words("tag", APOSTROPHE_WORD)).alias("token")).select(F.lower("token").alias("token")).distinct()
+    pos = tokens.select("token", rule_tag(F.col("token"), F.lit(0)).alias("tag"))
+    lexicon = tokens.select("token", F.col("token").rlike("(ing|ed)$").alias("adjective"), F.col("token").rlike("(es|ded)$").alias("verb")).where("adjective or verb")
+    known = T.canonical_tags(tags, pos, lexicon).where("canonical is not null").withColumn("evidence", F.coalesce("evidence", "tag")).withColumn("tag", F.col("canonical"))
+    return T.validated_tags(known, _normal_documents(spark, sf_dir), ITEM)
+
+
+_TOKEN_OK = f"""({_RULE_TAG.format("w")} in ('NN', 'NNS', 'JJ') or ({_RULE_TAG.format("w")} = 'VBG' and regexp_matches(w, '(ing|ed)$'))) and not w like '%''s'"""
+SQL["valid_tags"] = f"""
+  with {_LT}, d as (select character_id anilist_character_id, doc_id, lower({_normal_sql("text")}) dd from documents where character_id is not null and text is not null),
+  k as (select *, list_transform(regexp_extract_all(tag, '[A-Za-z][A-Za-z''-]*'), lambda w: lower(w)) ws, coalesce(evidence, tag) given from lt where tag is not null),
+  c as (select *, array_to_string(ws, ' ') canonical from k where len(ws) between 1 and 4 and not regexp_matches(tag, '[0-9]') and len(list_filter(ws, lambda w: not ({_TOKEN_OK}))) = 0
+    and not (len(ws) >= 2 and (ws[1] like '%s' or ws[1] like '%ed') and regexp_matches(ws[1], '(es|ded)$'))),
+  v as (select *, {_evidence_sql("given")} e from c join d using (anilist_character_id) where {_supported_sql("dd", "given")})
+  select anilist_character_id, category, canonical tag, e evidence, case when lower(trim(coalesce(confidence, 'medium'))) in ('high', 'medium', 'low') then lower(trim(coalesce(confidence, 'medium'))) else 'medium' end confidence
+  from v qualify row_number() over (partition by anilist_character_id, category, canonical order by place, given, confidence) = 1"""
+
+
 def evidence_fragments(spark, sf_dir):
     """Whether pieces of each text between ellipses support it: in their order, in the other, with a piece that isn't in it, and quoted alone."""
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", normalize_source("text").alias("n"))
@@ -266,6 +294,6 @@ SQL["missing_requests"] = """
 
 QUERIES |= {
     "tag_counts": tag_counts, "tag_categories": tag_categories, "tag_membership": tag_membership, "clean_tags": clean_tags, "supported_tags": supported_tags, "merged_tags": merged_tags,
-    "merged_tag_counts": merged_tag_counts, "evidence_fragments": evidence_fragments, "category_union": category_union, "trait_groups": trait_groups, "trait_counts": trait_counts,
+    "merged_tag_counts": merged_tag_counts, "valid_tags": valid_tags, "evidence_fragments": evidence_fragments, "category_union": category_union, "trait_groups": trait_groups, "trait_counts": trait_counts,
     "tags_with_characters": tags_with_characters, "group_verdicts": group_verdicts, "tag_union": tag_union, "tag_taxonomy": tag_taxonomy, "pending_items": pending_items, "missing_requests": missing_requests,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from troupe.functions import text as T
-from troupe.functions.tagging import rule_tags
+from troupe.functions.tagging import rule_tag, rule_tags
 from troupe.operators import ngrams
 from troupe.plans import Query
 from troupe.runtime import materialize, table
@@ -217,8 +218,62 @@ SQL["descriptor_ngrams"] = f"""
   select term, count(distinct doc_id) docs, count(*) occurrences from f group by 1"""
 
 
+def _lexicon(spark, sf_dir):
+    """Senses of the features' last words and of whole features, as the stored features have them; nouns in the plural as lemmas."""
+    synsets = table(spark, sf_dir, "semantic_features").select(F.explode("features").alias("f")).select(F.lower("f.feature").alias("feature"), "f.lexname", "f.synset").where("lexname is not null and synset is not null")
+    clean = T.clean_feature("feature")
+    lemma = F.explode(F.array(clean, F.element_at(F.split(clean, " "), -1))).alias("lemma")
+    each = synsets.select(lemma, "lexname", "synset").where("lemma <> ''").distinct().withColumn("pos", F.when(F.col("lexname").startswith("adj."), "a").otherwise("n"))
+    rank = F.row_number().over(Window.partitionBy("lemma", "pos").orderBy("lexname", "synset"))
+    return each.withColumn("rank", rank).withColumn("head_lemma", F.split("synset", r"\.")[0])
+
+
+def semantic_features(spark, sf_dir):
+    """Features of all documents by rule-made tags and the senses of the stored features: documents by feature, kind and class."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    each = docs.select("doc_id", F.posexplode(T.sentences(T.normalize_description("text"))).alias("sentence_no", "sentence"))
+    tokens = F.transform(T.words("sentence"), lambda x, i: F.struct(i.alias("at"), x.alias("token"), rule_tag(x, F.lit(0)).alias("tag"), x.alias("word")))
+    rows = materialize(each.select("doc_id", "sentence_no", tokens.alias("tokens")), "sentences")
+    plural = rows.select(F.explode("tokens").alias("t")).where("t.tag = 'NNS'").select(F.col("t.word").alias("token"), F.lit("n").alias("pos")).distinct()
+    lemmas = plural.withColumn("lemma", F.regexp_replace("token", "s$", ""))
+    found = ngrams.semantic_features(rows, _lexicon(spark, sf_dir), lemmas)
+    return found.groupBy("feature", "kind", "lexname", F.coalesce("synset", F.lit("")).alias("synset")).agg(F.count("*").alias("docs"))
+
+
+_RULE_TAG = """case when {0} in ('the', 'a', 'an', 'this', 'that', 'every') then 'DT' when {0} in ('of', 'in', 'on', 'at', 'by', 'with', 'for', 'to', 'from', 'near') then 'IN' when {0} in ('he', 'she', 'they', 'it', 'him', 'her', 'them') then 'PRP'
+    when {0} like '%ing' then 'VBG' when {0} like '%ed' then 'VBD' when regexp_matches({0}, '(ous|ful|less|ive|able|ible|al|ic|ish|ern|ary)$') then 'JJ' when {0} like '%ly' then 'RB' when regexp_matches({0}, '[^s]s$') then 'NNS' else 'NN' end"""
+_CLEAN = r"trim(regexp_replace(regexp_replace(lower(replace(replace({0}, '-like', ''), '-', ' ')), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+SQL["semantic_features"] = rf"""
+  with f as (select lower(x.feature) feature, x.lexname lexname, x.synset synset from (select unnest(features) x from semantic_features) where x.lexname is not null and x.synset is not null and x.feature is not null),
+  l0 as (select distinct unnest([c, string_split(c, ' ')[-1]]) lemma, lexname, synset from (select {_CLEAN.format("feature")} c, lexname, synset from f)),
+  l1 as (select *, case when lexname like 'adj.%' then 'a' else 'n' end pos from l0 where lemma <> ''),
+  sn as (select *, row_number() over (partition by lemma, pos order by lexname, synset) rank, string_split(synset, '.')[1] head_lemma from l1),
+  n as (select doc_id, lower({_F1}) norm from documents where text is not null),
+  s as (select doc_id, unnest(p) sentence, generate_subscripts(p, 1) - 1 sentence_no from (select doc_id, string_split(regexp_replace(norm, '([.!?;])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) p from n)),
+  w as (select doc_id, sentence_no, unnest(ws) word, generate_subscripts(ws, 1) - 1 at_ from (select doc_id, sentence_no, regexp_extract_all(sentence, '[A-Za-z][A-Za-z0-9]*') ws from s)),
+  t as (select *, {_RULE_TAG.format("word")} tag from w), c as (select *, len(word) >= 2 and word not in {_in(T.STOPWORDS | T.RESIDUES)} and tag in ('JJ', 'VBG', 'NN', 'NNS') ok, case when tag = 'NNS' then regexp_replace(word, 's$', '') else word end lemma from t),
+  o as (select a.doc_id, a.sentence_no, a.at_ first, b.at_ last, b.tag, b.lemma, b.word, b.ok from c a join c b on a.doc_id = b.doc_id and a.sentence_no = b.sentence_no and b.at_ between a.at_ and a.at_ + 4 where a.ok),
+  sp as (select *, last - first + 1 size, string_agg(lemma, ' ') over p phrase, coalesce(string_agg(lemma, ' ') over q, '') modifiers, bool_and(ok) over p fine, coalesce(bool_or(tag in ('JJ', 'VBG')) over q, false) modified from o
+    window p as (partition by doc_id, sentence_no, first order by last rows unbounded preceding), q as (partition by doc_id, sentence_no, first order by last rows between unbounded preceding and 1 preceding)),
+  v as (select * from sp where fine and case when size = 1 then tag in ('JJ', 'VBG') else tag in ('NN', 'NNS') end),
+  ex as (select lemma, pos, arg_min(lexname, rank) xl, arg_min(synset, rank) xs from sn where lexname not in {_in(ngrams.NO_FEATURE)} group by 1, 2),
+  ow as (select lemma, lexname ol, synset os, head_lemma oh from sn where pos = 'n' and rank = 1 and lexname not in {_in(ngrams.NO_FEATURE)}),
+  aj as (select lemma, count(*) filter (where lexname like 'adj.%') adj, count(*) any_ from sn group by 1),
+  j as (select v.*, xl, xs, ol, os, oh, coalesce(adj, 0) adj, any_ from v left join ex on ex.lemma = phrase and ex.pos = case when size = 1 then 'a' else 'n' end left join ow on ow.lemma = v.lemma left join aj on aj.lemma = phrase),
+  r as (select doc_id, sentence_no, first, size, 0 seq, phrase feature, 'surface_wordnet_phrase' kind, xl lexname, xs synset from j where xl is not null and xl not like 'verb.%'
+    union all select doc_id, sentence_no, first, size, 2, phrase, 'surface_modifier', 'adj_or_unknown', '' from j where size = 1 and tag in ('JJ', 'VBG') and (adj > 0 or any_ is null)
+    union all select doc_id, sentence_no, first, size, 3, phrase, 'surface_role_phrase', ol, os from j where size > 1 and ol in {_in(ngrams.ROLE)}
+    union all select doc_id, sentence_no, first, size, 4, replace(oh, '_', ' '), 'wordnet_role_head', ol, os from j where size > 1 and ol in {_in(ngrams.ROLE)}
+    union all select doc_id, sentence_no, first, size, 5, modifiers, 'attribute_modifier', ol, os from j where size > 1 and ol in {_in(ngrams.ATTRIBUTE)} and modified
+    union all select doc_id, sentence_no, first, size, 6, phrase, 'surface_attribute_phrase', ol, os from j where size > 1 and ol in {_in(ngrams.ATTRIBUTE)} and not modified
+    union all select doc_id, sentence_no, first, size, 7, phrase, 'surface_event_phrase', ol, os from j where size > 1 and ol in {_in(ngrams.EVENT)}),
+  z as (select doc_id, {_CLEAN.format("feature")} feature, kind, lexname, synset, sentence_no, first, size, seq from r),
+  b as (select * from z where length(feature) >= 3 and feature not in {_in(T.STOPWORDS)} qualify row_number() over (partition by doc_id, feature order by sentence_no, first, size, seq) = 1)
+  select feature, kind, lexname, coalesce(synset, '') synset, count(*) docs from b group by 1, 2, 3, 4"""
+
+
 QUERIES |= {
     "normalized_descriptions": normalized_descriptions, "source_texts": source_texts, "ngram_counts": ngram_counts, "tfidf_words": tfidf_words, "tfidf_ngrams": tfidf_ngrams,
     "vocabulary_drift": vocabulary_drift, "feature_channels": feature_channels, "feature_kinds": feature_kinds, "clean_features": clean_features,
-    "suppressed_adjectives": suppressed_adjectives, "descriptor_ngrams": descriptor_ngrams,
+    "semantic_features": semantic_features, "suppressed_adjectives": suppressed_adjectives, "descriptor_ngrams": descriptor_ngrams,
 }
