@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from troupe.llm import clusters, frequencies, languages, linkage, packing, set_join, tokens, top_n, vectors
-from troupe.runtime import table
+from troupe.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,7 +39,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = set_join.linked_records(*p4_pairs(spark, sf_dir))
-    return found.select(F.col("id").alias("character_id"), F.col("key").alias("class_id"), "links")
+    return found.select(F.col("id").alias("character_id"), "class_id", "links")
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,14 @@ _PAIRS_SQL = f"""
   select character_id_a, character_id_b from p join n x on x.id = character_id_a join n y on y.id = character_id_b
   where shared >= 0.6 * (x.n + y.n - shared) - 1e-9"""
 
+_LINKS_SQL = f"""
+  with s as (select distinct id, term from ({_TAG_TERMS}) where term is not null), n as (select id, count(*) n, list(term order by term) terms from s group by 1),
+  c as (select id, min(id) over (partition by terms) class_id from n), p as ({_PAIRS_SQL}),
+  l as (select id, count(*) links from (select character_id_a id from p union all select character_id_b from p) group by 1)
+  select id character_id, class_id, coalesce(links, 0) links from c left join l using (id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p4_links": _LINKS_SQL,
     "p3_found": f"select seiyuu_id, topic, character_id from ({_TOP_SQL})",
     "p3_top": _TOP_SQL,
     "p4_found": _PAIRS_SQL,
@@ -169,14 +176,23 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("bin").alias("window_name"), "container_id", F.col("id").alias("doc_id"), "part", F.col("start").alias("start_token"), F.col("size").alias("tokens"))
 
 
-def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = tokens.token_counts(table(spark, sf_dir, "documents"))
-    windows = table(spark, sf_dir, "context_windows")
-    packed = packing.fill_containers(sizes, "doc_id", "tokens", windows, "window_name", "capacity_tokens")
-    return packing.fill_report(packed, windows, "window_name", "capacity_tokens").withColumnRenamed("bin", "window_name")
+def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of container: documents, their parts that were split although they fit, documents of which a part is missing or twice, and
+    containers that hold more than their capacity."""
+    sizes = materialize(tokens.token_counts(table(spark, sf_dir, "documents")), "token-counts")
+    windows = table(spark, sf_dir, "context_windows").select(F.col("window_name").alias("bin"), F.col("capacity_tokens").alias("capacity"))
+    packed = materialize(packing.fill_containers(sizes, "doc_id", "tokens", table(spark, sf_dir, "context_windows"), "window_name", "capacity_tokens"), "packed")
+    whole = packed.groupBy("bin", F.col("id").alias("doc_id")).agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("end"))
+    each = whole.join(sizes, "doc_id").join(windows, "bin")
+    wrong = (F.col("size") != F.col("tokens")) | (F.col("end") != F.col("tokens"))
+    documents = each.groupBy("bin").agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split"), F.count_if(wrong).alias("wrong"))
+    full = packed.groupBy("bin", "container_id").agg(F.sum("size").alias("used")).join(windows, "bin").groupBy("bin").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    return documents.join(full, "bin").withColumnRenamed("bin", "window_name")
+
 
+ORACLE_SQL["p8_rules"] = "select window_name, count(*) documents, 0::bigint split, 0::bigint wrong, 0::bigint overfull from context_windows, documents group by 1"
 
-QUERIES |= {"p8_containers": p8_containers, "p8_report": p8_report}
+QUERIES |= {"p8_containers": p8_containers, "p8_rules": p8_rules}
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:

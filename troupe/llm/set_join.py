@@ -138,9 +138,10 @@ def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def linked_records(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, key, links): one row per record with its class and its number of similar records, copies included."""
-    size = members.groupBy("key").agg(F.count("*").alias("size"))
+    """(id, key, class_id, links): one row per record with its class, called by its smallest record, and its number of similar records, copies
+    included."""
+    size = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("class_id"))
     both = pairs.select("key_a", "key_b").unionByName(pairs.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
-    others = both.join(size.withColumnRenamed("key", "key_b"), "key_b").groupBy(F.col("key_a").alias("key")).agg(F.sum("size").alias("others"))
-    links = size.join(others, "key", "left").select("key", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    return members.join(links, "key").select("id", "key", "links")
+    others = both.join(size.select(F.col("key").alias("key_b"), "size"), "key_b").groupBy(F.col("key_a").alias("key")).agg(F.sum("size").alias("others"))
+    links = size.join(others, "key", "left").select("key", "class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(links, "key").select("id", "key", "class_id", "links")
