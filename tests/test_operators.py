@@ -232,7 +232,7 @@ def test_canonical_tags(spark):
 def test_validated_tags(spark):
     rows = spark.createDataFrame([(1, "role", 0, "a", '"Alpha"', "HIGH"), (1, "role", 1, "a", "beta", "low"), (1, "role", 2, "b", "gone", None), (2, "role", 0, "c", "alpha", "odd")], "item int, category string, place int, tag string, evidence string, confidence string")
     texts = spark.createDataFrame([(1, "alpha beta"), (2, "alpha")], "item int, text string")
-    assert sorted(map(tuple, tags.validated_tags(rows, texts, "item").collect())) == [(1, "role", "a", "Alpha", "high"), (2, "role", "c", "alpha", "medium")]
+    assert sorted(map(tuple, tags.validated_tags(rows, texts.select("item", F.lower(T.normalize_source("text")).alias("normal")), "item").collect())) == [(1, "role", "a", "Alpha", "high"), (2, "role", "c", "alpha", "medium")]
 
 
 def test_orphan_parents_are_dropped(spark):
@@ -476,3 +476,48 @@ def test_pivot_queries_have_no_rank_limit(spark):
     assert basis.count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
     assert all(r["rank"] == sizes[r["label"]] or r["left"] <= 1e-6 for r in last)
     assert near.groupBy("label").agg(F.count_distinct("pivot_key").alias("n")).agg(F.max("n")).head()[0] > 12
+
+
+def test_pages_of_a_folder_with_bad_bytes(spark, tmp_path):
+    import gzip
+
+    good = '<html><table><tr><th class="field">Role</th><td class="value"><a href="/tag/7"><span class="tagname">captain</span></a></td></tr></table>'
+    (tmp_path / "1.gz").write_bytes(gzip.compress(good.encode()))
+    (tmp_path / "2.gz").write_bytes(gzip.compress(b"\xff\xfe" + good.replace("captain", "caf\xe9").encode("latin-1")))
+    found = readers.tags_of_pages(readers.read_pages(spark, str(tmp_path)), "path", "content").orderBy("path").collect()
+    assert [(r.category, r.tag_id, r.name) for r in found] == [("role", 7, "captain"), ("role", 7, "caf�")]
+
+
+def test_stored_vectors_are_of_the_wanted_texts(spark):
+    have = spark.createDataFrame([(0, "a", "m"), (1, "b", "m")], "place int, text string, model string")
+    assert readers.same_vocabulary(have, have, "m") and not readers.same_vocabulary(have, have, "other")
+    assert not readers.same_vocabulary(have, have.where("place = 0")) and not readers.same_vocabulary(have, spark.createDataFrame([(0, "b"), (1, "a")], "place int, text string"))
+
+
+def test_tables_are_built_only_where_one_is_missing(spark, tmp_path):
+    import shutil
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return {"x": spark.range(2), "y": spark.range(3)}
+
+    for built in (False, True):
+        tables, there = readers.cached_tables(spark, str(tmp_path), build, ["x", "y"])
+        assert there is built and tables["y"].count() == 3
+    shutil.rmtree(tmp_path / "x.parquet")
+    assert not readers.cached_tables(spark, str(tmp_path), build, ["x", "y"])[1] and len(calls) == 2
+
+
+def test_set_distances_with_empty_sets(spark):
+    data = [(1, 1, [1.0], [[1.0, 0.0]]), (1, 2, [], []), (1, 3, [0.5, 0.5], [[1.0, 0.0], [0.0, 1.0]]), (1, 4, [], [])]
+    df = spark.createDataFrame(data, "g int, item bigint, weights array<double>, vectors array<array<double>>")
+    got = {(r.item_a, r.item_b): round(r.distance, 6) for r in vectors.set_distances(df, "item", "g").collect()}
+    assert got == {(1, 2): 1.0, (1, 3): 0.25, (1, 4): 1.0, (2, 3): 1.0, (2, 4): 0.0, (3, 4): 1.0}
+
+
+def test_order_over_all_partitions(spark):
+    df = spark.createDataFrame([(k % 7, k) for k in range(200)], "a int, b int").repartition(6)
+    got = facts.in_order(df, F.desc("a"), F.asc("b")).orderBy("place").collect()
+    assert [(r.a, r.b) for r in got] == sorted(((k % 7, k) for k in range(200)), key=lambda x: (-x[0], x[1])) and [r.place for r in got] == list(range(1, 201))
