@@ -539,14 +539,16 @@ def similarity_clusters(df: DataFrame, identifier: str, terms: str, threshold: f
     labels = met.groupBy("entry").agg(F.min("label").alias("label"))
     medoids = entries.select("entry", "tokens").join(labels, "entry", "left").select(F.col("entry").alias("key"), F.coalesce("label", "entry").alias("cluster"), "tokens")
 
-    # 4. every distinct set to the cluster of the medoid most similar to it; one that shares no term with another is its own medoid
+    # 4. every distinct set to the cluster of the medoid most similar to it; a medoid is the most similar one to itself
     every = F.explode(F.sequence(F.lit(0), salts - 1))
     homes = medoids.join(points.select("key", F.explode("rare").alias("x")), "key").select(F.lit(True).alias("home"), "key", "cluster", "tokens", F.col("x.token").alias("token"), every.alias("salt"))
-    asking = points.select("key", "tokens", F.explode("rare").alias("x")).select(F.lit(False).alias("home"), "key", F.lit(0).cast("bigint").alias("cluster"), "tokens", F.col("x.token").alias("token"), F.pmod(F.xxhash64("key", F.lit(3)), salts).cast("int").alias("salt"))
-    meet = homes.unionByName(asking).select(F.xxhash64("token", "salt").alias("group"), "home", "key", "cluster", "tokens")
+    rest = points.join(entries.select(F.col("entry").alias("key")), "key", "left_anti").select("key", "tokens", F.explode("rare").alias("x"))
+    homes = homes.join(rest.select(F.col("x.token").alias("token")).distinct(), "token", "left_semi")
+    asking = rest.select(F.lit(False).alias("home"), "key", F.lit(0).cast("bigint").alias("cluster"), "tokens", F.col("x.token").alias("token"), F.pmod(F.xxhash64("key", F.lit(3)), salts).cast("int").alias("salt"))
+    meet = homes.select(*asking.columns).unionByName(asking).select(F.xxhash64("token", "salt").alias("group"), "home", "key", "cluster", "tokens")
     near = meet.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_assign(threshold), "key bigint, cluster bigint, share double")
-    placed = near.groupBy("key").agg(F.max_by("cluster", F.struct("share", -F.col("cluster"))).alias("cluster"))
-    sized = points.select("key", "copies", "tokens").join(placed, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
+    placed = near.groupBy("key").agg(F.max_by("cluster", F.struct("share", -F.col("cluster"))).alias("cluster")).unionByName(medoids.select("key", "cluster"))
+    sized = points.select("key", "copies", "tokens").join(placed, "key")
     counts = sized.groupBy("cluster").agg(F.sum("copies").alias("size"), F.count("*").alias("distinct"))
     member = materialize(sized.join(counts.where(F.col("size") >= least), "cluster"), "cluster-members")
 
