@@ -9,9 +9,9 @@ labels are partly wrong; sentences are therefore labelled again by the first mod
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from troupe.runtime import materialize, spread
 
 #: Documents to fit on, chosen by a hash of their id; rounds of labelling again; documents that a known word needs.
 SAMPLE, ROUNDS, KNOWN, NGRAM, SMOOTH = 10_000, 2, 4, 4, 0.05
+#: Unknown words that a worker remembers.
+MET = 200_000
 #: Most log-frequency difference that one known word, and one unknown word, can make.
 WORD_LIMIT, PIECE_LIMIT = 6.0, 1.5
 #: A sentence has at least so many words, or characters where words aren't spaced; a language at least this confidence.
@@ -40,6 +42,7 @@ _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}--[\n\t]]", regex.V1)
 _SENTENCE = regex.compile(r"[^\n.!?。！？]*(?:[.!?](?![\s\"'»”’)\]」』~_*—-]|$)[^\n.!?。！？]*)*(?:[.!?]+(?=[\s\"'»”’)\]」』~_*—-]|$)|[。！？]+)", regex.M)
 _TOKEN = regex.compile(r"[\p{Han}々〆]+|\p{Hiragana}+|[\p{Katakana}ー]+|\p{Hangul}+|[\p{L}\p{M}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]]+", regex.V1)
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_LETTERS, _OTHER = re.compile(r"[^\W\d_]+"), re.compile("[\u0250-\u1fff\u2100-\U0010ffff]")
 _HAN = regex.compile(r"[\p{Han}々〆]+")
 
 
@@ -55,9 +58,10 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     names and the like have no such mark; a line end ends what is before it."""
     found = []
     for m in _SENTENCE.finditer(masked(text)):
-        part = _HIDDEN.sub("", m[0])
-        part = part if part.isascii() else unicodedata.normalize("NFKC", part)
-        words = _TOKEN.findall(part.lower())
+        part = m[0] if m[0].isprintable() else _HIDDEN.sub("", m[0])
+        part = (part if part.isascii() else unicodedata.normalize("NFKC", part)).lower()
+        # without marks and scripts of their own kinds of words, a word is a run of letters
+        words = _TOKEN.findall(part) if _OTHER.search(part) else _LETTERS.findall(part)
         if len(words) >= WORDS or len(_UNSPACED.findall(part)) >= CHARACTERS:
             found.append((m.start(), m.end(), words))
     return found
@@ -68,6 +72,21 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], pieces: dict[str, np.ndarray]):
         self.langs, self.words, self.pieces = langs, words, pieces
+        self._keep_known()
+
+    def _keep_known(self) -> None:
+        """The evidence of each word by its row in one matrix: that of known words, to which unknown ones are added as they are met."""
+        self._place = {w: k for k, w in enumerate(self.words)}
+        self._rows = np.zeros((len(self.words) + 1024, len(self.langs)), np.float32)
+        if self.words:
+            self._rows[: len(self.words)] = np.stack(list(self.words.values()))
+
+    def _add(self, word: str) -> int:
+        k = self._place[word] = len(self._place)
+        if k >= len(self._rows):
+            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+        self._rows[k] = self.unknown(word)
+        return k
 
     @classmethod
     def of_counts(cls, langs: list[str], words: tuple[list[str], np.ndarray], pieces: tuple[list[str], np.ndarray], by_length: np.ndarray) -> Model:
@@ -81,7 +100,6 @@ class Model:
         each = (each - each.max(axis=1, keepdims=True, initial=-np.inf)).astype(np.float32)
         return cls(langs, dict(zip(known, scores)), dict(zip(grams, each)))
 
-    @lru_cache(maxsize=100_000)  # noqa: B019
     def unknown(self, word: str) -> np.ndarray:
         """Evidence of a word that isn't known: the mean of its known n-grams of the greatest length that has any."""
         padded = f" {word} "
@@ -95,15 +113,15 @@ class Model:
 
     def evidence(self, lists: list[list[str]]) -> np.ndarray:
         """Summed evidence of each list of words."""
-        sizes = [len(x) for x in lists]
         out = np.zeros((len(lists), len(self.langs)), np.float32)
-        if not sum(sizes):
-            return out
-        known, unknown = self.words, self.unknown
-        rows = np.stack([s if (s := known.get(w)) is not None else unknown(w) for words in lists for w in words])
-        filled = np.flatnonzero(sizes)
-        starts = np.cumsum([0, *np.array(sizes)[filled[:-1]]])
-        out[filled] = np.add.reduceat(rows, starts, axis=0)
+        if len(self._place) > len(self.words) + MET:
+            self._keep_known()
+        place, add = self._place, self._add
+        rows = np.array([k if (k := place.get(w)) is not None else add(w) for words in lists for w in words], np.int64)
+        if len(rows):
+            sizes = np.array([len(x) for x in lists])
+            filled = np.flatnonzero(sizes)
+            out[filled] = np.add.reduceat(self._rows[rows], np.cumsum(sizes[filled]) - sizes[filled], axis=0)
         return out
 
     def confidence(self, evidence: np.ndarray) -> np.ndarray:
@@ -114,6 +132,9 @@ class Model:
     def __getstate__(self):
         return {"langs": self.langs, "words": self.words, "pieces": self.pieces}
 
+    def __setstate__(self, state):
+        self.__init__(**state)
+
 
 def _pieces(word: str) -> Iterator[str]:
     padded = f" {word} "
