@@ -549,3 +549,15 @@ def test_connected_components(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40) if i != 20] + [("x", "x"), (None, "y")]
     got = {r.node: r.component for r in graphs.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"n{i:03}"] for i in range(21)} == {"n000"} and {got[f"n{i:03}"] for i in range(21, 41)} == {"n021"} and got["x"] == "x"
+
+
+def test_likely_pairs_hold_all_similar_ones():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(-(2**62), 2**62, 30)[rng.integers(0, 30, rng.integers(1, 12))] if k % 9 == 0 else np.arange(k % 40, k % 40 + rng.integers(1, 12)) * (1 << 20)).tolist() for k in range(300)]
+    s = sets.Sets(pa.array(lists, pa.list_(pa.int64())))
+    for spans in (np.array([[0, 300]]), np.array([[0, 20], [20, 200], [200, 300]])):
+        want = {(i, j) for at, end in spans.tolist() for i, j in itertools.combinations(range(at, end), 2) if len(set(lists[i]) & set(lists[j])) >= 0.5 * len(set(lists[i]) | set(lists[j]))}
+        got = [p for i, j in sets.likely_within(s, spans, 0.5) for p in zip(i.tolist(), j.tolist())]
+        assert want <= set(got) and len(set(got)) == len(got)

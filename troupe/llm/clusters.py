@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from troupe.llm.graphs import connected_components
-from troupe.llm.sets import Sets, blocked, classes, grouped, pairs_within, similar, term_sets
+from troupe.llm.sets import Sets, blocked, classes, grouped, likely, likely_within, pairs_within, similar, term_sets
 from troupe.runtime import materialize, width
 
 #: Places of a set's vector, children of a node, entries of a tree, rounds of reducing, rows of a block, typical members.
@@ -342,7 +342,7 @@ def _agglomerate(threshold: float, salted: bool):
 def _small_groups(table: pa.Table, sets: Sets, maps: np.ndarray, spans: np.ndarray, threshold: float) -> list[list[int]]:
     """Clusters of more than one entry in groups that are compared pair by pair."""
     found_i, found_j = [], []
-    for i, j in pairs_within(spans):
+    for i, j in likely_within(sets, spans, threshold):
         i, j, _ = similar(sets, maps, i, j, threshold)
         found_i.append(i)
         found_j.append(j)
@@ -401,11 +401,12 @@ def _assign(threshold: float):
             sets = Sets(table.column("tokens"))
             maps, keys, cluster = sets.bitmaps(), table.column("key").to_numpy(), table.column("cluster").to_numpy()
             home = table.column("home").to_numpy(zero_copy_only=False)
+            held = sets.buckets()
             left, right = [np.empty(0, int)], [np.empty(0, int)]
             for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                medoids, records = at + np.flatnonzero(home[at:end]), at + np.flatnonzero(~home[at:end])
-                left.append(np.repeat(records, len(medoids)))
-                right.append(np.tile(medoids, len(records)))
+                for i, j in likely(sets, held, at + np.flatnonzero(~home[at:end]), at + np.flatnonzero(home[at:end]), threshold):
+                    left.append(i)
+                    right.append(j)
             left, right = np.concatenate(left), np.concatenate(right)
             for top in range(0, len(left), 1_000_000):
                 i, j, share = similar(sets, maps, left[top : top + 1_000_000], right[top : top + 1_000_000], threshold)
@@ -510,11 +511,11 @@ def similarity_clusters(df: DataFrame, identifier: str, terms: str, threshold: f
     distinct = classes(sets).select("key", "copies", "tokens")
     each = distinct.select("key", F.explode("tokens").alias("token"))
     ranked = each.join(each.groupBy("token").count(), "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("found"))
-    rarer = F.slice("found", F.lit(1), F.size("found") - F.ceil(F.lit(threshold) * F.size("found") - 1e-9).cast("int") + 1)
-    points = materialize(distinct.join(ranked.select("key", F.filter(rarer, lambda x: x["count"] > 1).alias("rare")), "key"), "cluster-points")
+    radius = (1 - threshold) / 2
+    some = lambda share: F.filter(F.slice("found", F.lit(1), F.size("found") - F.ceil(F.lit(share) * F.size("found") - 1e-9).cast("int") + 1), lambda x: x["count"] > 1)
+    points = materialize(distinct.join(ranked.select("key", some(threshold).alias("rare"), some(1 - radius).alias("rarest")), "key"), "cluster-points")
 
     # 1. trees, and 2. their reduction
-    radius = (1 - threshold) / 2
     grown = points.select("key", F.col("copies").alias("weight"), "tokens").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_grow(radius), _ENTRY)
     for k in range(ROUNDS):
         grown = materialize(grown, f"cluster-leaves-{k}")
@@ -539,14 +540,15 @@ def similarity_clusters(df: DataFrame, identifier: str, terms: str, threshold: f
     labels = met.groupBy("entry").agg(F.min("label").alias("label"))
     medoids = entries.select("entry", "tokens").join(labels, "entry", "left").select(F.col("entry").alias("key"), F.coalesce("label", "entry").alias("cluster"), "tokens")
 
-    # 4. every distinct set to the cluster of the medoid most similar to it; a medoid is the most similar one to itself
+    # 4. every distinct set to the cluster of the medoid most similar to it; a medoid is the most similar one to itself, and any other set is within
+    # the radius of one, so that it shares one of its rarest terms with the most similar
     every = F.explode(F.sequence(F.lit(0), salts - 1))
-    homes = medoids.join(points.select("key", F.explode("rare").alias("x")), "key").select(F.lit(True).alias("home"), "key", "cluster", "tokens", F.col("x.token").alias("token"), every.alias("salt"))
-    rest = points.join(entries.select(F.col("entry").alias("key")), "key", "left_anti").select("key", "tokens", F.explode("rare").alias("x"))
+    homes = medoids.join(points.select("key", F.explode("rarest").alias("x")), "key").select(F.lit(True).alias("home"), "key", "cluster", "tokens", F.col("x.token").alias("token"), every.alias("salt"))
+    rest = points.join(entries.select(F.col("entry").alias("key")), "key", "left_anti").select("key", "tokens", F.explode("rarest").alias("x"))
     homes = homes.join(rest.select(F.col("x.token").alias("token")).distinct(), "token", "left_semi")
     asking = rest.select(F.lit(False).alias("home"), "key", F.lit(0).cast("bigint").alias("cluster"), "tokens", F.col("x.token").alias("token"), F.pmod(F.xxhash64("key", F.lit(3)), salts).cast("int").alias("salt"))
     meet = homes.select(*asking.columns).unionByName(asking).select(F.xxhash64("token", "salt").alias("group"), "home", "key", "cluster", "tokens")
-    near = meet.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_assign(threshold), "key bigint, cluster bigint, share double")
+    near = meet.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_assign(1 - radius), "key bigint, cluster bigint, share double")
     placed = near.groupBy("key").agg(F.max_by("cluster", F.struct("share", -F.col("cluster"))).alias("cluster")).unionByName(medoids.select("key", "cluster"))
     sized = points.select("key", "copies", "tokens").join(placed, "key")
     counts = sized.groupBy("cluster").agg(F.sum("copies").alias("size"), F.count("*").alias("distinct"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from troupe.llm.sets import Sets, blocked, classes, grouped, pairs_within, similar, term_sets
+from troupe.llm.sets import Sets, blocked, classes, grouped, likely_within, similar, term_sets
 from troupe.runtime import materialize, spread, width
 
 #: Rows of a node that is compared, levels of branching, rows of a block at the last level, and the recall of the worst pair.
@@ -72,7 +72,7 @@ def _compare(threshold: float):
         for table, bounds in grouped(batches):
             sets = Sets(table.column("tokens"))
             maps, keys = sets.bitmaps(), table.column("key").to_numpy()
-            for i, j in pairs_within(bounds):
+            for i, j in likely_within(sets, np.stack([bounds[:-1], bounds[1:]], axis=1), threshold):
                 i, j, share = similar(sets, maps, i, j, threshold)
                 a, b = keys[i], keys[j]
                 differ = a != b

@@ -17,6 +17,10 @@ from troupe.llm.terms import canonical_lists
 from troupe.runtime import spread
 
 WORDS = 4
+#: Buckets of terms, and sets of a group whose pairs are first compared by these.
+BUCKETS, DENSE = 256, 32
+#: Terms of a set up to which sets are compared term by term.
+SHORT = 24
 
 
 def _canonical_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +74,41 @@ class Sets:
                 maps[:, w] = np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), self.starts)
         return maps
 
+    def buckets(self) -> np.ndarray:
+        """How many terms of every set fall into each of BUCKETS: the product of two rows is at least the number of terms in common."""
+        held = np.zeros((len(self.sizes), BUCKETS), np.float32)
+        if len(self.flat):
+            # sets follow one another in the flat array
+            raw = self.flat[self.starts[0] :].view(np.uint64)
+            np.add.at(held, (np.repeat(np.arange(len(self.sizes)), self.sizes), ((raw >> np.uint64(17)) % np.uint64(BUCKETS)).astype(np.int64)), 1)
+        return held
+
+    def _rows(self, at: np.ndarray, width: int, fill: int) -> np.ndarray:
+        """The terms of some sets of at most `width` as rows, filled up with `fill`."""
+        place = np.arange(width)
+        inside = place < self.sizes[at][:, None]
+        rows = self.flat[np.where(inside, self.starts[at][:, None] + place, 0)]
+        return np.where(inside, rows, fill)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The number of terms in common of every pair, exactly: of short sets term by term for many pairs at once, of long ones as sets."""
+        a, b = self.sizes[i], self.sizes[j]
+        shared = np.zeros(len(i), np.int64)
+        short = np.flatnonzero((a <= SHORT) & (b <= SHORT))
+        for top in range(0, len(short), 8192):
+            part = short[top : top + 8192]
+            # no term is the least or the second least number
+            left = np.ascontiguousarray(self._rows(i[part], int(a[part].max()), -(2**63)).T)
+            right = np.ascontiguousarray(self._rows(j[part], int(b[part].max()), -(2**63) + 1).T)
+            found = np.zeros(len(part), np.uint8)
+            for own in left:
+                for other in right:
+                    found += own == other
+            shared[part] = found
+        for k in np.flatnonzero((a > SHORT) | (b > SHORT)).tolist():
+            shared[k] = len(self.members(int(i[k])) & self.members(int(j[k])))
+        return shared
+
     def members(self, i: int) -> frozenset:
         found = self._made.get(i)
         if found is None:
@@ -90,11 +129,33 @@ def similar(sets: Sets, maps: np.ndarray, i: np.ndarray, j: np.ndarray, threshol
     )
     keep = most >= need
     i, j, a, b, need = i[keep], j[keep], a[keep], b[keep], need[keep]
-    shared = np.fromiter((len(sets.members(x) & sets.members(y)) for x, y in zip(i.tolist(), j.tolist())), dtype=np.int64, count=len(i))
+    shared = sets.common(i, j)
     keep = shared >= need
     return i[keep], j[keep], shared[keep] / (a + b - shared)[keep]
 
 
+def likely(sets: Sets, held: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, above: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of all pairs of the sets at `left` and `right`, those that may share `threshold` of their union, in portions; all that do are among them.
+    With `above`, left and right are the same, and each pair comes once. `held` are the buckets of all sets."""
+    share = np.float32(threshold / (1 + threshold))
+    size, other, column = sets.sizes[left].astype(np.float32), sets.sizes[right].astype(np.float32), held[right].T
+    for top in range(0, len(left), 512):
+        may = held[left[top : top + 512]] @ column >= share * (size[top : top + 512, None] + other) - 1e-3
+        i, j = np.nonzero(np.triu(may, top + 1) if above else may)
+        yield left[i + top], right[j]
+
+
+def likely_within(sets: Sets, spans: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within each span (start, end) of neighbouring sets that may be similar; those of short spans are all taken."""
+    sizes = spans[:, 1] - spans[:, 0]
+    yield from pairs_within(spans[sizes < DENSE])
+    if (sizes >= DENSE).any():
+        held = sets.buckets()
+        for at, end in spans[sizes >= DENSE].tolist():
+            rows = np.arange(at, end)
+            yield from likely(sets, held, rows, rows, threshold, True)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups from batches sorted by column `key`, with the bounds of their groups."""
     held: list[pa.RecordBatch] = []
