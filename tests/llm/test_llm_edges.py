@@ -500,8 +500,9 @@ def test_linkage(spark):
     assert linkage.link_entities(a.where("false"), b, *args).count() == 0 and linkage.link_entities(a, b.where("false"), *args).count() == 0
 
 
-def test_links_of_a_frequent_full_name(spark, monkeypatch):
-    monkeypatch.setattr(linkage, "RARE", 2)
+@pytest.mark.parametrize("meeting", [250_000, 1])
+def test_links_of_a_frequent_full_name(spark, monkeypatch, meeting):
+    monkeypatch.setattr(linkage, "MEETING", meeting)
     left, right = [], []
     for k in range(4):  # namesakes in works of other titles
         left.append((k, "Aki Mori", None, "female", f"Left {k}"))

@@ -3,9 +3,9 @@
 1. Works. Titles that stand for the same work, by alternative titles of one record or by one work id, are joined into
    components of the title graph.
 2. Candidate graph. Two entities are linked by the rare attributes they share: a word of the name (or its beginning)
-   within the same work, the native name with such a word or the work, a full name that few have. Those of a full name
-   that many have meet where one is without a work and genders agree, and, once propagation has matched entities of
-   two works, within these. An edge weighs the sum of its attributes' rarity.
+   or the full name within the same work, the native name with such a word or the work. By a full name alone they meet
+   where one is without a work and genders agree, and, once propagation has matched entities of two works, within
+   these. An edge weighs the sum of its attributes' rarity.
 3. Meta-blocking. An edge far lighter than the heaviest at both of its ends is dropped.
 4. Similarity. Names, native names and genders give each edge its own evidence.
 5. Propagation. Works are neighbours of the entities in them: how many of two works' entities are matched says how
@@ -26,7 +26,7 @@ from troupe.llm.names import field, is_kanji, name_similarity, name_tokens, nati
 from troupe.runtime import materialize, spread
 
 #: Evidence in units of log odds.
-BIAS, PRUNE, RARE = -3.5, 0.25, 64
+BIAS, PRUNE = -3.5, 0.25
 WORK, WORK_SUPPORT, NO_WORK, OTHER_WORK = 2.2, 1.5, -0.5, -4.0
 NATIVE_SAME, NATIVE_OTHER, GENDER_SAME, GENDER_OTHER = 4.5, -6.0, 0.7, -4.0
 #: Pairs of one key that a task makes.
@@ -64,7 +64,8 @@ def _entity_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own:
                 found |= {f"n{own}|{p}" for p in parts} | {f"n{own}|{w}" for w in works}
             if len(words) > 1:
-                found.add("f" + "|".join(sorted(words)))
+                full = "f" + "|".join(sorted(words))
+                found |= {full, *(f"{w}|{full}" for w in works)}
             ids += [key] * len(found)
             keys += sorted(found)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["id", "key"])
@@ -95,41 +96,42 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike), pa.array(same), pa.array(own)], ["a", "b", "alike", "same_native", "own"])
 
 
-def _candidates(left: DataFrame, right: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+def _candidates(left: DataFrame, right: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
     """(a, b): the pruned candidate graph of two sides (id, tokens, native, gender, works); and the ids of either side (id, key) under full
-    names that more than RARE have, if there are any."""
+    names that both have."""
     a = spread(left.select("id", "tokens", "native", "works")).mapInArrow(_entity_keys, "id bigint, key string").withColumnRenamed("id", "a")
     b = spread(right.select("id", "tokens", "native", "works")).mapInArrow(_entity_keys, "id bigint, key string").withColumnRenamed("id", "b")
     a, b = materialize(a, "link-keys"), materialize(b, "link-keys")
-    shared = a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key")
-    shared = materialize(shared.withColumn("hot", F.col("key").startswith("f") & ((F.col("na") > RARE) | (F.col("nb") > RARE))), "link-shared")
     rarity = (1 / (1 + F.log(F.col("na").cast("double") * F.col("nb")))).alias("rarity")
     # the pairs of a key that very many share are made by several tasks
-    salts = F.greatest(F.ceil(F.col("na").cast("double") * F.col("nb") / F.lit(MEETING)), F.lit(1)).cast("int")
-    known_keys = shared.where("not hot").select("key", rarity, salts.alias("salts"))
-    ours = a.join(known_keys, "key").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    theirs = b.join(known_keys.select("key", "salts"), "key").select("key", "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    met, frequent = ours.join(theirs, ["key", "salt"]).select("a", "b", "rarity"), None
-    if not shared.where("hot").isEmpty():
-        # a full name that many have is evidence enough only with a work in common, where the other keys or the matches of the works
-        # bring pairs together, or where a work is unknown and genders agree
-        hot = shared.where("hot").select("key", rarity)
-        known = lambda x, y: x.select(F.col("id").alias(y), F.col("gender").alias(f"gender_{y}"), (F.size("works") > 0).alias(f"known_{y}"))
-        hot_a, hot_b = a.join(hot, "key").join(known(left, "a"), "a"), b.join(hot.select("key"), "key").join(known(right, "b"), "b")
-        hot_a, hot_b = materialize(hot_a, "link-frequent"), materialize(hot_b, "link-frequent")
-        for x, y in ((hot_a.where("not known_a"), hot_b), (hot_a.where("known_a"), hot_b.where("not known_b"))):
-            met = met.unionByName(x.join(y, "key").where("coalesce(gender_a = gender_b, true)").select("a", "b", "rarity"))
-        frequent = hot_a.select(F.col("a").alias("id"), "key"), hot_b.select(F.col("b").alias("id"), "key")
+    salts = F.greatest(F.ceil(F.col("na").cast("double") * F.col("nb") / F.lit(MEETING)), F.lit(1)).cast("int").alias("salts")
+    shared = a.groupBy("key").agg(F.count("*").alias("na")).join(b.groupBy("key").agg(F.count("*").alias("nb")), "key")
+    shared = materialize(shared.select("key", rarity, salts, F.col("key").startswith("f").alias("full")), "link-shared")
+
+    def meeting(x: DataFrame, y: DataFrame) -> DataFrame:
+        ours = x.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+        theirs = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "rarity")
+        return ours.join(theirs, ["key", "salt"])
+
+    met = meeting(a.join(shared.where("not full").drop("full"), "key"), b.join(shared.where("not full").drop("full"), "key")).select("a", "b", "rarity")
+    # a full name is evidence enough only with a work in common, where the other keys or the matches of the works bring pairs together, or
+    # where a work is unknown and genders agree
+    known = lambda x, y: x.select(F.col("id").alias(y), F.col("gender").alias(f"gender_{y}"), (F.size("works") > 0).alias(f"known_{y}"))
+    names = shared.where("full").drop("full")
+    named_a, named_b = materialize(a.join(names, "key").join(known(left, "a"), "a"), "link-names"), materialize(b.join(names, "key").join(known(right, "b"), "b"), "link-names")
+    for x, y in ((named_a.where("not known_a"), named_b), (named_a.where("known_a"), named_b.where("not known_b"))):
+        met = met.unionByName(meeting(x, y).where("coalesce(gender_a = gender_b, true)").select("a", "b", "rarity"))
     edges = materialize(met.groupBy("a", "b").agg(F.sum("rarity").alias("weight")), "link-edges")
     most_a, most_b = (edges.groupBy(x).agg(F.max("weight").alias(f"most_{x}")) for x in "ab")
     weighed = edges.join(most_a, "a").join(most_b, "b")
-    return weighed.where((F.col("weight") >= PRUNE * F.col("most_a")) | (F.col("weight") >= PRUNE * F.col("most_b"))).select("a", "b"), frequent
+    kept = weighed.where((F.col("weight") >= PRUNE * F.col("most_a")) | (F.col("weight") >= PRUNE * F.col("most_b"))).select("a", "b")
+    return kept, (named_a.select(F.col("a").alias("id"), "key"), named_b.select(F.col("b").alias("id"), "key"))
 
 
-def _supported(frequent: tuple[DataFrame, DataFrame], support: DataFrame, left_works: DataFrame, right_works: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): further candidates under a frequent full name, in works that their matches show to be one."""
+def _supported(names: tuple[DataFrame, DataFrame], support: DataFrame, left_works: DataFrame, right_works: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): further candidates of one full name, in works that their matches show to be one."""
     works = support.where("x <> y and votes > 1 and share >= 0.5").select("x", "y")
-    a, b = (names.join(own, "id").select(F.col("id").alias(i), "key", F.col("work").alias(w)) for names, own, i, w in ((frequent[0], left_works, "a", "x"), (frequent[1], right_works, "b", "y")))
+    a, b = (own_names.join(own, "id").select(F.col("id").alias(i), "key", F.col("work").alias(w)) for own_names, own, i, w in ((names[0], left_works, "a", "x"), (names[1], right_works, "b", "y")))
     return materialize(a.join(works, "x").join(b, ["key", "y"]).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "link-supported")
 
 
@@ -184,8 +186,8 @@ def link_entities(
         return materialize(x.drop("titles").join(lists, "id", "left").withColumn("works", F.coalesce("works", F.array().cast("array<string>"))), "link-entities")
 
     a, b = with_works(a, left_works), with_works(b, right_works)
-    pairs, frequent = _candidates(a, b)
-    pairs = materialize(pairs, "link-pairs") if frequent else pairs
+    pairs, names = _candidates(a, b)
+    pairs = materialize(pairs, "link-pairs")
 
     def compared_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Edges with their own evidence, and (a, b, x, y) with the works of both ends."""
@@ -214,7 +216,7 @@ def link_entities(
             over = True
         states.add(state)
         if over:
-            if not frequent or support is None or (more := _supported(frequent, support, left_works, right_works, pairs)).isEmpty():
+            if support is None or (more := _supported(names, support, left_works, right_works, pairs)).isEmpty():
                 break
             more_edges, more_crossed = compared_pairs(more)
             pairs = materialize(pairs.unionByName(more), "link-pairs")
