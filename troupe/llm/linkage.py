@@ -216,16 +216,16 @@ def link_entities(
             over = True
         states.add(state)
         if over:
-            if support is None or (more := _supported(names, support, left_works, right_works, pairs)).isEmpty():
-                break
-            more_edges, more_crossed = compared_pairs(more)
-            pairs = materialize(pairs.unionByName(more), "link-pairs")
-            edges, crossed, before, states = edges.unionByName(more_edges), crossed.unionByName(more_crossed), None, set()
-            continue
+            break
         before = matches.select("a", "b")
         votes = crossed.join(before, ["a", "b"]).groupBy("x", "y").agg(F.count("*").alias("votes"))
         support = votes.join(size_a, "x").join(size_b, "y").select("x", "y", "votes", (F.col("votes") / F.least("size_a", "size_b")).alias("share"))
         support = materialize(support, "link-support")
+        more = _supported(names, support, left_works, right_works, pairs)
+        if not more.isEmpty():
+            more_edges, more_crossed = compared_pairs(more)
+            pairs = materialize(pairs.unionByName(more), "link-pairs")
+            edges, crossed, states = edges.unionByName(more_edges), crossed.unionByName(more_crossed), set()
     return matches.select("a", "b", F.round(1 / (1 + F.exp(-F.col("logit"))), 6).alias("confidence"))
 
 
