@@ -109,10 +109,10 @@ SQL["safe_traits"] = """
 
 def first_events(spark, sf_dir):
     """The first event of each user and type."""
-    return matching.first_deliveries(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"])
+    return matching.first_deliveries(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-SQL["first_events"] = "select distinct on (user_id, event_type) user_id, event_type, ts, event_id, value from events order by user_id, event_type, ts, event_id"
+SQL["first_events"] = "select distinct on (user_id, event_type) user_id, event_type, event_id, value from events order by user_id, event_type, ts, event_id"
 
 
 def json_descriptions(spark, sf_dir):
