@@ -134,14 +134,14 @@ def semantic_features(sentences: DataFrame, senses: DataFrame, lemmas: DataFrame
     sentences: (doc_id, sentence_no, tokens array<struct<at, token, tag, word>>). senses: (lemma, pos, rank, lexname, synset, head_lemma),
     rank 1 the first sense. lemmas: (token, pos, lemma); a word without one is its own. A phrase has a sense of its own, or a feature by
     the first noun sense of its last word."""
-    spans = sentences.select(doc, "sentence_no", F.explode(span_candidates(F.col("tokens"), most)).alias("w"))
-    spans = spans.select(doc, "sentence_no", F.element_at("w", 1)["at"].alias("first"), F.size("w").alias("size"), "w")
-    each = spans.select(doc, "sentence_no", "first", "size", F.posexplode("w").alias("k", "t"))
+    # every token gets its lemma once, before it is in several spans
+    each = sentences.select(doc, "sentence_no", F.posexplode("tokens").alias("k", "t"))
     pos = F.when(F.col("t.tag").startswith("J"), "a").when(F.col("t.tag").startswith("V"), "v").otherwise("n")
-    bare = F.regexp_replace("t.word", "-like$", "")
-    each = each.withColumn("pos", pos).withColumn("bare", bare).join(lemmas.select(F.col("token").alias("bare"), "pos", "lemma"), ["bare", "pos"], "left")
-    word = F.struct("k", F.coalesce("lemma", "bare").alias("lemma"), F.col("t.token").alias("token"), F.col("t.tag").alias("tag"), F.col("t.word").alias("word"))
-    back = each.groupBy(doc, "sentence_no", "first", "size").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    each = each.withColumn("pos", pos).withColumn("bare", F.regexp_replace("t.word", "-like$", "")).join(lemmas.select(F.col("token").alias("bare"), "pos", "lemma"), ["bare", "pos"], "left")
+    word = F.struct("k", F.coalesce("lemma", "bare").alias("lemma"), F.col("t.at").alias("at"), F.col("t.token").alias("token"), F.col("t.tag").alias("tag"), F.col("t.word").alias("word"))
+    known = each.groupBy(doc, "sentence_no").agg(F.array_sort(F.collect_list(word)).alias("tokens"))
+    spans = known.select(doc, "sentence_no", F.explode(span_candidates(F.col("tokens"), most)).alias("w"))
+    back = spans.select(doc, "sentence_no", F.element_at("w", 1)["at"].alias("first"), F.size("w").alias("size"), "w")
     lemma = F.transform("w", lambda t: t["lemma"])
     head = F.element_at("w", -1)
     rows = back.select(
