@@ -521,3 +521,17 @@ def test_order_over_all_partitions(spark):
     df = spark.createDataFrame([(k % 7, k) for k in range(200)], "a int, b int").repartition(6)
     got = facts.in_order(df, F.desc("a"), F.asc("b")).orderBy("place").collect()
     assert [(r.a, r.b) for r in got] == sorted(((k % 7, k) for k in range(200)), key=lambda x: (-x[0], x[1])) and [r.place for r in got] == list(range(1, 201))
+
+
+def test_lane_sizes_where_the_total_is_zero(spark, tmp_path):
+    from datetime import datetime
+
+    from oracle import compare
+
+    from troupe.plans import lanes as plans
+
+    weights = [(1, 0.0), (1, -0.0), (2, 1e-8), (3, -1e-8), (4, 0.5), (4, float("nan")), (5, None), (6, 0.374), (6, 6.026), (7, 0.374), *[(7, 0.3013)] * 20, (8, -1.0), (8, 1.0)]
+    rows = [(1, topic, k, weight, datetime(2024, 1, 1)) for k, (topic, weight) in enumerate(weights)]
+    spark.createDataFrame(rows, "seiyuu_id bigint, topic int, character_id bigint, topic_weight double, loaded_at timestamp").write.parquet(str(tmp_path / "lane_weights.parquet"))
+    assert compare(spark, "lane_sizes", str(tmp_path), plans.lane_sizes, plans.SQL["lane_sizes"]) is None
+    assert plans.lane_sizes(spark, str(tmp_path)).count() == 7

@@ -144,7 +144,11 @@ def lane_sizes(spark, sf_dir):
     """Lanes of the credit data: characters, total weight and the share of the heaviest, each delivery once."""
     rows = latest_by(table(spark, sf_dir, "lane_weights"), ["seiyuu_id", "topic", "character_id"], "loaded_at").where("topic_weight is not null and not isnan(topic_weight)")
     each = rows.groupBy("seiyuu_id", "topic").agg(F.count("*").alias("characters"), F.sum(F.col("topic_weight").cast("decimal(18,6)")).cast("double").alias("total"), F.max("topic_weight").alias("most"))
-    return each.select("seiyuu_id", "topic", "characters", "total", F.round(F.col("most") / F.col("total"), 6).alias("most_share"))
+    # of a total of 0 the share is NaN or infinite, as IEEE division and the SQL have it; Spark's division would raise;
+    # rounded as there, after the product
+    most = F.col("most")
+    share = F.when(F.col("total") != 0, most / F.col("total")).when(most == 0, float("nan")).otherwise(F.signum(most) * F.lit(float("inf")))
+    return each.select("seiyuu_id", "topic", "characters", "total", (F.round(share * 1e6) / 1e6).alias("most_share"))
 
 
 SQL["lane_sizes"] = """
