@@ -376,6 +376,31 @@ def test_vector_edges(spark):
     assert vectors.nearest_pairs(empty, "id", "e").count() == 0 and vectors.nearest_to(empty, "id", "e").count() == 0
 
 
+def test_vectors_in_rounds(spark, monkeypatch):
+    """Any number of rounds and blocks gives the same neighbours, and no table with vectors is left once they are found."""
+    import glob
+
+    from troupe.runtime import scratch, shared_dir
+
+    data = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(_vector_data(600))]
+    df = spark.createDataFrame(data, "id bigint, e array<float>")
+    folder = f"{shared_dir(spark).removeprefix('file://')}/troupe"
+    there = lambda: {x for name in ("vectors", "vector-points", "vector-cells", "vector-near") for x in glob.glob(f"{folder}/{name}-*")}
+    found = []
+    for limit, block in ((256 << 20, 2048), (1 << 19, 64)):
+        monkeypatch.setattr(vectors, "ROUND", 0.1)
+        monkeypatch.setattr(vectors, "ROUND_BYTES", limit)
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        with scratch(spark):
+            before = there()
+            rows = vectors.nearest_pairs(df, "id", "e")
+            new = {x.removeprefix(f"{folder}/").rsplit("-", 1)[0] for x in there() - before}
+            assert new == {"vector-near"}
+            assert (len(there() - before) > 2) == (limit < 256 << 20)
+            found.append(sorted((r.id, r["rank"], r.neighbour) for r in rows.collect()))
+    assert found[0] == found[1] and found[0]
+
+
 # packing ----------------------------------------------------------------------------------------------------------
 
 

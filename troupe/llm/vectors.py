@@ -11,21 +11,26 @@ centre's number of vectors asks for, so that cells stay small however many vecto
 neighbours in its own cell and visits others in order of how far their borders are. How many it visits isn't a
 constant: the true neighbours of a sample of vectors are found among all vectors first, and the number is the smallest
 with which the stated share of them would have been met.
+
+Vectors are moved once to find equal ones, and then written once with the numbers of their cells. The cells are gone
+through in rounds, each of which copies no more than about ROUND rows for every vector and keeps only neighbours, so
+that the disk needed is a small multiple of the vectors however many cells they visit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from troupe.llm.sets import blocked, grouped
+from troupe.llm.sets import grouped
 from troupe.llm.top_n import top_n_per_group
-from troupe.runtime import materialize, spread, width
+from troupe.runtime import TASK_BYTES, discard, materialize, shuffles_removed, spread, width
 
 #: Bits of a code, bits of a query's steps, and the confidence of the error bound in standard deviations.
 BITS, STEPS, SIGMAS = 128, 4, 3.0
@@ -34,6 +39,8 @@ PER_CELL, CENTRES, SAMPLE = 100, 4096, 16
 #: Vectors whose true neighbours are found to choose the number of visits, and signs of which two at most differ in a visited cell.
 MEASURED, NEAR_SIGNS = 1024, 12
 BLOCK = 2048
+#: Rows that a round copies into its cells, for each vector, and bytes up to which one round is enough.
+ROUND, ROUND_BYTES = 2, 256 << 20
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -98,15 +105,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def usable_vectors(df: DataFrame, identifier: str, embedding: str, dim: int | None = None) -> DataFrame:
-    """(id, vector array<float>): each usable vector once. Null, all-zero, NaN, infinite and null-holding vectors,
+    """(id, vector array<float>): the usable vectors, as often as they are delivered. Null, all-zero, NaN, infinite and null-holding vectors,
     and those whose length isn't `dim` (null: the most common length), are not usable, nor are null identifiers."""
     rows = df.select(F.col(identifier).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("vector")).where("id is not null and vector is not null")
     if dim is None:
         lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).head(1)
         dim = lengths[0]["n"] if lengths else 0
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    kept = rows.where((F.size("vector") == dim) & finite & F.exists("vector", lambda x: x != 0))
-    return kept.groupBy("id").agg(F.min("vector").alias("vector"))
+    return rows.where((F.size("vector") == dim) & finite & F.exists("vector", lambda x: x != 0))
 
 
 def fit_centres(points: DataFrame, n: int, rounds: int = 5, seed: int = 5) -> np.ndarray:
@@ -191,6 +197,10 @@ class Cells:
     def count(self) -> int:
         return int((np.int64(1) << self.signs).sum())
 
+    def offsets(self) -> np.ndarray:
+        """Of each centre, the number of its first cell where all cells are numbered."""
+        return np.concatenate([[0], np.cumsum(np.int64(1) << self.signs)])[:-1]
+
 
 def _nearest_centre(centres: np.ndarray):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,27 +213,30 @@ def _nearest_centre(centres: np.ndarray):
     return kernel
 
 
-def _enter_cells(cells: Cells, visits: int):
-    """Points (key, vector, asks) to (place, key, vector, lives, asks): a row in the cell where the vector lives and, if it asks, in those that it
-    visits."""
+def _find_cells(cells: Cells, visits: int, rounds: int):
+    """Points (key, vector, asks) to (key, vector, asks, home, r0, r1 ...): the number of the cell where the vector lives, and for each round
+    the numbers of those of its cells that the point enters in it, which are its home and, if it asks, those that it visits."""
+    offsets = cells.offsets()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 unit = _matrix(part.column("vector")).astype(np.float32)
-                asks = part.column("asks").to_numpy(zero_copy_only=False)
-                home = cells.home(unit)
-                asking = np.flatnonzero(asks)
-                there = cells.visits(unit[asking], visits) if len(asking) else np.zeros((0, visits), np.int64)
-                guest, turn = np.nonzero((there >= 0) & (there != home[asking][:, None]))
-                row = np.concatenate([np.arange(part.num_rows), asking[guest]])
-                lives = np.arange(len(row)) < part.num_rows
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([home, there[guest, turn]])), part.column("key").take(take), part.column("vector").take(take), pa.array(lives), pa.array(asks[row])],
-                    ["place", "key", "vector", "lives", "asks"],
-                )
+                asking = np.flatnonzero(part.column("asks").to_numpy(zero_copy_only=False))
+                there = np.full((part.num_rows, 1 + (visits if len(asking) else 0)), -1, np.int64)
+                there[:, 0] = cells.home(unit)
+                if len(asking):
+                    found = cells.visits(unit[asking], visits)
+                    there[asking, 1:] = np.where(found == there[asking, :1], -1, found)
+                places = np.where(there >= 0, offsets[there >> 32] + (there & 0xFFFFFFFF), -1).astype(np.int32)
+                turns = np.where(there >= 0, ((places.astype(np.int64) * 2654435761) >> 12) % rounds, -1)
+                lists = []
+                for r in range(rounds):
+                    bounds = np.concatenate([[0], np.cumsum((turns == r).sum(axis=1))]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(places[turns == r])))
+                own = [part.column(c) for c in ("key", "vector", "asks")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(places[:, 0]), *lists], ["key", "vector", "asks", "home", *(f"r{r}" for r in range(rounds))])
 
     return kernel
 
@@ -242,17 +255,17 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
     return -np.partition(-values, k - 1, axis=1)[:, k - 1] if values.shape[1] >= k else np.full(len(values), -np.inf)
 
 
-def _meet(centres: np.ndarray, turn: np.ndarray, k: int, least: float):
-    """Rows (cell, place, key, vector, lives, asks) sorted by cell to (key, other, cosine): of every vector that asks, the k best of at least
-    `least` that live there, and of those that live there and ask too, the k best of the guests."""
+def _meet(centres: np.ndarray, offsets: np.ndarray, turn: np.ndarray, k: int, least: float):
+    """Rows (cell, place, key, vector, lives, enters, asks) sorted by cell to (key, other, cosine): of every vector that enters, the k best of at
+    least `least` that live there, and of those that live there and ask too, the k best of the guests."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in grouped(batches):
-            keys, centre = table.column("key").to_numpy(), table.column("place").to_numpy() >> 32
-            lives, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lives", "asks"))
+            keys, centre = table.column("key").to_numpy(), np.searchsorted(offsets, table.column("place").to_numpy(), side="right") - 1
+            lives, enters, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lives", "enters", "asks"))
             unit = _matrix(table.column("vector"))
             for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                hosts, guests = at + np.flatnonzero(lives[at:end]), at + np.flatnonzero(asks[at:end])
+                hosts, guests = at + np.flatnonzero(lives[at:end]), at + np.flatnonzero(enters[at:end])
                 if not len(hosts) or not len(guests):
                     continue
                 there = Codes(unit[hosts].astype(np.float32), centres[centre[at]], turn)
@@ -278,12 +291,17 @@ def _meet(centres: np.ndarray, turn: np.ndarray, k: int, least: float):
     return kernel
 
 
-def _points(usable: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (id, key) and points (key, id, vector): equal vectors are one point, called by its smallest id."""
+def _points(usable: DataFrame, every: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (id, key) and points (key, vector, asks): equal vectors are one point, called by its smallest id. A point asks if one of its
+    records has an id divisible by `every` (if that is None, all do). Of rows that repeat an id the same vector is expected; should it
+    differ, the one whose hash is least counts. Vectors are moved once, since which are equal is found from hashes alone."""
     hashed = usable.withColumn("hash", F.xxhash64("vector"))
-    once = hashed.groupBy("hash").agg(F.min("id").alias("key"), F.first("vector").alias("vector"))
-    members = hashed.select("id", "hash").join(once.select("hash", "key"), "hash").select("id", "key")
-    return members, once.select("key", F.col("key").alias("id"), "vector")
+    owned = materialize(hashed.groupBy("id").agg(F.min("hash").alias("hash")), "vector-ids")
+    asks = F.lit(True) if every is None else F.max(F.col("id") % every == 0)
+    keys = owned.groupBy("hash").agg(F.min("id").alias("key"), asks.alias("asks"))
+    points = materialize(hashed.groupBy("hash").agg(F.first("vector").alias("vector")).join(keys, "hash").select("key", "vector", "asks"), "vector-points")
+    members = materialize(owned.join(keys.select("hash", "key"), "hash").select("id", "key"), "vector-members")
+    return members, points
 
 
 def _expand(members: DataFrame, near: DataFrame, k: int, asking: DataFrame | None = None) -> DataFrame:
@@ -297,6 +315,14 @@ def _expand(members: DataFrame, near: DataFrame, k: int, asking: DataFrame | Non
     return top_n_per_group(own, ["id"], "cosine", "neighbour", k)
 
 
+def _ranked(members: DataFrame, near: DataFrame | None, k: int, asking: Column | None = None) -> DataFrame:
+    """The k nearest records from the neighbours that the rounds of a search have found."""
+    if near is None:
+        return members.sparkSession.createDataFrame([], "id bigint, cosine double, neighbour bigint, rank int")
+    best = top_n_per_group(near, ["key"], "cosine", "other", k).select("key", "other", "cosine")
+    return _expand(members, best, k, None if asking is None else members.where(asking))
+
+
 def _scan(queries: np.ndarray, ids: np.ndarray, k: int):
     """All vectors of a partition against some queries: the k best of every query, exactly."""
 
@@ -330,8 +356,8 @@ def measured_visits(points: DataFrame, n: int, cells: Cells, k: int, least: floa
     unit, ids = _matrix(asked.column("vector")), asked.column("key").to_numpy()
     scanned = spread(points.select("key", "vector")).mapInArrow(_scan(unit, ids, k), "key bigint, other bigint, cosine double")
     near = top_n_per_group(scanned, ["key"], "cosine", "other", k).where(F.col("cosine") >= least)
-    # at most k rows for each of the sample
-    found = near.select("key", "other").join(points.select(F.col("key").alias("other"), "vector"), "other").toArrow()
+    # at most k rows for each of the sample, which the vectors needn't be moved for
+    found = points.select(F.col("key").alias("other"), "vector").join(F.broadcast(near.select("key", "other")), "other").toArrow()
     if not found.num_rows:
         return 1
     place = {x: i for i, x in enumerate(ids.tolist())}
@@ -346,10 +372,30 @@ def measured_visits(points: DataFrame, n: int, cells: Cells, k: int, least: floa
     return min(most, int(np.quantile(np.concatenate(ranks), recall, method="higher")))
 
 
-def _search(points: DataFrame, asks: str | None, k: int, least: float, recall: float) -> DataFrame | None:
-    """(key, other, cosine): the k best points of every point that asks, by the column `asks` (all if it's None); None if there are no points."""
+def _dealt(entered: DataFrame) -> DataFrame:
+    """Rows (key, vector, asks, home, place, hosts_in, guests_in) to (cell, place, key, vector, lives, enters, asks): the vectors that live in a place
+    are dealt into `hosts_in` blocks and those that ask there into `guests_in`, and each block of the ones meets each of the others in a cell
+    of its own; `lives` and `enters` say on which side of it a row is."""
+    lives = F.col("place") == F.col("home")
+    host = F.pmod(F.xxhash64("key", F.lit(7)), F.col("hosts_in")).cast("int")
+    guest = F.pmod(F.xxhash64("key", F.lit(11)), F.col("guests_in")).cast("int")
+    side = lambda h, g, lives, enters: F.struct(h.alias("h"), g.alias("g"), lives.alias("lives"), enters.alias("enters"))
+    as_host = F.transform(F.sequence(F.lit(0), F.col("guests_in") - 1), lambda g: side(F.col("host"), g, F.lit(True), F.col("asks") & (g == F.col("guest"))))
+    as_guest = F.transform(F.sequence(F.lit(0), F.col("hosts_in") - 1), lambda h: side(h, F.col("guest"), F.lit(False), F.lit(True)))
+    others = F.filter(as_guest, lambda x: ~F.col("at_home") | (x["h"] != F.col("host")))
+    none = F.filter(as_guest, lambda x: F.lit(False))
+    rows = entered.withColumns({"host": host, "guest": guest, "at_home": lives})
+    sides = F.concat(F.when(F.col("at_home"), as_host).otherwise(none), F.when(F.col("asks"), others).otherwise(none))
+    sides = F.when(~F.col("at_home") & F.col("asks") & (F.col("hosts_in") == 1), F.array(side(F.lit(0), F.col("guest"), F.lit(False), F.lit(True)))).otherwise(sides)
+    dealt = rows.select("place", "key", "vector", "asks", F.explode(sides).alias("side"))
+    return dealt.select(F.xxhash64("place", "side.h", "side.g").alias("cell"), "place", "key", "vector", "side.lives", "side.enters", "asks")
+
+
+def _search(points: DataFrame, k: int, least: float, recall: float, both: bool) -> DataFrame | None:
+    """(key, other, cosine): the k best points of every point that asks (`both`: all do); None if there are no points. The table of the points
+    is removed."""
     n = points.count()
-    centres = fit_centres(points, n)
+    centres = fit_centres(points.select(F.col("key").alias("id"), "vector"), n)
     if not len(centres):
         return None
     turn = rotation(centres.shape[1])
@@ -360,45 +406,55 @@ def _search(points: DataFrame, asks: str | None, k: int, least: float, recall: f
     # a centre of four times the intended number of vectors is divided by its first sign
     signs = np.clip(np.floor(np.log2(np.maximum(sizes, 1) / (2 * PER_CELL))), 0, 30).astype(np.int64)
     cells = Cells(centres, turn, signs)
-    visits = measured_visits(points, n, cells, k, least, recall, asks is None)
-    entered = materialize(spread(points.select("key", "vector", (F.lit(True) if asks is None else F.col(asks)).alias("asks"))).mapInArrow(_enter_cells(cells, visits), "place bigint, key bigint, vector array<float>, lives boolean, asks boolean"), "vector-cells")
-    # cells where nobody lives, or nobody asks, go before anything is moved further
-    both = entered.groupBy("place").agg(F.count("*").alias("count"), F.max("lives").alias("home"), F.max("asks").alias("asked")).where("home and asked")
-    return (
-        blocked(entered.join(both.select("place", "count"), "place"), "place", "count", BLOCK)
-        .select("cell", "place", "key", "vector", "lives", "asks")
-        .repartition(width(entered), "cell")
-        .sortWithinPartitions("cell")
-        .mapInArrow(_meet(centres, turn, k, least), "key bigint, other bigint, cosine double")
-    )
+    visits = measured_visits(points, n, cells, k, least, recall, both)
+    # the most rows that may enter cells say how many rounds there are
+    size = 4 * centres.shape[1] + 72
+    most = max(int(ROUND * n * size), ROUND_BYTES)
+    entries = n + visits * (n if both else points.where("asks").count())
+    rounds = int(max(1, -(-entries * size // most)))
+    lists = "".join(f", r{r} array<int>" for r in range(rounds))
+    placed = materialize(spread(points.select("key", "vector", "asks")).mapInArrow(_find_cells(cells, visits, rounds), f"key bigint, vector array<float>, asks boolean, home int{lists}"), "vector-cells")
+    discard(points)
+    # cells where nobody lives, or nobody asks, are left out before anything is moved
+    entering = placed.select("asks", "home", F.posexplode(F.array(*(f"r{r}" for r in range(rounds)))).alias("turn", "places")).select("asks", "home", "turn", F.explode("places").alias("place"))
+    held = entering.groupBy("turn", "place").agg(F.count_if(F.col("place") == F.col("home")).alias("hosts"), F.count_if("asks").alias("guests")).where("hosts > 0 and guests > 0")
+    blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}_in") for c in ("hosts", "guests")]
+    held = materialize(held.select("turn", "place", "hosts", "guests", *blocks), "vector-counts")
+    copies = dict(held.groupBy("turn").agg(F.sum(F.col("hosts") * F.col("guests_in") + F.col("guests") * F.col("hosts_in")).alias("n")).collect())  # one row for each round
+    near = []
+    for r in range(rounds):
+        entered = placed.select("key", "vector", "asks", "home", F.explode(f"r{r}").alias("place")).join(F.broadcast(held.where(F.col("turn") == r).select("place", "hosts_in", "guests_in")), "place")
+        dealt = _dealt(entered)
+        total = copies.get(r, 0) * size
+        # where large cells are copied for their blocks, a round is divided further
+        parts = max(1, -(-total // (2 * most)))
+        tasks = max(width(placed.select("key")), -(-total // parts // TASK_BYTES))
+        for part in range(parts):
+            met = (
+                dealt.where(F.pmod(F.xxhash64("cell", F.lit(31)), F.lit(parts)) == part)
+                .repartition(tasks, "cell")
+                .sortWithinPartitions("cell")
+                .mapInArrow(_meet(centres, cells.offsets(), turn, k, least), "key bigint, other bigint, cosine double")
+            )
+            near.append(materialize(top_n_per_group(met, ["key"], "cosine", "other", k).select("key", "other", "cosine"), "vector-near"))
+    discard(placed)
+    return reduce(DataFrame.unionByName, near)
 
 
 def nearest_pairs(df: DataFrame, identifier: str, embedding: str, k: int = 10, least: float | None = 0.85, dim: int | None = None, recall: float = 0.998) -> DataFrame:
     """(id, cosine, neighbour, rank): for every usable vector the up to `k` most similar others, of cosine at least `least` if that is given,
     in order of similarity, ties by neighbour. The length of a vector doesn't matter. A repeated id counts once; an empty table, or one
     without usable vectors, gives an empty result. `recall` is the share of the true neighbours to be found, measured on a sample."""
-    spark = df.sparkSession
-    usable = materialize(usable_vectors(df, identifier, embedding, dim), "vectors")
-    members, points = _points(usable)
-    points = materialize(points, "vector-points")
-    near = _search(points, None, k, -1.0 if least is None else least, recall)
-    if near is None:
-        return spark.createDataFrame([], "id bigint, cosine double, neighbour bigint, rank int")
-    best = top_n_per_group(near, ["key"], "cosine", "other", k).select("key", "other", "cosine")
-    return _expand(members, best, k)
+    with shuffles_removed(df.sparkSession):
+        members, points = _points(usable_vectors(df, identifier, embedding, dim))
+        near = _search(points, k, -1.0 if least is None else least, recall, True)
+    return _ranked(members, near, k)
 
 
 def nearest_to(df: DataFrame, identifier: str, embedding: str, every: int = 100, k: int = 10, dim: int | None = None, recall: float = 0.93) -> DataFrame:
     """(id, cosine, neighbour, rank): the `k` most similar others of every usable vector whose id is divisible by `every`,
     against all usable vectors, in order of similarity, ties by neighbour. Rows, nulls, empty tables and `recall` are as in nearest_pairs()."""
-    spark = df.sparkSession
-    usable = materialize(usable_vectors(df, identifier, embedding, dim), "vectors")
-    members, points = _points(usable)
-    points = materialize(points, "vector-points")
-    asking = members.where(F.col("id") % every == 0)
-    asked = points.join(asking.select("key", F.lit(True).alias("asked")).distinct(), "key", "left")
-    near = _search(materialize(asked.withColumn("asked", F.coalesce("asked", F.lit(False))), "vector-asked"), "asked", k, -1.0, recall)
-    if near is None:
-        return spark.createDataFrame([], "id bigint, cosine double, neighbour bigint, rank int")
-    best = top_n_per_group(near, ["key"], "cosine", "other", k).select("key", "other", "cosine")
-    return _expand(members, best, k, asking)
+    with shuffles_removed(df.sparkSession):
+        members, points = _points(usable_vectors(df, identifier, embedding, dim), every)
+        near = _search(points, k, -1.0, recall, False)
+    return _ranked(members, near, k, F.col("id") % every == 0)

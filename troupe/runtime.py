@@ -76,6 +76,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the intermediate table that materialize() returned as df before the session ends. What reads it can't be run any more."""
+    held = {os.path.basename(os.path.dirname(x)) for x in df.inputFiles()}
+    jvm = df.sparkSession.sparkContext._jvm
+    for name in [x for x in _written if os.path.basename(x) in held]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of an action go as soon as it ends, and not when the driver happens to collect its garbage. For tables
+    that are written and counts that are taken once; a DataFrame to be run again is to be made outside."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Stored bytes that df is made from: the planner's sizes of the leaves of its plan."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
